@@ -27,6 +27,8 @@ from seriesmill.session import bounded_broadcast, cut
 
 MAX_ROWS = 2_000_000
 CELL = "minute"
+# Number of long series that are listed on the driver and broadcast.
+LISTED_SERIES = 10_000
 
 PIECE = "__piece"
 OWN = "__own"
@@ -79,8 +81,8 @@ def split(
 ) -> Pieces:
     """Measures the series and cuts the long ones.
 
-    The measuring jobs read only the keys and the order column.  At most
-    rows / max_rows series can be long, which bounds the broadcast of their keys.
+    The measuring jobs read only the keys and the order column.  At most rows / max_rows
+    series can be long.
     """
     limit = max(rows_per_piece(df.sparkSession, max_rows), look_back)
     keys = list(keys)
@@ -88,14 +90,19 @@ def split(
     names = [f"__k{i}" for i in range(len(keys))]
 
     sizes = slim.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    long_series = sizes.where(F.col("__n") > limit).select(*names)
-    if long_series.isEmpty():
+    long_series = sizes.where(F.col("__n") > limit).select(
+        *[F.col(n).alias(f"{n}_long") for n in names], F.lit(True).alias("__long")
+    )
+    found = long_series.limit(LISTED_SERIES + 1).collect()
+    if not found:
         return Pieces(None, tuple(keys))
 
     if names:
-        other = long_series.select(*[F.col(n).alias(f"{n}_long") for n in names])
+        # A short list goes to every executor; a longer one stays a table and is joined.
+        listed = len(found) <= LISTED_SERIES
+        other = F.broadcast(df.sparkSession.createDataFrame(found, long_series.schema)) if listed else long_series
         same = reduce(lambda a, b: a & b, [slim[n].eqNullSafe(other[f"{n}_long"]) for n in names])
-        slim = slim.join(bounded_broadcast(other), same, "left_semi")
+        slim = slim.join(other, same, "left_semi")
     counts = slim.groupBy(*names, "__c").agg(F.count(F.lit(1)).alias("__n"))
 
     # From here on the data are cell counts of the long series only.

@@ -21,6 +21,8 @@ def build_session(app_name: str = "seriesmill", cores: str = "8", partitions: in
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
+        # Capturing the call site of every Python column call costs more than small jobs.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
         .getOrCreate()
     )
