@@ -73,22 +73,28 @@ def recursive_forecast(
     cut_every: int = 6,
 ) -> DataFrame:
     """`history` and `weather` are hourly with a `timestamp`; the hours of `weather` are forecast
-    in order, at most `horizon` per series.  `score` adds a `prediction` column.  `rmse` is the
+    in order, at most `horizon` per series.  Weather without the keys holds for every series.  `score` adds a `prediction` column.  `rmse` is the
     half width / 1.96 of the interval (none: no width, as for a single scored row)."""
     size = max([*lags, *windows])
     held = [c for c in HELD if c in history.columns]
+    # Everything that does not depend on earlier predictions is computed once, before the loop.
+    weather = add_weather_interactions(add_holiday_features(add_time_features(weather), "timestamp"))
     conditions = [c for c in weather.columns if c not in keys and c != "timestamp"]
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp"))
-    coming = (weather.withColumn("__rank", rank).where(F.col("__rank") <= horizon) if keys
-              else weather.orderBy("timestamp").limit(horizon))
-    hours = coming.groupBy(*keys).agg(
+    own_weather = bool(keys) and set(keys) <= set(weather.columns)
+    if own_weather:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy("timestamp"))
+        coming = weather.withColumn("__rank", rank).where(F.col("__rank") <= horizon)
+    else:
+        coming = weather.orderBy("timestamp").limit(horizon)
+    hours = coming.groupBy(*(keys if own_weather else [])).agg(
         F.sort_array(F.collect_list(F.struct("timestamp", *conditions))).alias("__hours")
     )
     past = newest_values(history, target, size, keys=keys)
     if held:
         known = last_known(history, "timestamp", held, keys)
         past = past.join(known, list(keys)) if keys else past.crossJoin(F.broadcast(known))
-    state = past.join(hours, list(keys)) if keys else past.crossJoin(F.broadcast(hours))
+    # Common weather is one row of at most `horizon` hours.
+    state = past.join(hours, list(keys)) if own_weather else past.crossJoin(F.broadcast(hours))
     state = cut(state.withColumn("__done", F.expr(
         "CAST(array() AS array<struct<timestamp:%s,prediction:double>>)" % weather.schema["timestamp"].dataType.simpleString()
     )))
@@ -99,7 +105,6 @@ def recursive_forecast(
             "timestamp": hour["timestamp"], **{c: hour[c] for c in conditions},
             **history_features(target, lags, windows),
         })
-        row = add_weather_interactions(add_holiday_features(add_time_features(row), "timestamp"))
         scored = score(row)
         due = F.col("timestamp").isNotNull()
         fresh = F.struct(F.col("timestamp"), F.col("prediction"))

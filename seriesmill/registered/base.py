@@ -74,7 +74,7 @@ VIEWS: dict[str, str] = {
         FROM points""",
     "weather_forecasts": """
         SELECT CAST(date_trunc('hour', time) AS TS) AS forecast_time, station_id, temperature_c, wind_speed_ms,
-               cloud_cover, humidity_percent, pressure_hpa, precipitation_mm,
+               wind_direction, cloud_cover, humidity_percent, pressure_hpa, precipitation_mm,
                CASE WHEN data_type = 'forecast' THEN 'ecmwf' ELSE 'harmonie' END AS forecast_model,
                time - INTERVAL 4 HOUR AS generated_at
         FROM weather""",

@@ -67,12 +67,12 @@ def _(t):
 
 @query(
     "s7_sql_scan",
-    f"SELECT time, CAST(price_eur_mwh AS DECIMAL(18,2)) AS price_eur_mwh FROM prices WHERE area = 'SE' AND time >= TIMESTAMP '{START}'",
+    f"SELECT time, price_eur_mwh, CAST(event_id AS DOUBLE) AS event_id FROM prices WHERE area = 'SE' AND time >= TIMESTAMP '{START}'",
 )
 def _(t):
     return scans.sql_scan(
-        t.spark, "SELECT time, price_eur_mwh FROM {prices} WHERE area = :area AND time >= CAST(:start AS TIMESTAMP_NTZ)",
-        {"prices": t.prices}, {"area": "SE", "start": START}, {"price_eur_mwh": "decimal(18,2)"},
+        t.spark, "SELECT time, price_eur_mwh, event_id FROM {prices} WHERE area = :area AND time >= CAST(:start AS TIMESTAMP_NTZ)",
+        {"prices": t.prices}, {"area": "SE", "start": START}, {"event_id": "double"},
     )
 
 
@@ -391,11 +391,11 @@ def _(t):
     return t.spark.read.parquet(root).drop("snapshot_date")
 
 
-@query("k9_time_partitions", "SELECT CAST(time AS DATE) AS date, count(*) AS row_count FROM prices GROUP BY 1")
+@query("k9_time_partitions", "SELECT CAST(CAST(time AS DATE) AS VARCHAR) AS day, count(*) AS row_count FROM prices GROUP BY 1")
 def _(t):
     path = scratch_path(t.spark, "partitioned")
     tables.append(tables.conform(t.prices, "price_actuals"), path, "price_actuals")
-    return tables.read_table(t.spark, path).groupBy("date").agg(F.count(F.lit(1)).alias("row_count"))
+    return tables.read_table(t.spark, path).groupBy(F.col("date").cast("string").alias("day")).agg(F.count(F.lit(1)).alias("row_count"))
 
 
 @query(

@@ -10,14 +10,20 @@ from pyspark.sql.types import StructType
 
 from seriesmill.functions.states import stats_state
 from seriesmill.functions.timecols import moment, shift_time
+from seriesmill.operators.latest import latest_per_key
 
 # How far back a rollup is refreshed, and the part of the end that is left out.
 POWER_LATENESS, PRICE_LATENESS = "3 days", "7 days"
 END_OFFSET_HOURS = 1
 
 
-def read_stream(spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
+def read_stream(
+    spark: SparkSession, path: str, schema: StructType, files_per_trigger: int = 100, pattern: str = "*.parquet"
+) -> DataFrame:
+    return (
+        spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
+        .option("pathGlobFilter", pattern).parquet(path)
+    )
 
 
 def event_time(df: DataFrame, time: str) -> DataFrame:
@@ -83,6 +89,7 @@ def upsert_stream(df: DataFrame, checkpoint: str, store, available_now: bool = T
 
 
 def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Closed windows only, each written once."""
     return (
         df.writeStream.format("parquet").outputMode("append")
         .option("checkpointLocation", checkpoint).option("path", path)
@@ -90,9 +97,23 @@ def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     )
 
 
-def table_stream(df: DataFrame, checkpoint: str, store, mode: str = "update") -> StreamingQuery:
-    """Rollup rows of every micro-batch to `store(batch, batch_id)`."""
+VERSION = "batch"
+
+
+def update_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Changed rows of every micro-batch go to their own folder; a repeated batch replaces its
+    folder.  `newest_rows` gives the current table."""
+    def store(batch: DataFrame, batch_id: int) -> None:
+        (
+            batch.withColumn(VERSION, F.lit(batch_id)).write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic").partitionBy(VERSION).parquet(path)
+        )
+
     return (
-        df.writeStream.outputMode(mode).foreachBatch(store)
+        df.writeStream.outputMode("update").foreachBatch(store)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
+
+
+def newest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
+    return latest_per_key(spark.read.parquet(path), list(keys), [VERSION]).drop(VERSION)
