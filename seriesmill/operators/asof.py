@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from seriesmill.functions.timecols import micros
-from seriesmill.operators.ordered import carry, time_cell
+from seriesmill.operators.ordered import carry, split, time_cell
 from seriesmill.operators.latest import latest_per_key
 
 _TIME, _SIDE, _LEFT, _RIGHT = "__t", "__side", "__left", "__right"
@@ -35,6 +35,12 @@ def _tagged(left, right, left_time, right_time, keys):
     return rows.unionByName(known, allowMissingColumns=True), series
 
 
+def _both_keys(left, right, keys, series):
+    """Key columns of both sides: as many rows per series as the union has, or more."""
+    names = [(F.col(k).alias(s)) for k, s in zip(keys, series)]
+    return left.select(*names).unionByName(right.select(*names))
+
+
 def asof_backward(
     left: DataFrame,
     right: DataFrame,
@@ -83,17 +89,15 @@ def asof_nearest(
     Equal distances go to the later right row.  With `required`, left rows whose match lacks
     that column are dropped (this includes rows without a match).
     """
-    right = latest_per_key(right.select(*keys, right_time, *columns), [*keys, right_time], list(columns))
-    union, series = _tagged(left, right, left_time, right_time, keys)
+    right = right.select(*keys, right_time, *columns)
+    once = latest_per_key(right, [*keys, right_time], list(columns))
+    union, series = _tagged(left, once, left_time, right_time, keys)
     # The two passes share the partitioning; the second one sorts the other way round.  An
     # unbounded-following frame would need no second sort but costs quadratic time.
-    back = carry(
-        union, [_TIME, _SIDE], series, {"__before": ("last", _RIGHT)},
-        cell=time_cell(_TIME), max_rows=max_rows,
-    )
+    pieces = split(union, series, time_cell(_TIME), max_rows=max_rows, bound=_both_keys(left, right, keys, series))
+    back = carry(union, [_TIME, _SIDE], series, {"__before": ("last", _RIGHT)}, pieces=pieces)
     both = carry(
-        back, [_TIME, _SIDE], series, {"__after": ("last", _RIGHT)},
-        backwards=True, cell=time_cell(_TIME), max_rows=max_rows,
+        back, [_TIME, _SIDE], series, {"__after": ("last", _RIGHT)}, backwards=True, pieces=pieces
     ).where(F.col(_SIDE) == 1)
     t = micros(F.col(_TIME))
     before = t - micros(F.col(f"__before.{right_time}"))

@@ -8,7 +8,7 @@ from seriesmill.functions.states import average, merge_states, stats_state, stdd
 from seriesmill.functions.timecols import floor_time, moment, shift_time
 from seriesmill.operators.latest import latest_per_key
 from seriesmill.operators.ordered import carry, value_cell
-from seriesmill.operators.quantiles import exact_quantile
+from seriesmill.operators.quantiles import exact_quantiles
 
 # Labels of the winner code and of the summary rows.
 MODEL_LABEL = "ML"
@@ -54,26 +54,22 @@ def bucket_totals(
         F.count(inverse).alias("nonzero"),
         F.coalesce(F.sum(inverse), F.lit(0.0)).alias("sum_inv"),
     )
-    per_model = p.groupBy("bucket", "model_type").agg(
-        stats_state(F.col("p")).alias("predicted"),
-        stats_state(F.col("hi") - F.col("lo")).alias("width"),
-        F.count(F.lit(1)).alias("n"),
-        F.max("model_version").alias("model_version"),
-        F.max("generated_at").alias("generated_at"),
-    )
-
-    # Probes ask for running totals at a value: `after` probes include equal actuals.
+    # Probes ask for running totals at a value: those of side 1 include equal actuals.  The
+    # point probe also carries what the statistics of the predictions need.
     sane = F.col("lo") <= F.col("hi")
-    probes = F.array_compact(
-        F.array(
-            F.struct(F.lit("p").alias("kind"), F.col("p").alias("x"), F.lit(1).alias("side")),
-            F.when(sane, F.struct(F.lit("hi").alias("kind"), F.col("hi").alias("x"), F.lit(1).alias("side"))),
-            F.when(sane, F.struct(F.lit("lo").alias("kind"), F.col("lo").alias("x"), F.lit(-1).alias("side"))),
-        )
+    probe = lambda kind, x, side: F.struct(
+        F.lit(kind).alias("kind"), F.col(x).alias("x"), F.lit(side).alias("side")
+    )
+    asked = p.withColumn("width", F.col("hi") - F.col("lo")).select(
+        "bucket", "model_type",
+        F.explode(F.array_compact(F.array(
+            probe("p", "p", 1), F.when(sane, probe("hi", "hi", 1)), F.when(sane, probe("lo", "lo", -1))
+        ))).alias("q"),
+        "width", "model_version", "generated_at",
+    ).select("bucket", "model_type", "q.*", "width", "model_version", "generated_at")
+    bound = a.select("bucket").unionByName(
+        p.select("bucket", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).select("bucket")
     )
-    asked = p.select("bucket", "model_type", F.explode(probes).alias("q")).select(
-        "bucket", "model_type", "q.*"
-    ).where(F.col("x").isNotNull())
     # Equal actuals of a bucket are one row with their count.
     given = a.where(F.col("a").isNotNull()).groupBy("bucket", "a").agg(F.count(F.lit(1)).alias("c")).select(
         "bucket",
@@ -88,29 +84,38 @@ def bucket_totals(
         given.unionByName(asked, allowMissingColumns=True),
         ["x", "side"], ["bucket"],
         {"c_le": ("sum", "c"), "s_le": ("sum", "s"), "z_le": ("sum", "z"), "i_le": ("sum", "i")},
-        cell=value_cell("x", value_grain), max_rows=max_rows,
+        cell=value_cell("x", value_grain), max_rows=max_rows, bound=bound,
     ).where(F.col("side") != 0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     point = F.col("kind") == "p"
-    reached = ordered.groupBy("bucket", "model_type").agg(
+    value, width = F.when(point, F.col("x")), F.when(point, F.col("width"))
+    per_model = ordered.groupBy("bucket", "model_type").agg(
+        F.count_if(point).alias("n"),
+        stats_state(value).alias("predicted"),
+        stats_state(width).alias("width"),
+        F.sum(value).alias("sum_p"),
         F.sum(F.when(point, 2 * F.col("x") * zero("c_le") - 2 * zero("s_le"))).alias("abs_part"),
         F.sum(F.when(point, 2 * F.col("x") * zero("i_le") - 2 * zero("z_le"))).alias("rel_part"),
-        F.sum(F.when(point, F.col("x"))).alias("sum_p"),
         F.sum(
             F.when(F.col("kind") == "hi", zero("c_le")).when(F.col("kind") == "lo", -zero("c_le")).otherwise(0.0)
         ).alias("hits"),
+        F.max(F.when(point, F.col("model_version"))).alias("model_version"),
+        F.max(F.when(point, F.col("generated_at"))).alias("generated_at"),
     )
-    joined = per_model.join(per_bucket, "bucket").join(reached, ["bucket", "model_type"], "left")
+    joined = per_model.join(per_bucket, "bucket")
     known = F.col("actual.n")
     return joined.select(
         "bucket", "model_type", "n", "rows", "predicted", "width", "actual",
         "model_version", "generated_at", "nonzero",
-        F.when(known > 0, F.col("abs_part") + F.col("n") * F.col("sum_a") - F.col("sum_p") * known).alias("abs_sum"),
+        F.when(
+            known > 0,
+            F.col("abs_part") + F.col("predicted.n") * F.col("sum_a") - F.col("sum_p") * known,
+        ).alias("abs_sum"),
         F.when(
             F.col("nonzero") > 0,
-            F.col("rel_part") + F.col("n") * F.col("nonzero") - F.col("sum_p") * F.col("sum_inv"),
+            F.col("rel_part") + F.col("predicted.n") * F.col("nonzero") - F.col("sum_p") * F.col("sum_inv"),
         ).alias("rel_sum"),
-        F.coalesce(F.col("hits"), F.lit(0.0)).alias("hits"),
+        "hits",
     )
 
 
@@ -127,18 +132,19 @@ def accuracy_hourly(
     )
     t = bucket_totals(due, actuals, max_rows=max_rows)
     n, rows, known = F.col("n"), F.col("rows"), F.col("actual.n")
-    pairs = n * known
+    scored = F.col("predicted.n")
+    pairs = scored * known
     p_mean, p_m2 = F.col("predicted.mean"), F.col("predicted.m2")
     a_mean, a_m2 = F.col("actual.mean"), F.col("actual.m2")
     return t.select(
         F.col("bucket").alias("hour"),
         "model_type",
         (n * rows).alias("prediction_count"),
-        _pair_state(pairs, a_mean, a_m2 * n).alias("actual_stats"),
-        _pair_state(n * rows, p_mean, p_m2 * rows).alias("predicted_stats"),
-        _pair_state(pairs, F.when(known > 0, p_mean - a_mean), p_m2 * known + a_m2 * n).alias("error_stats"),
+        _pair_state(n * known, a_mean, a_m2 * n).alias("actual_stats"),
+        _pair_state(scored * rows, p_mean, p_m2 * rows).alias("predicted_stats"),
+        _pair_state(pairs, F.when(known > 0, p_mean - a_mean), p_m2 * known + a_m2 * scored).alias("error_stats"),
         (F.col("abs_sum") / F.nullif(pairs, F.lit(0))).alias("mae_mw"),
-        (F.col("rel_sum") / F.nullif(n * F.col("nonzero"), F.lit(0)) * 100).alias("mape_percent"),
+        (F.col("rel_sum") / F.nullif(scored * F.col("nonzero"), F.lit(0)) * 100).alias("mape_percent"),
         (F.col("hits") / (n * rows) * 100).alias("coverage_percent"),
         _pair_state(F.col("width.n") * rows, F.col("width.mean"), F.col("width.m2") * rows).alias(
             "interval_width_stats"
@@ -205,12 +211,12 @@ def model_comparison(
         (F.col("timestamp") >= shift_time(now, -hours)) & (F.col("timestamp") < shift_time(now, -1))
     )
     t = bucket_totals(recent, actuals, max_rows=max_rows)
-    n, known = F.col("n"), F.col("actual.n")
+    scored, known = F.col("predicted.n"), F.col("actual.n")
     error = F.col("predicted.mean") - F.col("actual.mean")
-    squares = F.col("predicted.m2") * known + F.col("actual.m2") * n + n * known * error * error
+    squares = F.col("predicted.m2") * known + F.col("actual.m2") * scored + scored * known * error * error
     sums = t.groupBy("model_type").agg(
-        F.sum(n * F.col("rows")).alias("prediction_count"),
-        F.sum(n * known).alias("pairs"),
+        F.sum(F.col("n") * F.col("rows")).alias("prediction_count"),
+        F.sum(scored * known).alias("pairs"),
         F.sum("abs_sum").alias("abs_sum"),
         F.sum(squares).alias("squares"),
         F.sum("hits").alias("hits"),
@@ -299,6 +305,7 @@ def win_rate() -> Column:
 
 
 def performance_hourly(comparison: DataFrame, max_rows: int | None = None) -> DataFrame:
+    """Hourly error statistics over rows with an outcome."""
     known = comparison.where(F.col("actual_price").isNotNull())
     rows = known.withColumn("hour", floor_time(known, "time", "1 hour"))
     main = rows.groupBy("hour").agg(
@@ -312,7 +319,7 @@ def performance_hourly(comparison: DataFrame, max_rows: int | None = None) -> Da
         F.min("actual_price").alias("min_actual_price"),
         F.max("actual_price").alias("max_actual_price"),
     )
-    median = exact_quantile(rows, ["hour"], "ml_absolute_error", 0.5, "ml_median_error", max_rows)
+    median = exact_quantiles(rows, ["hour"], "ml_absolute_error", {"ml_median_error": 0.5}, max_rows)
     return main.join(median, "hour")
 
 

@@ -78,18 +78,21 @@ def split(
     *,
     look_back: int = 0,
     max_rows: int | None = None,
+    bound: DataFrame | None = None,
 ) -> Pieces:
     """Measures the series and cuts the long ones.
 
     The measuring jobs read only the keys and the order column.  At most rows / max_rows
-    series can be long.
+    series can be long.  `bound` may be a cheaper table with at least as many rows per series;
+    then the rows themselves are counted only if it has a long series.
     """
     limit = max(rows_per_piece(df.sparkSession, max_rows), look_back)
     keys = list(keys)
     slim = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], cell.alias("__c"))
     names = [f"__k{i}" for i in range(len(keys))]
 
-    sizes = slim.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+    counted = slim if bound is None else bound.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
+    sizes = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
     long_series = sizes.where(F.col("__n") > limit).select(
         *[F.col(n).alias(f"{n}_long") for n in names], F.lit(True).alias("__long")
     )
@@ -177,13 +180,18 @@ def carry(
     backwards: bool = False,
     cell: Column | None = None,
     max_rows: int | None = None,
+    pieces: Pieces | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Adds columns that depend on all earlier rows (all later rows with `backwards`).
 
     `columns` maps a new name to (kind, source): kind `last` carries the latest non-NULL
-    value up to and including the row, kind `sum` is the running total.
+    value up to and including the row, kind `sum` is the running total.  `pieces` reuses the
+    split of an earlier step over the same rows.
     """
-    pieces = split(df, keys, time_cell(order[0]) if cell is None else cell, max_rows=max_rows)
+    if pieces is None:
+        cell = time_cell(order[0]) if cell is None else cell
+        pieces = split(df, keys, cell, max_rows=max_rows, bound=bound)
     direction = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     combine = {
         "last": lambda c: F.last(c, ignorenulls=True),

@@ -11,20 +11,28 @@ from seriesmill.operators.ordered import rows_per_piece
 _ACCURACY = 100_000
 
 
-def exact_quantile(
-    df: DataFrame, keys: Sequence[str], value: str, q: float, name: str, max_rows: int | None = None
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], max_rows: int | None = None
 ) -> DataFrame:
-    """Interpolated quantile of `value` per group, NULLs ignored.
+    """Interpolated quantiles of `value` per group (name to share), NULLs ignored.
 
     Small groups use the built-in exact percentile, which keeps the distinct values of a group
     in memory.  If a group is larger than `max_rows`, an approximate percentile with a proven
-    rank error first brackets the answer, and only the values inside the bracket are ordered.
+    rank error first brackets each answer, and only the values inside a bracket are ordered.
     """
     keys = list(keys)
-    biggest = df.groupBy(*keys).agg(F.count(value).alias("__n"))
-    if biggest.where(F.col("__n") > rows_per_piece(df.sparkSession, max_rows)).isEmpty():
-        return df.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias(name))
-
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("__n"))
+    if sizes.where(F.col("__n") > rows_per_piece(df.sparkSession, max_rows)).isEmpty():
+        shares = F.array(*[F.lit(float(q)) for q in wanted.values()])
+        found = df.groupBy(*keys).agg(F.percentile(value, shares).alias("__q"))
+        return found.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(wanted)])
+    out = sizes.select(*keys)
+    for name, q in wanted.items():
+        out = out.join(_bracketed(df, keys, value, q, name), keys, "left")
+    return out
+
+
+def _bracketed(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
     margin = 4.0 / _ACCURACY
     around = F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0)))
     brackets = df.groupBy(*keys).agg(
@@ -33,9 +41,8 @@ def exact_quantile(
     )
     rows = df.where(F.col(value).isNotNull()).join(brackets, keys)
     low, high = F.col("__b")[0], F.col("__b")[1]
-    below = F.col(value) < low
     # Values below the bracket fold into one row per group, values above it are not needed.
-    slot = F.when(~below, F.col(value))
+    slot = F.when(F.col(value) >= low, F.col(value))
     counted = (
         rows.where(F.col(value) <= high)
         .groupBy(*keys, slot.alias("__v"))
@@ -44,17 +51,13 @@ def exact_quantile(
     order = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first())
     ranked = counted.withColumn("__upto", F.sum("__c").over(order))
     place = (F.col("__n") - 1) * F.lit(q)
-    lower, upper = F.floor(place), F.ceil(place)
 
     def at(rank):
         inside = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
         return F.max(F.when(inside, F.col("__v")))
 
     found = ranked.groupBy(*keys).agg(
-        at(lower).alias("__lo"), at(upper).alias("__hi"), F.first(place).alias("__p")
+        at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi"), F.first(place).alias("__p")
     )
     part = F.col("__p") - F.floor(F.col("__p"))
-    return biggest.select(*keys).join(
-        found.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * part).alias(name)),
-        keys, "left",
-    )
+    return found.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * part).alias(name))

@@ -63,14 +63,14 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _write(df: DataFrame, path: str, mode: str, order: Sequence[str] = ()) -> None:
+def _write(df: DataFrame, path: str, mode: str, order: Sequence[str]) -> None:
     """One folder per day; rows of a file in key order, which helps Parquet's min/max pruning.
 
-    Rows are spread by day and key hash: a day with many rows is written by many tasks.
+    Rebalancing gathers a day's rows in few tasks but splits a day that is too large for one.
     """
-    spread = df.repartition(F.col(DATE), F.pmod(F.hash(*order), F.lit(16))) if order else df
     (
-        (spread.sortWithinPartitions(DATE, *order) if order else spread)
+        df.hint("rebalance", F.col(DATE))
+        .sortWithinPartitions(DATE, *order)
         .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(DATE)
