@@ -36,6 +36,15 @@ CELL_COLUMN = "__cell"
 CARRIED = "__carried"
 
 
+def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys match, like in GROUP BY; the right keys are dropped."""
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    renamed = right.withColumnsRenamed({k: f"__j{i}" for i, k in enumerate(keys)})
+    on = [left[k].eqNullSafe(renamed[f"__j{i}"]) for i, k in enumerate(keys)]
+    return left.join(renamed, reduce(lambda a, b: a & b, on), how).drop(*[f"__j{i}" for i in range(len(keys))])
+
+
 def rows_per_piece(spark: SparkSession, max_rows: int | None) -> int:
     return int(max_rows or spark.conf.get("seriesmill.maxRowsPerPiece", str(MAX_ROWS)))
 
@@ -127,7 +136,7 @@ def split(
             *[F.lead(c, n).over(by_piece).alias(f"{c}_{n}") for c in ("piece", "__first") for n in (1, 2)],
         )
     )
-    placed = cells.join(starts, [*names, "piece"]) if names else cells.join(starts, "piece")
+    placed = join_null_safe(cells, starts, [*names, "piece"])
     targets = F.array(
         F.struct(F.col("piece"), F.lit(True).alias("own")),
         *[
@@ -203,22 +212,20 @@ def carry(
             "*", *[combine[kind](source).over(upto).alias(n) for n, (kind, source) in columns.items()]
         )
 
-    cutup = pieces.assign(df).drop(OWN)
+    # Each new column works on its own copy of its source, which the carried rows fill.
+    cutup = pieces.assign(df).drop(OWN).withColumns({n: F.col(source) for n, (_, source) in columns.items()})
     position = F.struct(*[F.col(c) for c in order])
     newest = F.min_by if backwards else F.max_by
     reduce_piece = {
         # NULL order values are ignored, so this picks the latest row that has a value.
         "last": lambda c: newest(F.col(c), F.when(F.col(c).isNotNull(), position)),
-        "sum": lambda c: F.sum(c),
+        "sum": F.sum,
     }
-    sources = {source: kind for kind, source in columns.values()}
-    totals = cutup.groupBy(*keys, PIECE).agg(*[reduce_piece[k](s).alias(s) for s, k in sources.items()])
+    totals = cutup.groupBy(*keys, PIECE).agg(*[reduce_piece[k](n).alias(n) for n, (k, _) in columns.items()])
     by_piece = F.col(PIECE).desc() if backwards else F.col(PIECE).asc()
     before = Window.partitionBy(*keys).orderBy(by_piece).rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select(
-        *keys,
-        PIECE,
-        *[combine[kind](source).over(before).alias(source) for source, kind in sources.items()],
+        *keys, PIECE, *[combine[k](n).over(before).alias(n) for n, (k, _) in columns.items()],
         F.lit(0).alias(CARRIED),
     )
     upto = (
@@ -229,7 +236,7 @@ def carry(
     return (
         cutup.withColumn(CARRIED, F.lit(1))
         .unionByName(carried, allowMissingColumns=True)
-        .select("*", *[combine[kind](source).over(upto).alias(n) for n, (kind, source) in columns.items()])
+        .select(*df.columns, CARRIED, *[combine[k](n).over(upto).alias(n) for n, (k, _) in columns.items()])
         .where(F.col(CARRIED) == 1)
-        .drop(PIECE, CARRIED)
+        .drop(CARRIED)
     )

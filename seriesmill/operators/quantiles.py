@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from seriesmill.operators.ordered import rows_per_piece
+from seriesmill.operators.ordered import join_null_safe, rows_per_piece
 
 _ACCURACY = 100_000
 
@@ -28,7 +28,7 @@ def exact_quantiles(
         return found.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(wanted)])
     out = sizes.select(*keys)
     for name, q in wanted.items():
-        out = out.join(_bracketed(df, keys, value, q, name), keys, "left")
+        out = join_null_safe(out, _bracketed(df, keys, value, q, name), keys, "left")
     return out
 
 
@@ -39,22 +39,29 @@ def _bracketed(df: DataFrame, keys: list[str], value: str, q: float, name: str)
         F.count(value).alias("__n"),
         F.percentile_approx(value, around, F.lit(_ACCURACY)).alias("__b"),
     )
-    rows = df.where(F.col(value).isNotNull()).join(brackets, keys)
+    rows = join_null_safe(df.where(F.col(value).isNotNull()), brackets, keys)
+    v = F.col(value)
     low, high = F.col("__b")[0], F.col("__b")[1]
-    # Values below the bracket fold into one row per group, values above it are not needed.
-    slot = F.when(F.col(value) >= low, F.col(value))
+    # Values outside the bracket fold into one row on each side, which keeps their count and
+    # the value next to the bracket.
+    side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
     counted = (
-        rows.where(F.col(value) <= high)
-        .groupBy(*keys, slot.alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"), F.first("__n").alias("__n"))
+        rows.groupBy(*keys, side.alias("__s"), F.when(side == 0, v).alias("__v"))
+        .agg(F.count(F.lit(1)).alias("__c"), F.max(v).alias("__max"), F.min(v).alias("__min"), F.first("__n").alias("__n"))
+        .withColumn("__v", F.when(F.col("__s") < 0, F.col("__max")).otherwise(F.col("__min")))
     )
-    order = Window.partitionBy(*keys).orderBy(F.col("__v").asc_nulls_first())
+    order = Window.partitionBy(*keys).orderBy("__s", "__v")
     ranked = counted.withColumn("__upto", F.sum("__c").over(order))
     place = (F.col("__n") - 1) * F.lit(q)
 
     def at(rank):
-        inside = (F.col("__upto") > rank) & (F.col("__upto") - F.col("__c") <= rank)
-        return F.max(F.when(inside, F.col("__v")))
+        first = F.col("__upto") - F.col("__c")
+        here = (F.col("__upto") > rank) & (first <= rank)
+        near = (F.col("__s") == 0) | ((F.col("__s") < 0) & (rank == F.col("__upto") - 1)) | (
+            (F.col("__s") > 0) & (rank == first)
+        )
+        missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+        return F.max(F.when(here & near, F.col("__v")).when(here, missed))
 
     found = ranked.groupBy(*keys).agg(
         at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi"), F.first(place).alias("__p")
