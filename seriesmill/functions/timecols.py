@@ -22,6 +22,12 @@ def seconds(duration: str) -> int:
     return int(number) * _UNIT_SECONDS[unit.rstrip("s")]
 
 
+def bucket_count(start: str, end: str, every: str) -> int:
+    """Largest number of buckets that a closed time range can touch."""
+    span = datetime.fromisoformat(end) - datetime.fromisoformat(start)
+    return int(span.total_seconds() // seconds(every)) + 2
+
+
 def time_type(df: DataFrame, name: str) -> str:
     return df.schema[name].dataType.simpleString()
 

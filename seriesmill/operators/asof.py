@@ -61,7 +61,7 @@ def asof_backward(
     union, series = _tagged(left, right, left_time, right_time, keys)
     found = carry(
         union, [_TIME, _SIDE, _RIGHT], series, {"__match": ("last", _RIGHT)},
-        cell=time_cell(_TIME), max_rows=max_rows,
+        cell=time_cell(_TIME), max_rows=max_rows, bound=_both_keys(left, right, keys, series),
     ).where(F.col(_SIDE) == 1)
     at = F.col(f"__match.{right_time}")
     usable = F.lit(True) if max_age is None else at >= F.col(_TIME) - F.expr(f"INTERVAL {max_age}")

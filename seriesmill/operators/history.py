@@ -41,12 +41,13 @@ def rolling_columns(source: str, prefix: str, windows: Sequence[int], full: bool
 
 def add_target_history(
     df: DataFrame, target: str = "consumption_mw", *, time: str = "timestamp", keys: Sequence[str] = (),
-    lags: Sequence[int] = TARGET_LAGS, windows: Sequence[int] = WINDOWS, max_rows: int | None = None,
+    lags: Sequence[int] = TARGET_LAGS, windows: Sequence[int] = WINDOWS, **limits,
 ) -> DataFrame:
-    """Lags and rolling statistics of the target; one value is enough for a window."""
+    """Lags and rolling statistics of the target; one value is enough for a window.  `limits`
+    are those of `split`: max_rows, bound, at_most."""
     columns = lag_columns(target, target, lags) | rolling_columns(target, target, windows, full=False)
     return with_frames(
-        df, [time], keys, columns, look_back=max([*lags, *windows, 1]), max_rows=max_rows
+        df, [time], keys, columns, look_back=max([*lags, *windows, 1]), **limits
     )
 
 
@@ -68,12 +69,12 @@ def add_price_differences(df: DataFrame) -> DataFrame:
 
 def add_price_history(
     df: DataFrame, price: str = "price_eur_mwh", *, time: str = "time", keys: Sequence[str] = (),
-    lags: Sequence[int] = PRICE_LAGS, windows: Sequence[int] = WINDOWS, max_rows: int | None = None,
+    lags: Sequence[int] = PRICE_LAGS, windows: Sequence[int] = WINDOWS, **limits,
 ) -> DataFrame:
     """Price lags, full-window rolling statistics and differences."""
     framed = with_frames(
         df, [time], keys, price_frames(price, lags, windows),
-        look_back=max([*lags, *windows, 1]), max_rows=max_rows,
+        look_back=max([*lags, *windows, 1]), **limits,
     )
     return add_price_differences(framed)
 
@@ -95,8 +96,9 @@ def add_price_history_to_future(
         F.lit(True).alias("__future"), F.struct(*df.columns).alias("__row"),
     )
     columns = price_frames("__price", lags, windows)
+    bound = history.select(*keys).unionByName(df.select(*keys))
     framed = with_frames(
         known.unionByName(future, allowMissingColumns=True), ["__time", "__future"], keys, columns,
-        look_back=max([*lags, *windows, 1]), max_rows=max_rows,
+        look_back=max([*lags, *windows, 1]), max_rows=max_rows, bound=bound,
     )
     return add_price_differences(framed.where(F.col("__future")).select("__row.*", *columns))

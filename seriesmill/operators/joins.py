@@ -45,11 +45,12 @@ def forward_fill(
     keys: Sequence[str] = (),
     required: str | None = "consumption_mw",
     max_rows: int | None = None,
+    bound: DataFrame | None = None,
 ) -> DataFrame:
     """Each value column carries its last known value; rows before the first `required`
     value are dropped."""
     filled = carry(
-        df, [time], keys, {f"__f_{c}": ("last", c) for c in columns}, max_rows=max_rows
+        df, [time], keys, {f"__f_{c}": ("last", c) for c in columns}, max_rows=max_rows, bound=bound
     ).select(*[F.col(f"__f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])
     return filled.where(F.col(required).isNotNull()) if required in filled.columns else filled
 
@@ -57,7 +58,7 @@ def forward_fill(
 def merge_and_fill(points: DataFrame, keys: Sequence[str] = (), max_rows: int | None = None) -> DataFrame:
     metrics = [m.removesuffix("_mw") for m in POWER_MEASURES]
     merged = merge_series(points, metrics, keys=keys)
-    return forward_fill(merged, POWER_MEASURES, keys=keys, max_rows=max_rows)
+    return forward_fill(merged, POWER_MEASURES, keys=keys, max_rows=max_rows, bound=points)
 
 
 FORECAST_TYPES = ("consumption", "production", "wind")

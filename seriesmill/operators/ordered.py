@@ -88,26 +88,31 @@ def split(
     look_back: int = 0,
     max_rows: int | None = None,
     bound: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> Pieces:
     """Measures the series and cuts the long ones.
 
     The measuring jobs read only the keys and the order column.  At most rows / max_rows
-    series can be long.  `bound` may be a cheaper table with at least as many rows per series;
-    then the rows themselves are counted only if it has a long series.
+    series can be long.  `at_most` is a known limit of the rows per series, which can make
+    measuring needless.  `bound` is a cheaper table with at least as many rows per series; the
+    rows themselves are counted only if it has a long series.
     """
     limit = max(rows_per_piece(df.sparkSession, max_rows), look_back)
     keys = list(keys)
+    if at_most is not None and at_most <= limit:
+        return Pieces(None, tuple(keys))
     slim = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], cell.alias("__c"))
     names = [f"__k{i}" for i in range(len(keys))]
 
-    counted = slim if bound is None else bound.select(*[F.col(k).alias(n) for k, n in zip(keys, names)])
-    sizes = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-    long_series = sizes.where(F.col("__n") > limit).select(
-        *[F.col(n).alias(f"{n}_long") for n in names], F.lit(True).alias("__long")
-    )
-    found = long_series.limit(LISTED_SERIES + 1).collect()
-    if not found:
-        return Pieces(None, tuple(keys))
+    tables = [slim] if bound is None else [bound.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]), slim]
+    for table in tables:
+        sizes = table.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+        long_series = sizes.where(F.col("__n") > limit).select(
+            *[F.col(n).alias(f"{n}_long") for n in names], F.lit(True).alias("__long")
+        )
+        found = long_series.limit(LISTED_SERIES + 1).collect()
+        if not found:
+            return Pieces(None, tuple(keys))
 
     if names:
         # A short list goes to every executor; a longer one stays a table and is joined.
@@ -160,13 +165,16 @@ def with_frames(
     look_back: int,
     cell: Column | None = None,
     max_rows: int | None = None,
+    bound: DataFrame | None = None,
+    at_most: int | None = None,
 ) -> DataFrame:
     """Adds columns whose frames reach at most `look_back` rows back.
 
     All columns share one partitioning and one order, so they cost one shuffle and one sort.
     """
     pieces = split(
-        df, keys, time_cell(order[0]) if cell is None else cell, look_back=look_back, max_rows=max_rows
+        df, keys, time_cell(order[0]) if cell is None else cell, look_back=look_back, max_rows=max_rows,
+        bound=bound, at_most=at_most,
     )
     if pieces.table is None:
         window = Window.partitionBy(*keys).orderBy(*order)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesmill.functions.calendar import add_calendar_features, add_holiday_features, add_time_features
 from seriesmill.functions.supply import add_supply_features
-from seriesmill.functions.timecols import moment, shift_time
+from seriesmill.functions.timecols import bucket_count, moment, shift_time
 from seriesmill.functions.weather import add_weather_features, add_weather_interactions
 from seriesmill.operators.asof import asof_backward
 from seriesmill.operators.history import add_price_history, add_price_history_to_future, add_target_history
@@ -52,18 +52,18 @@ def feature_names(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def consumption_features(
     df: DataFrame, target: str = "consumption_mw", *, keys: Sequence[str] = (), drop_nulls: bool = True,
-    max_rows: int | None = None, **years,
+    max_rows: int | None = None, at_most: int | None = None, **years,
 ) -> DataFrame:
-    framed = add_target_history(df, target, keys=keys, max_rows=max_rows)
+    framed = add_target_history(df, target, keys=keys, max_rows=max_rows, at_most=at_most)
     full = add_weather_interactions(add_holiday_features(add_time_features(framed), "timestamp", **years))
     return require_values(full, [target, *CRITICAL]) if drop_nulls else full
 
 
 def training_features(
     df: DataFrame, time: str = "time", price: str = "price_eur_mwh", *, keys: Sequence[str] = (),
-    max_rows: int | None = None, **years,
+    max_rows: int | None = None, at_most: int | None = None, **years,
 ) -> DataFrame:
-    framed = add_price_history(df, price, time=time, keys=keys, max_rows=max_rows)
+    framed = add_price_history(df, price, time=time, keys=keys, max_rows=max_rows, at_most=at_most)
     return add_supply_features(add_weather_features(add_calendar_features(framed, time, **years)), "actual")
 
 
@@ -103,7 +103,7 @@ def training_dataset(
         if df.isEmpty():
             raise ValueError(f"No {name} data found for training period")
     inputs = hourly_inputs(power, prices, None if weather is None else between(weather), every)
-    full = training_features(inputs, max_rows=max_rows)
+    full = training_features(inputs, max_rows=max_rows, at_most=bucket_count(start, end, every))
     return drop_sparse_rows(full.where(F.col("price_eur_mwh").isNotNull()))
 
 
@@ -156,7 +156,7 @@ def consumption_training_table(
 ) -> DataFrame:
     return consumption_features(
         align_to_hourly(joined_training_data(power, weather, start, end, max_rows=max_rows)),
-        max_rows=max_rows,
+        max_rows=max_rows, at_most=bucket_count(start, end, "1 hour"),
     )
 
 

@@ -79,28 +79,26 @@ VIEWS: dict[str, str] = {
                time - INTERVAL 4 HOUR AS generated_at
         FROM weather""",
     "comparison": """
-        SELECT *,
-               CASE WHEN official_absolute_error IS NOT NULL THEN
-                    CASE WHEN ml_absolute_error < official_absolute_error THEN 1
-                         WHEN ml_absolute_error > official_absolute_error THEN -1 ELSE 0 END END AS winner_code
+        SELECT *, CAST(sign(official_absolute_error - ml_absolute_error) AS INTEGER) AS winner_code
         FROM (
-            SELECT p.*, o.official_price_forecast, a.price_eur_mwh AS actual_price,
-                   abs(p.ml_prediction - a.price_eur_mwh) AS ml_absolute_error,
-                   CASE WHEN a.price_eur_mwh <> 0 THEN abs(p.ml_prediction - a.price_eur_mwh) / abs(a.price_eur_mwh) * 100 END AS ml_percentage_error,
-                   abs(o.official_price_forecast - a.price_eur_mwh) AS official_absolute_error,
-                   CASE WHEN a.price_eur_mwh <> 0 THEN abs(o.official_price_forecast - a.price_eur_mwh) / abs(a.price_eur_mwh) * 100 END AS official_percentage_error
+            SELECT m.*, o.official_price_forecast, a.actual_price,
+                   abs(m.ml_prediction - a.actual_price) AS ml_absolute_error,
+                   abs(m.ml_prediction - a.actual_price) / nullif(abs(a.actual_price), 0) * 100 AS ml_percentage_error,
+                   abs(o.official_price_forecast - a.actual_price) AS official_absolute_error,
+                   abs(o.official_price_forecast - a.actual_price) / nullif(abs(a.actual_price), 0) * 100 AS official_percentage_error
             FROM (
-                SELECT DISTINCT ON (prediction_time) prediction_time AS time, predicted_price_eur_mwh AS ml_prediction,
-                       confidence_lower AS ml_lower, confidence_upper AS ml_upper, model_type, model_version,
-                       generated_at AS prediction_generated_at
+                SELECT prediction_time AS time, predicted_price_eur_mwh AS ml_prediction, confidence_lower AS ml_lower,
+                       confidence_upper AS ml_upper, model_type, model_version, generated_at AS prediction_generated_at
                 FROM price_predictions WHERE model_type = 'production' AND prediction_time < TIMESTAMP '2024-01-25 12:00:00'
-                ORDER BY prediction_time, generated_at DESC
-            ) p
+                QUALIFY row_number() OVER (PARTITION BY prediction_time ORDER BY generated_at DESC) = 1
+            ) m
             LEFT JOIN (
-                SELECT DISTINCT ON (forecast_time) forecast_time, value AS official_price_forecast
-                FROM forecasts WHERE forecast_type = 'price' ORDER BY forecast_time, generated_at DESC
-            ) o ON o.forecast_time = p.time
-            LEFT JOIN outcomes a ON a.time = p.time AND a.area = 'FI' AND a.price_type = 'imbalance'
+                SELECT forecast_time AS time, arg_max(value, generated_at) AS official_price_forecast
+                FROM forecasts WHERE forecast_type = 'price' GROUP BY forecast_time
+            ) o USING (time)
+            LEFT JOIN (
+                SELECT time, price_eur_mwh AS actual_price FROM outcomes WHERE area = 'FI' AND price_type = 'imbalance'
+            ) a USING (time)
         )""",
     "query_log": """
         SELECT CAST(date_trunc('day', ts) AS TS) AS bucket_start_time,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seriesmill.functions import calendar, supply, weather
-from seriesmill.functions.timecols import floor_time, moment, shift_time, weekday
+from seriesmill.functions.timecols import bucket_count, floor_time, moment, shift_time, weekday
 from seriesmill.operators import history, rules
 from seriesmill.operators.latest import latest_per_key
 from seriesmill.plans import datasets, models
@@ -66,9 +66,8 @@ CLOCK_SQL = """
     CAST(hour({0}) AS INTEGER) AS hour, CAST(minute({0}) AS INTEGER) AS minute, CAST(isodow({0}) AS INTEGER) AS day_of_week,
     CAST(dayofyear({0}) AS INTEGER) AS day_of_year, CAST(week({0}) AS INTEGER) AS week_of_year, CAST(month({0}) AS INTEGER) AS month,
     CAST(quarter({0}) AS INTEGER) AS quarter, isodow({0}) >= 6 AS is_weekend,
-    isodow({0}) < 6 AND hour({0}) >= 7 AND hour({0}) < 18 AS is_business_hours,
-    (hour({0}) >= 7 AND hour({0}) < 10) OR (hour({0}) >= 17 AND hour({0}) < 20) AS is_peak_hours,
-    hour({0}) >= 23 OR hour({0}) < 5 AS is_night_hours"""
+    isodow({0}) IN (1, 2, 3, 4, 5) AND hour({0}) BETWEEN 7 AND 17 AS is_business_hours,
+    hour({0}) IN (7, 8, 9, 17, 18, 19) AS is_peak_hours, hour({0}) IN (23, 0, 1, 2, 3, 4) AS is_night_hours"""
 CYCLIC_SQL = """
     sin(2 * 3.14159 * hour({0}) / 24) AS hour_sin, cos(2 * 3.14159 * hour({0}) / 24) AS hour_cos,
     sin(2 * 3.14159 * isodow({0}) / 7) AS day_sin, cos(2 * 3.14159 * isodow({0}) / 7) AS day_cos,
@@ -354,7 +353,7 @@ def _(t):
     inputs = datasets.hourly_inputs(
         inside(t.power), inside(t.prices).where(F.col("area") == "FI"), inside(t.weather)
     )
-    return datasets.training_features(inputs)
+    return datasets.training_features(inputs, at_most=bucket_count(START, END, "1 hour"))
 
 
 def _training(t):
