@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from seriesmill.functions.timecols import moment, shift_time
 from seriesmill.operators.joins import merge_and_fill
-from seriesmill.schemas import DATASETS, dataset_catalogue
+from seriesmill.schemas import dataset_catalogue
 from seriesmill.sinks import tables
 from seriesmill.sources.payloads import decode_points, decode_weather, weather_to_frame
 
@@ -80,11 +81,9 @@ def backfill(
     weather_payloads: DataFrame | None = None,
 ) -> DataFrame:
     """Runs the jobs whose input is given over the last `hours` hours and reports the stored
-    rows per target."""
+    rows per target (counted from file footers)."""
     end = as_of
-    start = spark.range(1).select(
-        shift_time(F.lit(as_of).cast("timestamp_ntz"), -hours).cast("string").alias("s")
-    ).first()["s"]
+    start = (datetime.fromisoformat(as_of) - timedelta(hours=hours)).isoformat(sep=" ")
     done = {}
     if power is not None:
         done["power_actuals"] = lambda p: ingest_actuals(power, p, start, end)
@@ -104,4 +103,3 @@ def backfill(
 
 # Windows of the scheduled jobs, in hours.
 SCHEDULED_HOURS = {"power_actuals": 720, "weather_observations": 720, "power_short": 6, "price_actuals": 72}
-KNOWN_DATASETS = [d[0] for d in DATASETS]

@@ -139,7 +139,7 @@ class TrainedModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.pipeline.write().overwrite().save(f"{path}/pipeline")
-        row = [(self.features, self.target, self.family, self.version, {k: float(v) for k, v in self.metrics.items()})]
+        row = [(self.features, self.target, self.family, self.version, {k: None if v is None else float(v) for k, v in self.metrics.items()})]
         schema = "features array<string>, target string, family string, version string, metrics map<string,double>"
         spark.createDataFrame(row, schema).write.mode("overwrite").parquet(f"{path}/metadata")
 
@@ -206,11 +206,15 @@ def train_price(
     return model
 
 
+class TooFewRows(ValueError):
+    """Refusal to train."""
+
+
 def retrain_price(df: DataFrame, **options) -> TrainedModel:
     """Refuses a training set of fewer than 100 rows."""
     rows = df.limit(MIN_TRAINING_ROWS).count()
     if rows < MIN_TRAINING_ROWS:
-        raise ValueError(f"Insufficient training data: {rows} rows, {MIN_TRAINING_ROWS} needed")
+        raise TooFewRows(f"Insufficient training data: {rows} rows, {MIN_TRAINING_ROWS} needed")
     return train_price(df, **options)
 
 
