@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from seriesmill.functions.timecols import micros
-from seriesmill.operators.ordered import carry, split, time_cell
+from seriesmill.operators.ordered import carry, split, time_cells
 from seriesmill.operators.latest import latest_per_key
 
 _TIME, _SIDE, _LEFT, _RIGHT = "__t", "__side", "__left", "__right"
@@ -61,7 +61,7 @@ def asof_backward(
     union, series = _tagged(left, right, left_time, right_time, keys)
     found = carry(
         union, [_TIME, _SIDE, _RIGHT], series, {"__match": ("last", _RIGHT)},
-        cell=time_cell(_TIME), max_rows=max_rows, bound=_both_keys(left, right, keys, series),
+        cells=time_cells(_TIME), max_rows=max_rows, bound=_both_keys(left, right, keys, series),
     ).where(F.col(_SIDE) == 1)
     at = F.col(f"__match.{right_time}")
     usable = F.lit(True) if max_age is None else at >= F.col(_TIME) - F.expr(f"INTERVAL {max_age}")
@@ -94,7 +94,7 @@ def asof_nearest(
     union, series = _tagged(left, once, left_time, right_time, keys)
     # The two passes share the partitioning; the second one sorts the other way round.  An
     # unbounded-following frame would need no second sort but costs quadratic time.
-    pieces = split(union, series, time_cell(_TIME), max_rows=max_rows, bound=_both_keys(left, right, keys, series))
+    pieces = split(union, series, time_cells(_TIME), max_rows=max_rows, bound=_both_keys(left, right, keys, series))
     back = carry(union, [_TIME, _SIDE], series, {"__before": ("last", _RIGHT)}, pieces=pieces)
     both = carry(
         back, [_TIME, _SIDE], series, {"__after": ("last", _RIGHT)}, backwards=True, pieces=pieces

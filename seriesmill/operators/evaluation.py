@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from seriesmill.functions.states import average, merge_states, stats_state, stddev, variance
 from seriesmill.functions.timecols import floor_time, moment, shift_time
 from seriesmill.operators.latest import latest_per_key
-from seriesmill.operators.ordered import carry, value_cell
+from seriesmill.operators.ordered import carry, value_cells
 from seriesmill.operators.quantiles import exact_quantiles
 
 # Labels of the winner code and of the summary rows.
@@ -84,7 +84,7 @@ def bucket_totals(
         given.unionByName(asked, allowMissingColumns=True),
         ["x", "side"], ["bucket"],
         {"c_le": ("sum", "c"), "s_le": ("sum", "s"), "z_le": ("sum", "z"), "i_le": ("sum", "i")},
-        cell=value_cell("x", value_grain), max_rows=max_rows, bound=bound,
+        cells=value_cells("x", value_grain), max_rows=max_rows, bound=bound,
     ).where(F.col("side") != 0)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     point = F.col("kind") == "p"

@@ -4,7 +4,8 @@ A window over one series is one task's work.  That is right while every series i
 and it is what happens here when no series exceeds `max_rows`.  A longer series (or a table
 without any key) is cut into pieces of about `max_rows` rows:
 
-* rows are counted per *cell*, a narrow interval of the order column (one minute by default);
+* rows are counted per *cell*, a narrow interval of the order column (one minute by default; a
+  cell with too many rows is divided into seconds, then milliseconds);
 * a running sum over the cell counts gives each cell its row offset, and offset / max_rows is
   its piece.  Only cells of long series are counted, and only they are split;
 * frames that look back a fixed number of rows (`with_frames`) get the cells that hold those
@@ -18,7 +19,7 @@ Both need one shuffle of the rows, on (series, piece).
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
@@ -26,9 +27,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, fun
 from seriesmill.session import bounded_broadcast, cut
 
 MAX_ROWS = 2_000_000
-CELL = "minute"
-# Number of long series that are listed on the driver and broadcast.
-LISTED_SERIES = 10_000
+# Cells of long series; a cell that is too large is divided into cells of the next grain.
+GRAINS = ("minute", "second", "millisecond")
+# Number of long series or large cells that are listed on the driver and broadcast.
+LISTED_ROWS = 10_000
 
 PIECE = "__piece"
 OWN = "__own"
@@ -38,10 +40,10 @@ CARRIED = "__carried"
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys match, like in GROUP BY; the right keys are dropped."""
-    if not keys:
+    if not keys:  # a global aggregate on the right: one row
         return left.crossJoin(F.broadcast(right))
     renamed = right.withColumnsRenamed({k: f"__j{i}" for i, k in enumerate(keys)})
-    on = [left[k].eqNullSafe(renamed[f"__j{i}"]) for i, k in enumerate(keys)]
+    on = [F.col(k).eqNullSafe(F.col(f"__j{i}")) for i, k in enumerate(keys)]
     return left.join(renamed, reduce(lambda a, b: a & b, on), how).drop(*[f"__j{i}" for i in range(len(keys))])
 
 
@@ -49,12 +51,21 @@ def rows_per_piece(spark: SparkSession, max_rows: int | None) -> int:
     return int(max_rows or spark.conf.get("seriesmill.maxRowsPerPiece", str(MAX_ROWS)))
 
 
-def time_cell(time: str, grain: str = CELL) -> Column:
-    return F.date_trunc(grain, F.col(time))
+def time_cells(time: str) -> list[Column]:
+    return [F.date_trunc(grain, F.col(time)) for grain in GRAINS]
 
 
-def value_cell(value: str, width: float) -> Column:
-    return F.floor(F.col(value) / F.lit(width))
+def value_cells(value: str, width: float) -> list[Column]:
+    return [F.floor(F.col(value) / F.lit(w)) * F.lit(w) for w in (width, width / 1000)]
+
+
+def _listed(rows: DataFrame) -> DataFrame | None:
+    """A table that is expected to be short: None if empty, broadcast if it is short indeed,
+    and left as a table to be joined if it is not."""
+    found = rows.limit(LISTED_ROWS + 1).collect()
+    if not found:
+        return None
+    return F.broadcast(rows.sparkSession.createDataFrame(found, rows.schema)) if len(found) <= LISTED_ROWS else rows
 
 
 @dataclass(frozen=True)
@@ -63,18 +74,24 @@ class Pieces:
 
     table: DataFrame | None
     keys: tuple[str, ...]
-    cell: Column | None = None
+    cells: tuple[Column, ...] = ()
+    # Per grain but the last: the cells that are divided further.
+    divided: tuple[DataFrame, ...] = ()
+
+    def mark(self, df: DataFrame) -> DataFrame:
+        """Adds the cell of each row."""
+        out = df.withColumn(CELL_COLUMN, self.cells[0])
+        for large, finer in zip(self.divided, self.cells[1:]):
+            out = join_null_safe(out, large, [*self.keys, CELL_COLUMN], "left").withColumn(
+                CELL_COLUMN, F.when(F.col("__large"), finer).otherwise(F.col(CELL_COLUMN))
+            ).drop("__large")
+        return out
 
     def assign(self, df: DataFrame) -> DataFrame:
         """Adds piece and ownership; a row may appear in a later piece as look-back."""
-        if self.table is None:
-            return df.withColumn(PIECE, F.lit(0).cast("long")).withColumn(OWN, F.lit(True))
-        marked = df.withColumn(CELL_COLUMN, self.cell)
-        on = [marked[k].eqNullSafe(self.table[f"__k{i}"]) for i, k in enumerate(self.keys)]
-        on.append(marked[CELL_COLUMN].eqNullSafe(self.table["__c"]))
         whole = F.array(F.struct(F.lit(0).cast("long").alias("piece"), F.lit(True).alias("own")))
         return (
-            marked.join(self.table, reduce(lambda a, b: a & b, on), "left")
+            join_null_safe(self.mark(df), self.table, [*self.keys, CELL_COLUMN], "left")
             .withColumn("__to", F.explode(F.coalesce(F.col("__targets"), whole)))
             .select(*df.columns, F.col("__to.piece").alias(PIECE), F.col("__to.own").alias(OWN))
         )
@@ -83,7 +100,7 @@ class Pieces:
 def split(
     df: DataFrame,
     keys: Sequence[str],
-    cell: Column,
+    cells: Sequence[Column],
     *,
     look_back: int = 0,
     max_rows: int | None = None,
@@ -92,56 +109,53 @@ def split(
 ) -> Pieces:
     """Measures the series and cuts the long ones.
 
-    The measuring jobs read only the keys and the order column.  At most rows / max_rows
-    series can be long.  `at_most` is a known limit of the rows per series, which can make
-    measuring needless.  `bound` is a cheaper table with at least as many rows per series; the
-    rows themselves are counted only if it has a long series.
+    `cells` are intervals of the order column from wide to narrow.  The measuring jobs read
+    only the keys and the order column; at most rows / max_rows series or cells can be too
+    long.  `at_most` is a known limit of the rows per series, which can make measuring
+    needless.  `bound` is a cheaper table with at least as many rows per series; the rows
+    themselves are counted only if it has a long series.
     """
     limit = max(rows_per_piece(df.sparkSession, max_rows), look_back)
     keys = list(keys)
     if at_most is not None and at_most <= limit:
         return Pieces(None, tuple(keys))
-    slim = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], cell.alias("__c"))
-    names = [f"__k{i}" for i in range(len(keys))]
-
-    tables = [slim] if bound is None else [bound.select(*[F.col(k).alias(n) for k, n in zip(keys, names)]), slim]
-    for table in tables:
-        sizes = table.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
-        long_series = sizes.where(F.col("__n") > limit).select(
-            *[F.col(n).alias(f"{n}_long") for n in names], F.lit(True).alias("__long")
-        )
-        found = long_series.limit(LISTED_SERIES + 1).collect()
-        if not found:
+
+    def longer(counted: DataFrame, names: Sequence[str], flag: str) -> DataFrame | None:
+        sizes = counted.groupBy(*names).agg(F.count(F.lit(1)).alias("__n"))
+        return _listed(sizes.where(F.col("__n") > limit).select(*names, F.lit(True).alias(flag)))
+
+    for table in ([df] if bound is None else [bound, df]):
+        long_series = longer(table, keys, "__long")
+        if long_series is None:
             return Pieces(None, tuple(keys))
+    rows = join_null_safe(df, long_series, keys, "left_semi") if keys else df
 
-    if names:
-        # A short list goes to every executor; a longer one stays a table and is joined.
-        listed = len(found) <= LISTED_SERIES
-        other = F.broadcast(df.sparkSession.createDataFrame(found, long_series.schema)) if listed else long_series
-        same = reduce(lambda a, b: a & b, [slim[n].eqNullSafe(other[f"{n}_long"]) for n in names])
-        slim = slim.join(other, same, "left_semi")
-    counts = slim.groupBy(*names, "__c").agg(F.count(F.lit(1)).alias("__n"))
+    pieces = Pieces(None, tuple(keys), tuple(cells))
+    for _ in cells[1:]:
+        large = longer(pieces.mark(rows), [*keys, CELL_COLUMN], "__large")
+        if large is None:
+            break
+        pieces = replace(pieces, divided=(*pieces.divided, large))
 
     # From here on the data are cell counts of the long series only.
-    in_order = Window.partitionBy(*names).orderBy("__c")
-    cells = counts.withColumn("__end", F.sum("__n").over(in_order)).withColumn(
+    counts = pieces.mark(rows).groupBy(*keys, CELL_COLUMN).agg(F.count(F.lit(1)).alias("__n"))
+    in_order = Window.partitionBy(*keys).orderBy(CELL_COLUMN)
+    offsets = counts.withColumn("__end", F.sum("__n").over(in_order)).withColumn(
         "__start", F.col("__end") - F.col("__n")
-    )
-    cells = cells.withColumn("piece", F.floor(F.col("__start") / F.lit(limit)))
+    ).withColumn("piece", F.floor(F.col("__start") / F.lit(limit)))
 
     # A piece may be short when a wide cell precedes it, so look-back can reach over it into
     # the piece before, but never further: piece p starts at p * limit rows or later.
-    by_piece = Window.partitionBy(*names).orderBy("piece")
+    by_piece = Window.partitionBy(*keys).orderBy("piece")
     starts = (
-        cells.groupBy(*names, "piece")
+        offsets.groupBy(*keys, "piece")
         .agg(F.min("__start").alias("__first"))
         .select(
-            *names,
+            *keys,
             "piece",
             *[F.lead(c, n).over(by_piece).alias(f"{c}_{n}") for c in ("piece", "__first") for n in (1, 2)],
         )
     )
-    placed = join_null_safe(cells, starts, [*names, "piece"])
     targets = F.array(
         F.struct(F.col("piece"), F.lit(True).alias("own")),
         *[
@@ -152,8 +166,9 @@ def split(
             for n in (1, 2)
         ],
     )
-    table = cut(placed.select(*names, "__c", F.array_compact(targets).alias("__targets")))
-    return Pieces(bounded_broadcast(table), tuple(keys), cell)
+    placed = join_null_safe(offsets, starts, [*keys, "piece"])
+    table = cut(placed.select(*keys, CELL_COLUMN, F.array_compact(targets).alias("__targets")))
+    return replace(pieces, table=bounded_broadcast(table))
 
 
 def with_frames(
@@ -163,7 +178,7 @@ def with_frames(
     columns: dict[str, Callable[[WindowSpec], Column]],
     *,
     look_back: int,
-    cell: Column | None = None,
+    cells: Sequence[Column] | None = None,
     max_rows: int | None = None,
     bound: DataFrame | None = None,
     at_most: int | None = None,
@@ -173,8 +188,7 @@ def with_frames(
     All columns share one partitioning and one order, so they cost one shuffle and one sort.
     """
     pieces = split(
-        df, keys, time_cell(order[0]) if cell is None else cell, look_back=look_back, max_rows=max_rows,
-        bound=bound, at_most=at_most,
+        df, keys, cells or time_cells(order[0]), look_back=look_back, max_rows=max_rows, bound=bound, at_most=at_most
     )
     if pieces.table is None:
         window = Window.partitionBy(*keys).orderBy(*order)
@@ -195,7 +209,7 @@ def carry(
     columns: dict[str, tuple[str, str]],
     *,
     backwards: bool = False,
-    cell: Column | None = None,
+    cells: Sequence[Column] | None = None,
     max_rows: int | None = None,
     pieces: Pieces | None = None,
     bound: DataFrame | None = None,
@@ -207,8 +221,7 @@ def carry(
     split of an earlier step over the same rows.
     """
     if pieces is None:
-        cell = time_cell(order[0]) if cell is None else cell
-        pieces = split(df, keys, cell, max_rows=max_rows, bound=bound)
+        pieces = split(df, keys, cells or time_cells(order[0]), max_rows=max_rows, bound=bound)
     direction = [F.col(c).desc() if backwards else F.col(c).asc() for c in order]
     combine = {
         "last": lambda c: F.last(c, ignorenulls=True),

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seriesmill.functions.timecols import moment, shift_time
 from seriesmill.operators.joins import merge_and_fill
 from seriesmill.schemas import dataset_catalogue
+from seriesmill.session import cut
 from seriesmill.sinks import tables
 from seriesmill.sources.payloads import decode_points, decode_weather, weather_to_frame
 
@@ -31,7 +32,8 @@ def with_catalogue(points: DataFrame, kind: str) -> DataFrame:
 def ingest_actuals(points: DataFrame, path: str, start: str, end: str, max_rows: int | None = None) -> DataFrame:
     """Points (dataset_id, timestamp, value) of the five power series: merge, fill, upsert."""
     inside = in_window(with_catalogue(points, "actual"), "timestamp", start, end)
-    merged = merge_and_fill(inside, max_rows=max_rows)
+    # Stored once: the upsert looks at its batch more than once.
+    merged = cut(merge_and_fill(inside, max_rows=max_rows))
     tables.store_power(merged, path)
     return merged
 

@@ -86,9 +86,9 @@ def append(df: DataFrame, path: str, table: str) -> None:
     _write(with_date(df, table), path, "append", KEYS[table])
 
 
-def _touched(target: DataFrame, batch: DataFrame) -> DataFrame:
+def _touched(target: DataFrame, dated_batch: DataFrame) -> DataFrame:
     """Target rows in the date partitions of the batch (other folders are not read)."""
-    days = batch.select(DATE).distinct()
+    days = dated_batch.select(DATE).distinct()
     if days.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         days = F.broadcast(days)
     return target.join(days, DATE, "left_semi")
@@ -101,13 +101,14 @@ def upsert(batch: DataFrame, path: str, table: str, replaced: Sequence[str], ord
     extra = [c for c in order if c not in TABLES[table].names]
     stored_names = [*TABLES[table].names, DATE]
     ranked = list(order) or [c for c in TABLES[table].names if c not in keys]
-    newest = latest_per_key(with_date(batch, table), keys, ranked).drop(*extra).select(*stored_names)
+    dated = with_date(batch, table)
+    newest = latest_per_key(dated, keys, ranked).drop(*extra).select(*stored_names)
     old = read_table(batch.sparkSession, path)
     if old is None:
         _write(newest, path, "append", keys)
         return
     kept = [c for c in stored_names if c not in keys and c not in replaced]
-    both = _touched(old.select(*stored_names), newest).withColumn("__new", F.lit(0)).unionByName(
+    both = _touched(old.select(*stored_names), dated).withColumn("__new", F.lit(0)).unionByName(
         newest.withColumn("__new", F.lit(1))
     )
     # At most two rows per key: the values of the newer one, the kept columns of the older one.
@@ -127,7 +128,7 @@ def insert_if_absent(batch: DataFrame, path: str, table: str, order: Sequence[st
     dated = with_date(batch, table)
     first = first_per_key(dated, keys, ranked).select(*stored_names)
     old = read_table(batch.sparkSession, path)
-    new = first if old is None else first.join(_touched(old, first).select(*keys), keys, "left_anti")
+    new = first if old is None else first.join(_touched(old, dated).select(*keys), keys, "left_anti")
     _write(new, path, "append", keys)
     offered = dated.count()
     after = read_table(batch.sparkSession, path)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators.asof import asof_backward, asof_nearest
 from seriesmill.operators.history import lag_columns, rolling_columns
-from seriesmill.operators.ordered import carry, split, time_cell, value_cell, with_frames
+from seriesmill.operators.ordered import CELL_COLUMN, carry, split, time_cells, value_cells, with_frames
 from seriesmill.plans.datasets import chronological_split
 
 START = pd.Timestamp("2024-01-01")
@@ -95,23 +95,33 @@ def test_carry(spark, kind, backwards, max_rows):
 
 def test_only_long_series_are_cut(spark):
     data = to_spark(spark, series("even"))
-    pieces = split(data, ["key"], time_cell("time"), max_rows=100)
-    cut_keys = {r["__k0"] for r in pieces.table.select("__k0").distinct().collect()}
+    pieces = split(data, ["key"], time_cells("time"), max_rows=100)
+    cut_keys = {r["key"] for r in pieces.table.select("key").distinct().collect()}
     assert cut_keys == {1, None}
-    assert split(data, ["key"], time_cell("time"), max_rows=600).table is None
+    assert split(data, ["key"], time_cells("time"), max_rows=600).table is None
 
 
 def test_pieces_stay_near_the_limit(spark):
     data = to_spark(spark, series("even"))
-    assigned = split(data, [], time_cell("time"), look_back=10, max_rows=50).assign(data)
+    assigned = split(data, [], time_cells("time"), look_back=10, max_rows=50).assign(data)
     sizes = [r["count"] for r in assigned.groupBy("__piece").count().collect()]
     assert len(sizes) > 10 and max(sizes) <= 50 + 10 + 10
 
 
+def test_large_cells_are_divided(spark):
+    """Most rows lie within one minute: that minute is cut into seconds."""
+    data = to_spark(spark, series("bursts"))
+    pieces = split(data, ["key"], time_cells("time"), look_back=5, max_rows=40)
+    assert len(pieces.divided) == 1
+    sizes = [r["count"] for r in pieces.assign(data).groupBy("key", "__piece").count().collect()]
+    assert max(sizes) <= 40 + 20 + 20 + 5
+    assert pieces.mark(data).select(CELL_COLUMN).distinct().count() > 20
+
+
 def test_value_cells(spark):
     data = series("even").dropna(subset=["value"]).drop_duplicates("value")
     got = collected(
-        carry(to_spark(spark, data), ["value"], [], {"total": ("sum", "value")}, cell=value_cell("value", 1.0), max_rows=30),
+        carry(to_spark(spark, data), ["value"], [], {"total": ("sum", "value")}, cells=value_cells("value", 1.0), max_rows=30),
         ["value"],
     )
     want = data.sort_values("value")["value"].cumsum()
