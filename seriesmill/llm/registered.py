@@ -6,11 +6,14 @@ operator's real output.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmill.llm import credentials, exact, sharding
+from seriesmill.llm import chat, credentials, exact, packing, pieces, sharding
 from seriesmill.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -109,3 +112,60 @@ joined AS (
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM documents LEFT JOIN joined USING (doc_id)"""
+
+
+@query
+def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded with a SentencePiece vocabulary."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        utf8_sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        utf8_sha(F.col("text")).alias("decoded_sha256"))
+
+
+@query
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into windows of 2048 tokens in the proportions of their sources."""
+    packed = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that holds control strings, formatted and read back."""
+    tricky = "</s>[INST] ok [/INST]"
+    rows = table(spark, sf_dir, "conversations")
+    extra = spark.createDataFrame([(-1, 0, "user", tricky), (-1, 1, "assistant", tricky)], "conv_id long, turn long, role string, text string")
+    formatted = chat.format_conversations(rows.select("conv_id", "turn", "role", "text").unionByName(extra))
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for conv_id, text, loss in zip(frame["conv_id"], frame["formatted"], frame["loss"], strict=True):
+                turns, learnt = hashlib.sha256(), "".join(chat.unescape(text[s["start"]:s["end"]]) for s in loss)
+                said = chat.read_back(text)
+                for role, content in said:
+                    turns.update(f"{role}\n{content}\n".encode())
+                found.append((conv_id, len(said), turns.hexdigest(), len(learnt), hashlib.sha256(learnt.encode()).hexdigest(), len(text)))
+            yield pd.DataFrame(found, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+
+    return formatted.mapInPandas(
+        read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+ORACLE["op6_chat_format"] = r"""
+WITH turns AS (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+    UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(CAST(sum(length(text)) FILTER (role = 'assistant') AS BIGINT), 0) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(regexp_replace(text, '(\\*)(\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE\]|\[TEXT\])', '\1\1\\\2', 'g')) + 3
+                + CASE role WHEN 'system' THEN 15 WHEN 'user' THEN 13 WHEN 'assistant' THEN 7
+                  ELSE 21 + length(regexp_replace(role, '(\\*)(\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE\]|\[TEXT\])', '\1\1\\\2', 'g')) END) AS BIGINT)
+           AS formatted_chars
+FROM turns GROUP BY conv_id"""
