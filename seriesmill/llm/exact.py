@@ -24,6 +24,8 @@ STATE_SETTINGS = {
     # One bound for all state stores of an executor; beyond it RocksDB works from disk.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    # Many small stores: no space is set aside ahead of use.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
 
