@@ -13,8 +13,8 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmill.llm import chat, credentials, exact, packing, pieces, sharding
-from seriesmill.llm.common import table
+from seriesmill.llm import chat, credentials, exact, packing, pieces, sharding, toxicity
+from seriesmill.llm.common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -133,6 +133,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learnt from labels outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    network = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, network).select(
+        "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds control strings, formatted and read back."""
