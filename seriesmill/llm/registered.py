@@ -13,8 +13,8 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmill.llm import chat, credentials, exact, packing, pieces, sharding, toxicity
-from seriesmill.llm.common import fold, table
+from seriesmill.llm import chat, credentials, exact, jaccard, packing, pieces, sharding, toxicity
+from seriesmill.llm.common import FILE, ROW, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -142,6 +142,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", (fold("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document by the Jaccard index of its five-word n-grams."""
+    return jaccard.similar_texts(table(spark, sf_dir, "documents")).drop(FILE, ROW)
+
+
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations and one that holds control strings, formatted and read back."""
