@@ -13,7 +13,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmill.llm import chat, credentials, exact, jaccard, packing, pieces, sharding, toxicity
+from seriesmill.llm import chat, credentials, exact, hashing, jaccard, packing, pieces, sharding, toxicity
 from seriesmill.llm.common import FILE, ROW, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,6 +50,12 @@ SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+@query
+def op9_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector, by inner product."""
+    return hashing.nearest(table(spark, sf_dir, "embeddings"), "id % 20 = 0")
+
+
 @query
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of three kinds in every text and, by ownership, live credentials and examples.
