@@ -24,7 +24,7 @@ from pyspark.sql.window import Window
 
 from seriesmill.llm.bytelevel import ByteLevel
 from seriesmill.llm.memo import slices, spans
-from seriesmill.session import scratch_path
+from seriesmill.session import bounded_broadcast, scratch_path
 
 WINDOW = 2048
 END_ID = 1
@@ -163,7 +163,7 @@ def pack(
                     pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(offsets), pa.py_buffer(ids)]).cast(pa.binary()),
                 ], names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    placed = tokens.join(starts, ["queue", "part"]).select("doc_id", "queue", "doc_tokens", "ids", (F.col("before") + F.col("within")).alias("at"))
+    placed = tokens.join(bounded_broadcast(starts), ["queue", "part"]).select("doc_id", "queue", "doc_tokens", "ids", (F.col("before") + F.col("within")).alias("at"))
     kind = tokens.schema["doc_id"].dataType.simpleString()
     return placed.mapInArrow(
         run, f"doc_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")

@@ -13,7 +13,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmill.llm import chat, credentials, exact, hashing, jaccard, packing, pieces, sharding, toxicity
+from seriesmill.llm import chat, credentials, exact, hashing, jaccard, packing, pieces, quality, sharding, toxicity
 from seriesmill.llm.common import FILE, ROW, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -120,6 +120,12 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM documents LEFT JOIN joined USING (doc_id)"""
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether it is within its language's quantile."""
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op2_piece_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded with a SentencePiece vocabulary."""
