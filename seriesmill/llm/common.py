@@ -44,8 +44,16 @@ def with_row_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def fold(doc_id: str | Column, folds: int = 5) -> Column:
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, list[str]]:
+    """`docs` with columns named __0, __1, ... so that none clashes with a column of ours, and the new
+    names of the given columns.  `docs.columns` gives the old names back."""
+    return docs.toDF(*(f"__{i}" for i in range(len(docs.columns)))), [f"__{docs.columns.index(n)}" for n in names]
+
+
+def restored(df: DataFrame, docs: DataFrame) -> DataFrame:
+    return df.select(*(F.col(f"__{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
+def fold(doc_id: str, folds: int = 5) -> Column:
     """crc32 of the id as text modulo `folds`; fold 0 is held out."""
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds if isinstance(doc_id, str) else (
-        F.crc32(doc_id.cast("string").cast("binary")) % folds
-    )
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from seriesmill.llm.common import FILE, ROW, stored, with_row_keys
+from seriesmill.llm.common import FILE, ROW, restored, set_aside, stored, with_row_keys
 from seriesmill.session import bounded_broadcast
 
 # Kinds in their order, patterns, least lengths (of the value).
@@ -105,15 +105,17 @@ def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text",
 def mask_live(docs: DataFrame, repository: Column, owner: Column, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
     """`docs` with every live credential in its text replaced by MASK and n_chars set anew; all
     rows and columns stay, texts without a live credential are untouched."""
-    named = docs.select("*", repository.alias("__repository"), owner.alias("__owner"))
-    keyed = with_row_keys(named)
-    plain = keyed.select(FILE, ROW, F.coalesce(F.col(text), F.lit("")).alias("text"), "__repository", "__owner")
-    live = labelled(plain, F.col("__repository"), F.col("__owner")).where("kind = 'live'").groupBy(FILE, ROW).agg(
-        F.collect_set("value").alias("__live"))
-    joined = keyed.join(bounded_broadcast(stored(live, "live")), [FILE, ROW], "left")
-    masked = F.aggregate("__live", F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK)))
-    changed = joined.withColumn(text, F.when(F.col("__live").isNull(), F.col(text)).otherwise(masked))
+    owned = docs.select("*", repository.alias("__repository"), owner.alias("__owner"))
+    inner, (text, repository, owner) = set_aside(owned, text, "__repository", "__owner")
+    keyed = with_row_keys(inner)
+    plain = keyed.select(FILE, ROW, F.coalesce(F.col(text), F.lit("")).alias("text"), repository, owner)
+    live = labelled(plain, F.col(repository), F.col(owner)).where("kind = 'live'").groupBy(FILE, ROW).agg(
+        F.collect_set("value").alias("live"))
+    changed = keyed.join(bounded_broadcast(stored(live, "live")), [FILE, ROW], "left")
+    changed = changed.withColumn(text, F.coalesce(
+        F.aggregate("live", F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK))), F.col(text)))
     if n_chars in docs.columns:
-        changed = changed.withColumn(n_chars, F.when(F.col("__live").isNull(), F.col(n_chars)).otherwise(
+        size = f"__{docs.columns.index(n_chars)}"
+        changed = changed.withColumn(size, F.when(F.col("live").isNull(), F.col(size)).otherwise(
             F.length(text).cast(docs.schema[n_chars].dataType)))
-    return changed.select(*(changed[f"`{c}`"] for c in docs.columns))
+    return restored(changed, docs)

@@ -15,7 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from seriesmill.llm.common import FILE, ROW, stored, with_row_keys
+from seriesmill.llm.common import FILE, ROW, restored, set_aside, stored, with_row_keys
 from seriesmill.session import bounded_broadcast, scratch_path
 
 STATE_SETTINGS = {
@@ -129,7 +129,8 @@ def _groups(
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay, with the columns of `docs`."""
-    keyed = with_row_keys(docs)
+    inner, (text, doc_id) = set_aside(docs, text, doc_id)
+    keyed = with_row_keys(inner)
     groups = _groups(keyed, text, doc_id, sha256, BATCH_BYTES)
     dropped = bounded_broadcast(groups.where(~F.col("kept")).select(FILE, ROW))
-    return keyed.join(dropped, [FILE, ROW], "left_anti").select(*(keyed[f"`{c}`"] for c in docs.columns))
+    return restored(keyed.join(dropped, [FILE, ROW], "left_anti"), docs)

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from seriesmill.llm.common import FILE, ROW, stored, with_row_keys
+from seriesmill.llm.common import FILE, ROW, restored, set_aside, stored, with_row_keys
 from seriesmill.llm.components import components
 from seriesmill.llm.memo import slices
 from seriesmill.session import bounded_broadcast
@@ -242,7 +242,8 @@ def similar_texts(
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The rows of `docs` that stay, one of each class, with the columns of `docs`."""
-    keyed = with_row_keys(docs)
+    inner, (text, doc_id) = set_aside(docs, text, doc_id)
+    keyed = with_row_keys(inner)
     classes = _classes(keyed, text, doc_id, SIZE, THRESHOLD, TREES, LABEL, RECALL)
     dropped = bounded_broadcast(stored(classes.where(~F.col("kept")).select(FILE, ROW), "dropped"))
-    return keyed.join(dropped, [FILE, ROW], "left_anti").select(*(keyed[f"`{c}`"] for c in docs.columns))
+    return restored(keyed.join(dropped, [FILE, ROW], "left_anti"), docs)

@@ -113,11 +113,12 @@ def order_tables(trusted: DataFrame) -> dict[int, DataFrame]:
 
 
 def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and more, kept within [0, count)."""
+    """Modified Kneser-Ney discounts for counts 1, 2 and more, kept between 0.05 and the count less 0.05:
+    something is always left for what was never seen."""
     n = table.agg(*(F.count_if(F.col("count") == k) for k in (1, 2, 3, 4))).first()
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
-    return tuple(min(max(d, 0.0), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))
+    return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))
 
 
 def discounted(count: Column, d: tuple[float, float, float]) -> Column:

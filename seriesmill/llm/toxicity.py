@@ -21,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from seriesmill.llm.common import fold
+from seriesmill.llm.common import fold, restored, set_aside
 from seriesmill.llm.memo import slices, spans
 
 WINDOW, STEP = 32, 24
@@ -31,6 +31,7 @@ GRAM_SIZES = (3, 4, 5)
 # The sample: at most so many rows of each label, with texts of at most so many characters.
 TRAIN_ROWS, TRAIN_CHARS = 2500, 4000
 # Small samples are read more often, in smaller batches, so that the steps suffice.
+LEAST_TEXTS = 3
 EPOCHS, STEPS, BATCH, LEAST_BATCH, RATE = 5, 300, 48, 8, 0.01
 SLICE_BYTES, SCORED_AT_ONCE, ENTRIES = 2 << 20, 2048, 250_000
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡"
@@ -196,9 +197,17 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
     network, random = Network.new(seed), np.random.default_rng(seed)
     w = network.weights
     vocabulary: dict[str, int] = {}
+    common: dict[str, np.ndarray] = {}
     coded = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in words_of(t)], np.int64) for t in texts]
     word, grams, counts = features(list(vocabulary) or [""])
     first = np.cumsum(counts) - counts
+    # Rows of the tables that few texts use could only learn those texts by heart: they stay zero.
+    for table, rows in (("word", lambda i: word[i]), ("gram", lambda i: grams[spans(first[i], counts[i])])):
+        seen = np.zeros(len(w[table]), np.int64)
+        for i in coded:
+            seen[np.unique(rows(np.unique(i)))] += 1
+        w[table][seen < LEAST_TEXTS] = 0
+        common[table] = seen >= LEAST_TEXTS
     target = np.array(toxic, np.float32)
     dense = ["input", "bias", "forward", "backward", "attention", "out", "out_bias"]
     moments = {k: (np.zeros_like(w[k]), np.zeros_like(w[k])) for k in dense}
@@ -238,6 +247,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
                 names, at_row = np.unique(rows, return_inverse=True)
                 order_row = np.argsort(at_row, kind="stable")
                 sums = np.add.reduceat(values[order_row], np.concatenate([[0], np.nonzero(np.diff(at_row[order_row]))[0] + 1]), axis=0)
+                names, sums = names[common[k][names]], sums[common[k][names]]
                 squares[k][names] += sums * sums
                 w[k][names] -= 0.1 * sums / np.sqrt(squares[k][names])
     scorer = Scorer(network)
@@ -355,5 +365,5 @@ def score(docs: DataFrame, network: Network | None, text: str = "text", keep: tu
 
 def keep_clean(docs: DataFrame, network: Network | None, text: str = "text", limit: float = 0.5) -> DataFrame:
     """The rows of `docs` with a score below `limit`, with their columns."""
-    return score(docs, network, text, tuple(docs.columns)).where(F.col("score") < limit).select(
-        *(F.col(f"`{c}`") for c in docs.columns))
+    inner, (text,) = set_aside(docs, text)
+    return restored(score(inner, network, text, tuple(inner.columns)).where(F.col("score") < limit), docs)

@@ -1,0 +1,74 @@
+import random
+import re
+
+from helpers import documents
+from pyspark.sql import functions as F
+
+from seriesmill.llm import credentials
+
+ASSIGN = re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd])|(?:[Pp][Aa][Ss][Ss][Ww][Dd])|(?:[Ss][Ee][Cc][Rr][Ee][Tt])|(?:[Tt][Oo][Kk][Ee][Nn])|(?:[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def spans(text):
+    found = []
+    for m in ASSIGN.finditer(text):
+        if len(m[2]) >= 12:
+            found.append((m.start(), 0, "assign", m.end(), m[2]))
+    for place, kind, pattern, least in ((1, "access", r"AKIA[A-Z0-9]+", 18), (2, "hex", r"[0-9a-f]+", 16)):
+        found += [(m.start(), place, kind, m.end(), m[0]) for m in re.finditer(pattern, text) if len(m[0]) >= least]
+    return sorted(found)
+
+
+def scan(spark, rows, extra=()):
+    return credentials.scan(documents(spark, rows, extra), F.concat_ws("/", "source", "lang"), F.col("source"))
+
+
+def test_base_spans_against_brute_force(spark):
+    draw = random.Random(5)
+    bits = ["password", "Token", "API_KEY", "apikey", "secret", " = ", ":", "='", '": "', "AKIA", "deadbeef01234567", "QWERTY12345678",
+            "é🎉", "\n", " ", "abc", "0f", "==", "-/+", "token=secret:abcdefghijklmnop", "AKIAAKIA"]
+    texts = ["".join(draw.choices(bits, k=draw.randint(0, 25))) for _ in range(300)]
+    texts += [None, "", "token=abcdefghijkl " * 3000, "ſecret=abcdefghijklmno", "token = \"" + "f" * 40 + "\""]
+    rows = [(i, t, "en", f"s{i % 4}") for i, t in enumerate(texts)] + [(0, texts[0], "en", "s0"), (None, texts[1], None, None)]
+    got = scan(spark, rows, ("found", "value", "kind", "hash")).collect()
+    assert len(got) == len(rows)
+    want = {}
+    for i, t, *_ in rows:
+        want.setdefault(i, [(s, kind, e) for s, _, kind, e, _ in spans(t or "")])
+    for r in got:
+        base = [(s.start, s.kind, s.end) for s in r.found if s.kind in ("assign", "access", "hex")]
+        assert base == want[r.doc_id]
+
+
+def test_ownership(spark):
+    shared, own = "aaaa1111bbbb2222cccc3333", "d3adb33fd3adb33f00112233"
+    rows = [(1, f"token={shared}", "en", "s1"), (2, f"x {shared}", "en", "s2"), (3, f"key {own}", "en", "s1"),
+            (4, f"again {own}", "de", "s1"), (5, "token=aaaaaaaaaaaaaaaa", "en", "s3")]
+    got = {r.doc_id: {(s.kind, s.value) for s in r.found} for r in scan(spark, rows).collect()}
+    assert ("example", shared) in got[1] and ("example", shared) in got[2]
+    assert ("live", own) in got[3] and ("live", own) in got[4]
+    assert {k for k, _ in got[5]} == {"assign", "example", "hex"}  # one repeated letter doesn't look live
+
+
+def test_mask(spark):
+    own = "d3adb33fd3adb33f00112233"
+    docs = documents(spark, [(1, f"a {own} b {own}", "en", "s1"), (2, "plain", "en", "s1"), (3, None, "en", "s2"),
+                             (4, f"other {own}", "en", "s1")], ("__live", "value"))
+    got = credentials.mask_live(docs, F.col("source"), F.col("source"))
+    assert got.columns == docs.columns
+    texts = {r.doc_id: (r.text, r.n_chars) for r in got.collect()}
+    mask = credentials.MASK
+    assert texts[1] == (f"a {mask} b {mask}", len(f"a {mask} b {mask}")) and texts[4][0] == f"other {mask}"
+    assert texts[2] == ("plain", 5) and texts[3][0] is None
+
+
+def test_empty(spark):
+    assert scan(spark, []).count() == 0
+    assert credentials.mask_live(documents(spark, []), F.col("source"), F.col("source")).count() == 0
+
+
+def test_no_python_in_the_plan(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    documents(spark, [(1, "token=abcdefghijklmnop")]).write.parquet(path)
+    plan = credentials.scan(spark.read.parquet(path), F.col("source"), F.col("source"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
