@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesmill.functions.timecols import weekday
 
-FIRST_YEAR, LAST_YEAR = 2020, 2030
-
 # Fixed value: the feature definitions use this shortened pi.
 PI = 3.14159
 
@@ -26,59 +24,44 @@ def _easter(year: Column) -> Column:
     return F.make_date(year.cast("int"), div(serial, 31).cast("int"), (serial % 31 + 1).cast("int"))
 
 
-def _saturday_from(year: Column, month: int, day: int) -> Column:
-    """First Saturday on or after the given day."""
-    start = F.make_date(year.cast("int"), F.lit(month), F.lit(day))
-    return F.date_add(start, F.pmod(F.lit(7) - F.dayofweek(start), F.lit(7)))
-
-
-def holidays(spark: SparkSession, first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR) -> DataFrame:
-    """One row per Finnish public holiday, at most 15 a year."""
-    year = F.col("id")
-    easter = _easter(year)
-    midsummer = _saturday_from(year, 6, 20)
-    # Fixed values: (month, day) of the holidays with a fixed date.
-    fixed = [(1, 1), (1, 6), (5, 1), (12, 6), (12, 24), (12, 25), (12, 26)]
-    days = [F.make_date(year.cast("int"), F.lit(m), F.lit(d)) for m, d in fixed]
-    # Good Friday, Easter Sunday and Monday, Ascension, Whit Sunday.
-    days += [F.date_add(easter, n) for n in (-2, 0, 1, 39, 49)]
-    # Midsummer Eve and Day, All Saints' Day.
-    days += [F.date_sub(midsummer, 1), midsummer, _saturday_from(year, 10, 31)]
-    return spark.range(first_year, last_year + 1).select(F.explode(F.array(*days)).alias("date")).distinct()
-
-
-def holiday_dates(days: DataFrame) -> DataFrame:
-    """Dates with at least one flag: holiday, eve (a holiday follows), bridge (a Friday after a
-    Thursday holiday or a Monday before a Tuesday holiday)."""
-    number = weekday(F.col("date"))
-    bridge = F.when(number == 4, F.date_add("date", 1)).when(number == 2, F.date_sub("date", 1))
-    marks = F.array(
-        F.struct(F.col("date").alias("d"), F.lit("holiday").alias("what")),
-        F.struct(F.date_sub("date", 1).alias("d"), F.lit("eve").alias("what")),
-        F.struct(bridge.alias("d"), F.lit("bridge").alias("what")),
-    )
+# Holidays with a fixed date, as month * 100 + day; days after Easter Sunday of Good
+# Friday, Easter, Easter Monday, Ascension and Whit Sunday.
+FIXED_DAYS = [101, 106, 501, 1206, 1224, 1225, 1226]
+EASTER_DAYS = [-2, 0, 1, 39, 49]
+
+
+def is_holiday(date: Column) -> Column:
+    """Whether a date of any year is a Finnish public holiday, by today's rules: a fixed date, a day
+    counted from Easter, Midsummer Eve (the Friday from 19 June) and Day (the Saturday from 20 June), or
+    All Saints' Day (the Saturday from 31 October)."""
+    day = F.month(date) * 100 + F.dayofmonth(date)
     return (
-        days.select(F.explode(marks).alias("m"))
-        .where(F.col("m.d").isNotNull())
-        .groupBy(F.col("m.d").alias("__date"))
-        .agg(*[F.bool_or(F.col("m.what") == w).alias(f"__{w}") for w in ("holiday", "eve", "bridge")])
+        day.isin(FIXED_DAYS)
+        | F.date_diff(date, _easter(F.year(date))).isin(EASTER_DAYS)
+        | ((weekday(date) == 5) & day.between(619, 625))
+        | ((weekday(date) == 6) & (day.between(620, 626) | day.between(1031, 1106)))
     )
 
 
-def add_holiday_features(
-    df: DataFrame, time: str = "timestamp", first_year: int = FIRST_YEAR, last_year: int = LAST_YEAR
-) -> DataFrame:
-    """Three flags from a broadcast of the calendar (at most 45 rows per calendar year)."""
+def holidays(spark: SparkSession, first_year: int = 2020, last_year: int = 2030) -> DataFrame:
+    """The holidays of some years as a table, for reading; the flags need no table."""
+    bounds = [F.make_date(F.lit(y), F.lit(m), F.lit(d)) for y, m, d in ((first_year, 1, 1), (last_year, 12, 31))]
+    return spark.range(1).select(F.explode(F.sequence(*bounds)).alias("date")).where(is_holiday(F.col("date")))
+
+
+def add_holiday_features(df: DataFrame, time: str = "timestamp") -> DataFrame:
+    """Three flags of a row's own date: holiday, eve (a holiday follows) and bridge (a Friday after a
+    Thursday holiday or a Monday before a Tuesday holiday).  A null time has no flag set."""
     if time not in df.columns:
         return df
-    calendar = holiday_dates(holidays(df.sparkSession, first_year, last_year))
-    joined = df.join(F.broadcast(calendar), F.to_date(df[time]) == calendar["__date"], "left")
-    return joined.select(
-        *df.columns,
-        F.coalesce("__holiday", F.lit(False)).alias("is_holiday"),
-        F.coalesce("__eve", F.lit(False)).alias("is_holiday_eve"),
-        F.coalesce("__bridge", F.lit(False)).alias("is_bridge_day"),
-    )
+    date = F.to_date(F.col(time))
+    flag = lambda condition: F.coalesce(condition, F.lit(False))
+    number, before, after = weekday(date), is_holiday(F.date_sub(date, 1)), is_holiday(F.date_add(date, 1))
+    return df.withColumns({
+        "is_holiday": flag(is_holiday(date)),
+        "is_holiday_eve": flag(after),
+        "is_bridge_day": flag(((number == 5) & before) | ((number == 1) & after)),
+    })
 
 
 def add_time_features(df: DataFrame, time: str = "timestamp", weekend_from: int = 5) -> DataFrame:
@@ -121,8 +104,6 @@ def cyclic_features() -> dict[str, Column]:
     return out
 
 
-def add_calendar_features(df: DataFrame, time: str = "time", **years) -> DataFrame:
+def add_calendar_features(df: DataFrame, time: str = "time") -> DataFrame:
     """Price calendar: clock columns, cyclic encodings and holiday flags."""
-    return add_holiday_features(
-        df.withColumns(clock_features(time)).withColumns(cyclic_features()), time, **years
-    )
+    return add_holiday_features(df.withColumns(clock_features(time)).withColumns(cyclic_features()), time)

@@ -52,28 +52,28 @@ def feature_names(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 def consumption_features(
     df: DataFrame, target: str = "consumption_mw", *, keys: Sequence[str] = (), drop_nulls: bool = True,
-    max_rows: int | None = None, at_most: int | None = None, **years,
+    max_rows: int | None = None, at_most: int | None = None,
 ) -> DataFrame:
     framed = add_target_history(df, target, keys=keys, max_rows=max_rows, at_most=at_most)
-    full = add_weather_interactions(add_holiday_features(add_time_features(framed), "timestamp", **years))
+    full = add_weather_interactions(add_holiday_features(add_time_features(framed), "timestamp"))
     return require_values(full, [target, *CRITICAL]) if drop_nulls else full
 
 
 def training_features(
     df: DataFrame, time: str = "time", price: str = "price_eur_mwh", *, keys: Sequence[str] = (),
-    max_rows: int | None = None, at_most: int | None = None, **years,
+    max_rows: int | None = None, at_most: int | None = None,
 ) -> DataFrame:
     framed = add_price_history(df, price, time=time, keys=keys, max_rows=max_rows, at_most=at_most)
-    return add_supply_features(add_weather_features(add_calendar_features(framed, time, **years)), "actual")
+    return add_supply_features(add_weather_features(add_calendar_features(framed, time)), "actual")
 
 
 def prediction_features(
     df: DataFrame, history: DataFrame, time: str = "forecast_time", *, keys: Sequence[str] = (),
-    max_rows: int | None = None, **years,
+    max_rows: int | None = None,
 ) -> DataFrame:
     framed = add_price_history_to_future(df, history, time=time, keys=keys, max_rows=max_rows)
     return add_supply_features(
-        add_weather_features(add_calendar_features(framed, time, **years), "forecast"), "forecast"
+        add_weather_features(add_calendar_features(framed, time), "forecast"), "forecast"
     )
 
 

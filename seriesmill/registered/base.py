@@ -79,7 +79,9 @@ VIEWS: dict[str, str] = {
                time - INTERVAL 4 HOUR AS generated_at
         FROM weather""",
     "comparison": """
-        SELECT *, CAST(sign(official_absolute_error - ml_absolute_error) AS INTEGER) AS winner_code
+        SELECT *, CASE WHEN ml_absolute_error < official_absolute_error THEN 1
+                       WHEN ml_absolute_error > official_absolute_error THEN -1
+                       WHEN ml_absolute_error = official_absolute_error THEN 0 END AS winner_code
         FROM (
             SELECT m.*, o.official_price_forecast, a.actual_price,
                    abs(m.ml_prediction - a.actual_price) AS ml_absolute_error,

@@ -45,6 +45,31 @@ def test_holidays(spark):
     assert sum(d.year == 2024 for d in days) == 15
 
 
+def test_holidays_of_any_year(spark):
+    """1950 to 2100 against Python dates: every day has its flags, over the ends of years too."""
+    def easter(y):
+        a, b, c = y % 19, y // 100, y % 100
+        h = (19 * a + b - b // 4 - (b - (b + 8) // 25 + 1) // 3 + 15) % 30
+        k = (32 + 2 * (b % 4) + 2 * (c // 4) - h - c % 4) % 7
+        n = h + k - 7 * ((a + 11 * h + 22 * k) // 451) + 114
+        return dt.date(y, n // 31, n % 31 + 1)
+
+    known, day = set(), dt.timedelta(days=1)
+    for y in range(1949, 2102):
+        known |= {dt.date(y, m, d) for m, d in ((1, 1), (1, 6), (5, 1), (12, 6), (12, 24), (12, 25), (12, 26))}
+        known |= {easter(y) + n * day for n in (-2, 0, 1, 39, 49)}
+        for start, number in ((dt.date(y, 6, 19), 5), (dt.date(y, 6, 20), 6), (dt.date(y, 10, 31), 6)):
+            known.add(next(start + n * day for n in range(7) if (start + n * day).isoweekday() == number))
+    assert easter(2024) == dt.date(2024, 3, 31) and easter(1961) == dt.date(1961, 4, 2)
+    frame = spark.sql("SELECT explode(sequence(DATE'1950-01-01', DATE'2100-12-31')) AS timestamp")
+    for r in calendar.add_holiday_features(frame).collect():
+        d, n = r.timestamp, r.timestamp.isoweekday()
+        bridge = (n == 5 and d - day in known) or (n == 1 and d + day in known)
+        assert (r.is_holiday, r.is_holiday_eve, r.is_bridge_day) == (d in known, d + day in known, bridge), d
+    empty = calendar.add_holiday_features(spark.sql("SELECT CAST(NULL AS TIMESTAMP) AS timestamp")).first()
+    assert not (empty.is_holiday or empty.is_holiday_eve or empty.is_bridge_day)
+
+
 def test_holiday_flags(spark):
     times = [T(2024, 5, 9, 5), T(2024, 5, 10, 5), T(2024, 5, 8, 23), T(2024, 12, 23, 1), T(2024, 12, 31, 1), T(2024, 7, 9)]
     rows = calendar.add_holiday_features(ntz(spark, [(t,) for t in times], "timestamp timestamp")).collect()
