@@ -13,7 +13,7 @@ _CALENDAR_UNITS = {
     "1 week": "week",
     "1 month": "month",
 }
-_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
+_UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}
 
 
 def seconds(duration: str) -> int:

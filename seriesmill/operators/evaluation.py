@@ -130,7 +130,7 @@ def accuracy_hourly(
     due = predictions.where(
         F.col("timestamp") < shift_time(moment(predictions, "timestamp", as_of), -1)
     )
-    t = bucket_totals(due, actuals, max_rows=max_rows)
+    t = bucket_totals(due, actuals.where(F.col("time") < moment(actuals, "time", as_of)), max_rows=max_rows)
     n, rows, known = F.col("n"), F.col("rows"), F.col("actual.n")
     scored = F.col("predicted.n")
     pairs = scored * known
@@ -210,7 +210,10 @@ def model_comparison(
     recent = predictions.where(
         (F.col("timestamp") >= shift_time(now, -hours)) & (F.col("timestamp") < shift_time(now, -1))
     )
-    t = bucket_totals(recent, actuals, max_rows=max_rows)
+    # The hours of these predictions, and no other part of the history.
+    end = moment(actuals, "time", as_of)
+    known = (F.col("time") >= F.date_trunc("hour", shift_time(end, -hours))) & (F.col("time") < end)
+    t = bucket_totals(recent, actuals.where(known), max_rows=max_rows)
     scored, known = F.col("predicted.n"), F.col("actual.n")
     error = F.col("predicted.mean") - F.col("actual.mean")
     squares = F.col("predicted.m2") * known + F.col("actual.m2") * scored + scored * known * error * error

@@ -167,7 +167,8 @@ def chronological_split(
     """First int(n * (1 - test_size)) rows in time order, and the rest.
 
     Only counts per `grain` are put in order; the rows of the one interval that holds the cut
-    are ranked, all other rows are compared with its bounds.
+    are ranked, all other rows are compared with its bounds.  Rows without a time come first.
+    Rows of equal time are ordered by `tie_break`, then by their content, so both parts agree.
     """
     cell = F.date_trunc(grain, F.col(time))
     counts = cut(df.groupBy(cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n")))
@@ -181,15 +182,17 @@ def chronological_split(
     ).first()
     if at is None:
         return df, df.limit(0)
-    edge = F.lit(at["__at"])
-    order = Window.partitionBy(F.col("__edge")).orderBy(time, *tie_break)
+    edge = F.lit(at["__at"]).cast(dict(df.select(cell.alias("c")).dtypes)["c"])
+    at_cut = cell.eqNullSafe(edge)
+    ahead = ~at_cut & (cell.isNull() | F.coalesce(cell < edge, F.lit(False)))
+    behind = ~at_cut & ~ahead
+    order = Window.partitionBy(F.col("__edge")).orderBy(time, *tie_break, "__content")
     if at["__take"] > 0:
         rank = F.row_number().over(order)
-        inside = df.where(cell == edge).withColumn("__edge", F.lit(1)).withColumn("__rank", rank).drop("__edge")
+        content = F.xxhash64(*(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))),))
+        inside = df.where(at_cut).withColumn("__edge", F.lit(1)).withColumn("__content", content).withColumn(
+            "__rank", rank).drop("__edge", "__content")
         head = inside.where(F.col("__rank") <= at["__take"]).drop("__rank")
         tail = inside.where(F.col("__rank") > at["__take"]).drop("__rank")
-        return (
-            df.where(cell < edge).unionByName(head),
-            df.where(cell > edge).unionByName(tail),
-        )
-    return df.where(cell < edge), df.where(cell >= edge)
+        return df.where(ahead).unionByName(head), df.where(behind).unionByName(tail)
+    return df.where(ahead), df.where(~ahead)

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import BooleanType, NumericType
 
+from seriesmill.functions.timecols import moment, shift_time
 from seriesmill.operators.evaluation import regression_metrics
 from seriesmill.plans.datasets import chronological_split, feature_names
 
@@ -210,12 +211,15 @@ class TooFewRows(ValueError):
     """Refusal to train."""
 
 
-def retrain_price(df: DataFrame, **options) -> TrainedModel:
-    """Refuses a training set of fewer than 100 rows."""
-    rows = df.limit(MIN_TRAINING_ROWS).count()
+def retrain_price(df: DataFrame, *, time: str = "time", days: int = TRAINING_DAYS, as_of: str | None = None, **options) -> TrainedModel:
+    """Trains on the last `days` days before `as_of` (default: the newest time); refuses a training
+    set of fewer than 100 rows."""
+    end = moment(df, time, as_of) if as_of is not None else F.lit(df.agg(F.max(time)).first()[0]).cast(df.schema[time].dataType)
+    recent = df.where((F.col(time) >= shift_time(end, -24 * days)) & (F.col(time) <= end))
+    rows = recent.limit(MIN_TRAINING_ROWS).count()
     if rows < MIN_TRAINING_ROWS:
         raise TooFewRows(f"Insufficient training data: {rows} rows, {MIN_TRAINING_ROWS} needed")
-    return train_price(df, **options)
+    return train_price(recent, time=time, **options)
 
 
 def back_score(model: TrainedModel, df: DataFrame, start, end, confidence: float = 0.95) -> DataFrame:

@@ -130,6 +130,7 @@ def _(t):
 def _(t):
     path, state = scratch_path(t.spark, "runs"), scratch_path(t.spark, "state")
     stream = as_view(t, event_stream(t), "predictions")
-    newest = rollups.latest_run_stream(stream, ["timestamp", "model_type"], "generated_at", ["predicted_consumption_mw"])
+    newest = rollups.latest_run_stream(stream, ["timestamp", "model_type"], "generated_at", ["predicted_consumption_mw"],
+                                       time="timestamp", lateness="7 days")
     rollups.update_stream(newest, path, state).awaitTermination()
-    return rollups.newest_rows(t.spark, path, ["timestamp", "model_type"])
+    return naive(rollups.newest_rows(t.spark, path, ["timestamp", "model_type"]), "timestamp")

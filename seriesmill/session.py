@@ -59,3 +59,13 @@ def cut(df: DataFrame) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast hint only when the table really is small; otherwise a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def folder_values(spark: SparkSession, root: str, column: str) -> list[str]:
+    """Values of the partition folders `<root>/<column>=...`, from a listing of the folder alone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return []
+    names = (status.getPath().getName() for status in fs.listStatus(path))
+    return [n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=")]

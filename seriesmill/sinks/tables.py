@@ -6,6 +6,7 @@ partitions and replaces them at job commit, so a lost executor only repeats its
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from datetime import date, timedelta
 
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seriesmill.functions.timecols import moment
 from seriesmill.operators.latest import first_per_key, latest_per_key
 from seriesmill.schemas import KEYS, PARTITION_TIME, POWER_MEASURES, RETENTION_DAYS, TABLES
-from seriesmill.session import BROADCAST_ROWS
+from seriesmill.session import BROADCAST_ROWS, cut, folder_values
 
 DATE = "date"
 
@@ -82,8 +83,18 @@ def with_date(df: DataFrame, table: str) -> DataFrame:
     return df.withColumn(DATE, F.to_date(PARTITION_TIME[table]))
 
 
+def _accepted(batch: DataFrame, table: str) -> DataFrame:
+    """The batch, evaluated once, without rows whose time is missing: no key could find them again.
+    How many were refused is told in a warning."""
+    dated = cut(with_date(batch, table))
+    refused = dated.where(F.col(DATE).isNull()).count()
+    if refused:
+        warnings.warn(f"{table}: {refused} rows without a time were not stored", stacklevel=3)
+    return dated.where(F.col(DATE).isNotNull())
+
+
 def append(df: DataFrame, path: str, table: str) -> None:
-    _write(with_date(df, table), path, "append", KEYS[table])
+    _write(_accepted(df, table), path, "append", KEYS[table])
 
 
 def _touched(target: DataFrame, dated_batch: DataFrame) -> DataFrame:
@@ -101,7 +112,7 @@ def upsert(batch: DataFrame, path: str, table: str, replaced: Sequence[str], ord
     extra = [c for c in order if c not in TABLES[table].names]
     stored_names = [*TABLES[table].names, DATE]
     ranked = list(order) or [c for c in TABLES[table].names if c not in keys]
-    dated = with_date(batch, table)
+    dated = _accepted(batch, table)
     newest = latest_per_key(dated, keys, ranked).drop(*extra).select(*stored_names)
     old = read_table(batch.sparkSession, path)
     if old is None:
@@ -125,14 +136,13 @@ def insert_if_absent(batch: DataFrame, path: str, table: str, order: Sequence[st
     keys = KEYS[table]
     stored_names = [*TABLES[table].names, DATE]
     ranked = list(order) or [c for c in TABLES[table].names if c not in keys]
-    dated = with_date(batch, table)
+    dated = _accepted(batch, table)
     first = first_per_key(dated, keys, ranked).select(*stored_names)
     old = read_table(batch.sparkSession, path)
     new = first if old is None else first.join(_touched(old, dated).select(*keys), keys, "left_anti")
+    new = cut(new)
     _write(new, path, "append", keys)
-    offered = dated.count()
-    after = read_table(batch.sparkSession, path)
-    return offered, (0 if after is None else after.count()) - (0 if old is None else old.count())
+    return dated.count(), new.count()
 
 
 # --- the tables ---------------------------------------------------------------------------
@@ -144,22 +154,28 @@ def store_power(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
 
 
 def store_prices(
-    df: DataFrame, path: str, *, area: str = "FI", price_type: str = "imbalance", source: str = "fingrid"
+    df: DataFrame, path: str, *, area: str = "FI", price_type: str = "imbalance", source: str = "fingrid",
+    order: Sequence[str] = (),
 ) -> tuple[int, int]:
+    """The first row of a key by `order` is stored."""
     constants = {"area": area, "price_type": price_type, "source": source}
-    return insert_if_absent(conform(df, "price_actuals", {"timestamp": "time"}, constants), path, "price_actuals")
+    batch = conform(df, "price_actuals", {"timestamp": "time"}, constants, extra=order)
+    return insert_if_absent(batch, path, "price_actuals", order)
 
 
-def store_weather(df: DataFrame, path: str, station_id: str | None = None, data_type: str = "observation") -> None:
+def store_weather(
+    df: DataFrame, path: str, station_id: str | None = None, data_type: str = "observation", order: Sequence[str] = (),
+) -> None:
+    """The last row of a key by `order` is stored."""
     constants = {"data_type": data_type} | ({"station_id": station_id} if station_id is not None else {})
     if "cloud_cover" in df.columns:
         df = df.withColumn("cloud_cover", whole_oktas(F.col("cloud_cover")))
-    batch = conform(df, "weather_observations", {"timestamp": "time"}, constants)
+    batch = conform(df, "weather_observations", {"timestamp": "time"}, constants, extra=order)
     measures = [c for c in TABLES["weather_observations"].names if c in (
         "temperature_c", "humidity_percent", "wind_speed_ms", "wind_direction", "pressure_hpa",
         "precipitation_mm", "cloud_cover",
     )]
-    upsert(batch, path, "weather_observations", measures)
+    upsert(batch, path, "weather_observations", measures, order)
 
 
 def store_weather_forecast(df: DataFrame, path: str, *, station_id: str | None, model: str, generated_at: str) -> None:
@@ -193,12 +209,15 @@ def store_price_predictions(
     append(conform(batch, "price_predictions", PREDICTION_ALIASES, constants), path, "price_predictions")
 
 
-def store_consumption_predictions(df: DataFrame, path: str, *, model_type: str, generated_at: str | None = None) -> None:
+def store_consumption_predictions(
+    df: DataFrame, path: str, *, model_type: str, generated_at: str | None = None, order: Sequence[str] = (),
+) -> None:
+    """The last row of a key by `order` is stored."""
     if generated_at is not None:
         df = df.withColumn("generated_at", moment(df, "timestamp", generated_at))
     replaced = ["predicted_consumption_mw", "confidence_lower", "confidence_upper", "model_version"]
-    batch = conform(df, "consumption_predictions", constants={"model_type": model_type})
-    upsert(batch, path, "consumption_predictions", replaced)
+    batch = conform(df, "consumption_predictions", constants={"model_type": model_type}, extra=order)
+    upsert(batch, path, "consumption_predictions", replaced, order)
 
 
 def snapshot(df: DataFrame, root: str, day: str) -> None:
@@ -238,8 +257,7 @@ def apply_retention(spark: SparkSession, path: str, table: str, as_of: str) -> N
 def refresh(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
     """Full refresh of a stored result.  The new version is written next to the old one and
     becomes visible when it is complete; readers of the version before are not disturbed."""
-    versions = read_table(spark, path)
-    last = 0 if versions is None else versions.agg(F.max("version")).first()[0]
+    last = max(map(int, folder_values(spark, path, "version")), default=0)
     compute().withColumn("version", F.lit(last + 1)).write.mode("append").partitionBy("version").parquet(path)
     _drop_folders(spark, path, "version", lambda v: int(v) < last)
     return current(spark, path)
@@ -247,11 +265,10 @@ def refresh(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) ->
 
 def current(spark: SparkSession, path: str) -> DataFrame | None:
     """Newest version of a refreshed result; the version is found from folder names."""
-    versions = read_table(spark, path)
-    if versions is None:
+    versions = folder_values(spark, path, "version")
+    if not versions:
         return None
-    last = versions.agg(F.max("version")).first()[0]
-    return versions.where(F.col("version") == last).drop("version")
+    return spark.read.parquet(path).where(F.col("version") == max(map(int, versions))).drop("version")
 
 
 def current_or_refresh(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:

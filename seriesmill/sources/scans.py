@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from seriesmill.functions.timecols import moment, shift_time
 from seriesmill.operators.latest import latest_per_key
 from seriesmill.schemas import FEATURE_NAMES, POWER_MEASURES, WEATHER_MEASURES
+from seriesmill.session import folder_values
 
 DATE = "date"
 
@@ -84,9 +85,8 @@ def last_hours(df: DataFrame, time: str, hours: int, as_of: str) -> DataFrame:
 
 def newest_snapshot(spark: SparkSession, root: str, column: str = "snapshot_date") -> DataFrame:
     """The newest dated snapshot; its date is found from the folder names, not from the rows."""
-    table = spark.read.parquet(root)
-    newest = table.agg(F.max(column)).first()[0]
-    return table.where(F.col(column) == F.lit(newest)).drop(column)
+    newest = max(folder_values(spark, root, column))
+    return spark.read.parquet(root).where(F.col(column) == F.lit(newest)).drop(column)
 
 
 def sql_scan(

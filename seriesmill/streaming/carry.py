@@ -3,6 +3,9 @@
 The state holds the last known value of each column per series.  Each micro-batch starts from
 the state of the batch before it and stores its own under its batch id, so a repeated batch
 gives the same result.  A long series inside a micro-batch is split like in a batch job.
+
+A row older than its series' state came too late to be filled in its place: it goes to
+`<root>/late`, unfilled, for a batch run over that stretch of time to repair.
 """
 
 from __future__ import annotations
@@ -13,7 +16,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from seriesmill.operators.joins import forward_fill
 from seriesmill.operators.ordered import MAX_ROWS
-from seriesmill.sinks.tables import read_table
+from seriesmill.session import cut, folder_values
+from seriesmill.sinks.tables import _drop_folders
 
 BATCH = "batch"
 
@@ -22,31 +26,39 @@ def forward_fill_batches(
     root: str, columns: Sequence[str], *, keys: Sequence[str], time: str = "timestamp",
     required: str | None = None, max_rows: int = MAX_ROWS,
 ) -> Callable[[DataFrame, int], None]:
-    """Function for `foreachBatch`: appends filled rows to `<root>/rows`."""
-    rows_path, state_path = f"{root}/rows", f"{root}/state"
+    """Function for `foreachBatch`: appends filled rows to `<root>/rows`, late ones to `<root>/late`.
+
+    Rows before the first `required` value are left out of the result; they count for the state.
+    """
+    rows_path, state_path, late_path = f"{root}/rows", f"{root}/state", f"{root}/late"
     columns, keys = list(columns), list(keys)
 
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         rows = batch.select(*keys, time, *columns).withColumn("__old", F.lit(False))
-        stored = read_table(spark, state_path)
-        before = None
-        if stored is not None:
-            known = stored.where(F.col(BATCH) < batch_id)
-            last = known.agg(F.max(BATCH)).first()[0]
-            before = None if last is None else known.where(F.col(BATCH) == last).drop(BATCH)
-        if before is not None:
-            rows = rows.unionByName(before.select(*keys, time, *columns).withColumn("__old", F.lit(True)))
-        filled = forward_fill(rows, columns, time=time, keys=keys, required=required, max_rows=max_rows)
+        last = max((n for n in map(int, folder_values(spark, state_path, BATCH)) if n < batch_id), default=None)
+        late = rows.limit(0)
+        if last is not None:
+            before = spark.read.parquet(state_path).where(F.col(BATCH) == last).drop(BATCH)
+            same = [rows[k].eqNullSafe(before[k]) for k in keys]
+            known = rows.join(before.select(*keys, F.col(time).alias("__since")), same, "left").select(rows["*"], "__since")
+            is_late = F.coalesce(F.col(time) < F.col("__since"), F.lit(False))
+            late = known.where(is_late).drop("__since")
+            rows = known.where(~is_late).drop("__since").unionByName(
+                before.select(*keys, time, *columns).withColumn("__old", F.lit(True)))
+        filled = cut(forward_fill(rows, columns, time=time, keys=keys, required=None, max_rows=max_rows))
         # The newest row of a series after filling is its next state.
         state = filled.groupBy(*keys).agg(F.max_by(F.struct(time, *columns), F.col(time)).alias("s"))
-        for frame, path in (
-            (state.select(*keys, "s.*"), state_path),
-            (filled.where(~F.col("__old")).drop("__old"), rows_path),
-        ):
+        fresh = filled.where(~F.col("__old"))
+        if required is not None:
+            fresh = fresh.where(F.col(required).isNotNull())
+        for frame, path in ((state.select(*keys, "s.*"), state_path), (fresh.drop("__old"), rows_path), (late.drop("__old"), late_path)):
             (
                 frame.withColumn(BATCH, F.lit(batch_id)).write.mode("overwrite")
                 .option("partitionOverwriteMode", "dynamic").partitionBy(BATCH).parquet(path)
             )
+        # A repeated batch needs the state before it; older ones are never read again.
+        if last is not None:
+            _drop_folders(spark, state_path, BATCH, lambda n: int(n) < last)
 
     return run

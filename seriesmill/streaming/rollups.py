@@ -76,8 +76,12 @@ def without_repeats(df: DataFrame, time: str, keys: Sequence[str], lateness: str
     return event_time(df, time).withWatermark(time, lateness).dropDuplicatesWithinWatermark(list(keys))
 
 
-def latest_run_stream(df: DataFrame, keys: Sequence[str], run: str, columns: Sequence[str]) -> DataFrame:
-    """Newest run per key as runs arrive (update or complete mode)."""
+def latest_run_stream(
+    df: DataFrame, keys: Sequence[str], run: str, columns: Sequence[str], *, time: str, lateness: str
+) -> DataFrame:
+    """Newest run per key as runs arrive (update mode).  `time` is one of the keys; a key is
+    forgotten when it is older than the newest time by more than `lateness`."""
+    df = event_time(df, time).withWatermark(time, lateness)
     return df.groupBy(*keys).agg(F.max_by(F.struct(run, *columns), F.col(run)).alias("__r")).select(*keys, "__r.*")
 
 
