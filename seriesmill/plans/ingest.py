@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -56,9 +56,13 @@ def ingest_forecasts(
     tables.store_power_forecast(typed, path, generated_at=run)
 
 
-def ingest_weather(payloads: DataFrame, path: str, *, order: str | None = None) -> None:
-    """Observation payloads (station_id, station_name, payload)."""
+def ingest_weather(
+    payloads: DataFrame, path: str, *, order: str | None = None, start: str | None = None, end: str | None = None
+) -> None:
+    """Observation payloads (station_id, station_name, payload), of a window if one is given."""
     rows = decode_weather(payloads, "payload", "station_id", "station_name", order=order)
+    if start is not None:
+        rows = in_window(rows, "timestamp", start, end)
     tables.store_weather(weather_to_frame(rows), path)
 
 
@@ -77,31 +81,41 @@ def concatenate_chunks(chunks: DataFrame, keys: Sequence[str] = ("dataset_id",))
     return decode_points(chunks, "payload").orderBy(*keys, "start_time")
 
 
+# Windows of the scheduled jobs, in hours.
+SCHEDULED_HOURS = {"power_actuals": 720, "weather_observations": 720, "power_short": 6, "price_actuals": 72}
+# The short pull between two full ones.
+SHORT_HOURS = {
+    "power_actuals": SCHEDULED_HOURS["power_short"], "weather_observations": SCHEDULED_HOURS["power_short"],
+    "price_actuals": SCHEDULED_HOURS["price_actuals"],
+}
+BACKFILL_HOURS = 720
+
+
 def backfill(
-    spark: SparkSession, root: str, as_of: str, hours: int = 720, *, power: DataFrame | None = None,
-    prices: DataFrame | None = None, forecasts: DataFrame | None = None,
-    weather_payloads: DataFrame | None = None,
+    spark: SparkSession, root: str, as_of: str, hours: int | Mapping[str, int] = BACKFILL_HOURS, *,
+    power: DataFrame | None = None, prices: DataFrame | None = None, forecasts: DataFrame | None = None,
+    weather_payloads: DataFrame | None = None, weather_order: str | None = None,
 ) -> DataFrame:
-    """Runs the jobs whose input is given over the last `hours` hours and reports the stored
-    rows per target (counted from file footers)."""
-    end = as_of
-    start = (datetime.fromisoformat(as_of) - timedelta(hours=hours)).isoformat(sep=" ")
-    done = {}
+    """Runs the jobs whose input is given over the last `hours` hours (of all targets, or by
+    target) and reports the stored rows per target (counted from file footers)."""
+    end, done = as_of, {}
+
+    def start(table: str) -> str:
+        span = hours if isinstance(hours, int) else hours.get(table, BACKFILL_HOURS)
+        return (datetime.fromisoformat(as_of) - timedelta(hours=span)).isoformat(sep=" ")
+
     if power is not None:
-        done["power_actuals"] = lambda p: ingest_actuals(power, p, start, end)
+        done["power_actuals"] = lambda p: ingest_actuals(power, p, start("power_actuals"), end)
     if prices is not None:
-        done["price_actuals"] = lambda p: ingest_prices(prices, p, start, end)
+        done["price_actuals"] = lambda p: ingest_prices(prices, p, start("price_actuals"), end)
     if forecasts is not None:
-        done["power_forecasts"] = lambda p: ingest_forecasts(forecasts, p, start, end, as_of)
+        done["power_forecasts"] = lambda p: ingest_forecasts(forecasts, p, start("power_forecasts"), end, as_of)
     if weather_payloads is not None:
-        done["weather_observations"] = lambda p: ingest_weather(weather_payloads, p)
+        done["weather_observations"] = lambda p: ingest_weather(
+            weather_payloads, p, order=weather_order, start=start("weather_observations"), end=end)
     counts = []
     for table, job in done.items():
         path = f"{root.rstrip('/')}/{table}"
         job(path)
         counts.append((table, tables.read_table(spark, path).count()))
     return spark.createDataFrame(counts, "table_name string, row_count long")
-
-
-# Windows of the scheduled jobs, in hours.
-SCHEDULED_HOURS = {"power_actuals": 720, "weather_observations": 720, "power_short": 6, "price_actuals": 72}

@@ -528,21 +528,41 @@ def _(t):
     return naive(rows, "forecast_time")
 
 
-for key, hours in (("i6_backfill", 240), ("i7_short_pull", 6)):
-    @query(
-        key,
-        f"""SELECT 'price_actuals' AS table_name, count(DISTINCT time) AS row_count FROM prices
-           WHERE time BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL {hours + 168} HOUR AND TIMESTAMP '{AS_OF}'
-           UNION ALL SELECT 'power_forecasts', count(*) FROM points WHERE metric = 'wind' AND time BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOUR AND TIMESTAMP '{AS_OF}'""",
+def backfill_sql(power: int, prices: int, weather: int, forecasts: int | None) -> str:
+    last = lambda hours: f"BETWEEN TIMESTAMP '{AS_OF}' - INTERVAL {hours} HOUR AND TIMESTAMP '{AS_OF}'"
+    wanted = f"""SELECT 'power_actuals' AS table_name, count(*) AS row_count FROM (
+          SELECT timestamp AS time, {FILL} FROM (SELECT {MINUTE.format('time')} AS timestamp, {ONE} FROM points
+              WHERE date_trunc('minute', time) {last(power)} GROUP BY 1)) WHERE consumption_mw IS NOT NULL
+        UNION ALL SELECT 'price_actuals', count(DISTINCT time) FROM prices WHERE time {last(prices + 168)}
+        UNION ALL SELECT 'weather_observations', count(*) FROM ({DECODED}) WHERE timestamp {last(weather)}"""
+    if forecasts is None:
+        return wanted
+    return wanted + f"""
+        UNION ALL SELECT 'power_forecasts', count(*) FROM points
+        WHERE metric IN ('consumption', 'production', 'wind') AND time {last(forecasts)}"""
+
+
+def _ingested(t, hours, with_forecasts: bool):
+    """All targets: power, prices, weather and, in the full run, the three kinds of forecasts."""
+    metric = F.col("metric")
+    code = F.when(metric == "consumption", 166).when(metric == "production", 241).when(metric == "wind", 245).otherwise(0)
+    return ingest.backfill(
+        t.spark, scratch_path(t.spark, "backfill"), AS_OF, hours,
+        power=_dataset_points(t).withColumn("timestamp", F.date_trunc("minute", "timestamp").cast("timestamp_ntz")),
+        prices=t.prices.select(F.col("time").alias("timestamp"), F.col("price_eur_mwh").alias("value")),
+        forecasts=t.points.select(code.alias("dataset_id"), F.col("time").alias("timestamp"), "value") if with_forecasts else None,
+        weather_payloads=weather_payloads(t), weather_order="event_id",
     )
-    def _(t, hours=hours):
-        prices = t.prices.select(F.col("time").alias("timestamp"), F.col("price_eur_mwh").alias("value"))
-        forecasts = t.points.select(
-            F.when(F.col("metric") == "wind", 245).otherwise(0).alias("dataset_id"), F.col("time").alias("timestamp"), "value"
-        )
-        return ingest.backfill(
-            t.spark, scratch_path(t.spark, "backfill"), AS_OF, hours, prices=prices, forecasts=forecasts
-        )
+
+
+@query("i6_backfill", backfill_sql(720, 720, 720, 720))
+def _(t):
+    return _ingested(t, 720, True)
+
+
+@query("i7_short_pull", backfill_sql(6, 72, 6, None))
+def _(t):
+    return _ingested(t, ingest.SHORT_HOURS, False)
 
 
 # --- row operations -----------------------------------------------------------------------
