@@ -50,6 +50,11 @@ def feature_names(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     return [c for c in df.columns if c not in NOT_FEATURES and c not in exclude]
 
 
+def with_prefix(df: DataFrame, prefixes: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """The columns `keep` and those whose name begins with one of the prefixes, in their order."""
+    return df.select(*(c for c in df.columns if c in keep or c.startswith(tuple(prefixes))))
+
+
 def consumption_features(
     df: DataFrame, target: str = "consumption_mw", *, keys: Sequence[str] = (), drop_nulls: bool = True,
     max_rows: int | None = None, at_most: int | None = None,

@@ -8,6 +8,7 @@ from seriesmill.functions import calendar, supply, weather
 from seriesmill.functions.timecols import bucket_count, floor_time, moment, shift_time, weekday
 from seriesmill.operators import history, rules
 from seriesmill.operators.latest import latest_per_key
+from seriesmill.operators.resample import align_to_hourly
 from seriesmill.plans import datasets, models
 from seriesmill.registered.base import AS_OF, END, START, naive, query
 from seriesmill.registered.temporal import A4_SQL, PIVOT_SQL, Q14_SQL, SPLIT_ROWS
@@ -587,3 +588,66 @@ def _(t):
         payloads.parse_time(F.col("event_type")).isNull().alias("junk_is_null"),
     )
     return naive(out, "parsed")
+
+
+# --- choice of columns ----------------------------------------------------------------------
+
+
+def _known_values(df, names):
+    """One row per feature with the number of its values."""
+    marks = F.array(*(F.struct(F.lit(n).alias("feature"), F.col(n).isNotNull().alias("known")) for n in names))
+    return df.select(F.explode(marks).alias("m")).groupBy("m.feature").agg(F.count_if("m.known").alias("known_values"))
+
+
+@query(
+    "p7_feature_columns",
+    """SELECT 'area' AS feature, count(area) AS known_values FROM prices
+       UNION ALL SELECT 'price_type', count(price_type) FROM prices UNION ALL SELECT 'event_id', count(event_id) FROM prices""",
+)
+def _(t):
+    """All columns but times, target and station names, and but the named extra."""
+    return _known_values(t.prices, datasets.feature_names(t.prices, ["user_id"]))
+
+
+@query("p8_columns_by_prefix", "SELECT time, wind_speed_ms, wind_direction, temperature_c FROM weather", rounded="wind_speed_ms wind_direction temperature_c")
+def _(t):
+    return datasets.with_prefix(t.weather, ["wind_", "temperature"], keep=["time"])
+
+
+@query(
+    "p10_price_feature_columns",
+    """SELECT 'event_id' AS feature, count(event_id) AS known_values FROM power
+       UNION ALL SELECT 'user_id', count(user_id) FROM power
+       UNION ALL SELECT 'consumption_forecast_mw', count(consumption_mw) FROM power
+       UNION ALL SELECT 'production_forecast_mw', count(production_mw) FROM power
+       UNION ALL SELECT 'wind_forecast_mw', count(wind_mw) FROM power""",
+)
+def _(t):
+    """Columns that a price model may use: prediction names, without those known only afterwards."""
+    aligned = models.align_names(t.power)
+    return _known_values(aligned, models.price_features_of(aligned))
+
+
+@query(
+    "p16_numeric_columns",
+    """SELECT CAST(date_trunc('hour', time) AS TIMESTAMP) AS timestamp, avg(price_eur_mwh) AS price_eur_mwh, avg(event_id) AS event_id,
+              avg(user_id) AS user_id FROM prices GROUP BY 1""",
+    rounded="price_eur_mwh event_id user_id",
+)
+def _(t):
+    """Text columns have no mean and are left out."""
+    return align_to_hourly(t.prices)
+
+
+@query(
+    "p22_present_weather",
+    """SELECT time, temperature_c, pressure_hpa
+       FROM (SELECT DISTINCT CAST(date_trunc('hour', time) AS TIMESTAMP) AS time FROM power)
+       LEFT JOIN (SELECT CAST(date_trunc('hour', time) AS TIMESTAMP) AS time, avg(temperature_c) AS temperature_c, avg(pressure_hpa) AS pressure_hpa
+                  FROM weather WHERE station_id = (SELECT arg_min(station_id, time) FROM weather) GROUP BY 1) USING (time)""",
+    rounded="temperature_c pressure_hpa",
+)
+def _(t):
+    """Weather with two of its measures only: those are joined, no other is asked for."""
+    weather = t.weather.select("time", "station_id", "temperature_c", "pressure_hpa")
+    return datasets.hourly_inputs(t.power, t.prices, weather).select("time", "temperature_c", "pressure_hpa")
