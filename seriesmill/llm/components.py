@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from seriesmill.llm.common import stored
+from seriesmill.session import bounded_broadcast
 
 
 def _smallest(pairs: DataFrame) -> DataFrame:
-    """Adds m, the smallest of u and its neighbours, to pairs (u, v)."""
+    """Adds m, the smallest of u and its neighbours, to pairs (u, v).
+
+    The minimum is a partial aggregate.  It is written before the join: were both to share one
+    exchange, the pairs of a hub would all meet in one task.
+    """
     least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    return pairs.join(bounded_broadcast(stored(least, "least")), "u")
 
 
 def _state(edges: DataFrame) -> tuple:
