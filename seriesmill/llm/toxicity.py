@@ -28,11 +28,11 @@ WINDOW, STEP = 32, 24
 WORDS, GRAMS = 1 << 15, 1 << 16  # rows of the two embedding tables
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 16, 8
 GRAM_SIZES = (3, 4, 5)
-# The sample: at most so many rows of each label, with texts of at most so many characters.
-TRAIN_ROWS, TRAIN_CHARS = 2500, 4000
+# The sample: at most so many clean and toxic rows, with texts of at most so many characters.
+TRAIN_ROWS, TRAIN_CHARS = (4000, 2000), 3000
 # Small samples are read more often, in smaller batches, so that the steps suffice.
 LEAST_TEXTS = 3
-EPOCHS, STEPS, BATCH, LEAST_BATCH, RATE = 5, 300, 48, 8, 0.01
+EPOCHS, STEPS, BATCH, LEAST_BATCH, RATE = 4, 300, 48, 8, 0.01
 SLICE_BYTES, SCORED_AT_ONCE, ENTRIES = 2 << 20, 2048, 250_000
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡"
 
@@ -306,18 +306,18 @@ class Scorer:
 
 
 def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most TRAIN_ROWS labelled rows of each label outside the held-out fold, chosen by a hash of
+    """At most TRAIN_ROWS labelled rows outside the held-out fold, chosen by a hash of
     the id among rows with 1 to TRAIN_CHARS characters.  A label without a value is no label, and a
     toxic label outweighs others of the same id."""
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).where(fold(doc_id) != 0)
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
     known = known.withColumn("draw", F.xxhash64("doc_id"))
-    drawn = [known.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(3 * TRAIN_ROWS) for k in (0, 1)]
-    # Bounded by six times TRAIN_ROWS narrow rows.
+    drawn = [known.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(3 * TRAIN_ROWS[k]) for k in (0, 1)]
+    # Three times TRAIN_ROWS narrow rows at most.
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
         F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
     found = sorted((r["draw"], r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
-    chosen = [r for k in (0, 1) for r in [x for x in found if x[3] == k][:TRAIN_ROWS]]
+    chosen = [r for k in (0, 1) for r in [x for x in found if x[3] == k][:TRAIN_ROWS[k]]]
     return [r[2] for r in chosen], [r[3] for r in chosen]
 
 
