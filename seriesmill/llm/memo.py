@@ -21,9 +21,9 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 class Memo(dict):
     """Piece -> number; the ids of all numbers lie in one flat array with offsets."""
 
-    def __init__(self, encode: Callable[[str], Iterable[int]]):
+    def __init__(self, encode: Callable[[str], Iterable[int]], entries: int = ENTRIES):
         super().__init__()
-        self.encode = encode
+        self.encode, self.entries = encode, entries
         self.flat, self.offsets = array("i"), array("q", [0])
 
     def __missing__(self, piece: str) -> int:
@@ -36,13 +36,16 @@ class Memo(dict):
 
     def ids(self, pieces: list[str]) -> np.ndarray:
         """Ids of all pieces, one after the other."""
-        if len(self.offsets) > ENTRIES:
+        if len(self.offsets) > self.entries:
             self.clear()
             self.flat, self.offsets = array("i"), array("q", [0])
+        if not pieces:
+            return np.zeros(0, np.int32)
         numbers = np.fromiter(map(self.__getitem__, pieces), np.int64, len(pieces))
-        offsets = np.array(self.offsets, dtype=np.int64)
+        # Views, gone on return: the arrays can grow again then.
+        offsets = np.frombuffer(self.offsets, np.int64)
         starts = offsets[numbers]
-        return np.array(self.flat, dtype=np.int32)[spans(starts, offsets[numbers + 1] - starts)]
+        return np.frombuffer(self.flat, np.int32)[spans(starts, offsets[numbers + 1] - starts)]
 
 
 def slices(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:

@@ -14,7 +14,8 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import islice
+from functools import lru_cache
+from itertools import islice, pairwise
 
 import ahocorasick
 import numpy as np
@@ -31,6 +32,8 @@ UNKNOWN_TEXT = " ⁇ "
 SLICE_BYTES = 2 << 20
 # Longer texts are split into words bit by bit.
 WHOLE = 8 << 20
+# Words that a worker process remembers, over all its tasks.
+WORDS = 1_000_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -118,7 +121,7 @@ class Encoder:
         # Length of the next shorter piece that begins a piece; a single character always may.
         self.shorter = {p: next(n for n in range(len(p) - 1, 0, -1) if n == 1 or p[:n] in usable) for p in usable}
         self.boundary = Boundaries(model)
-        self.memo = Memo(self.encode_element)
+        self.memo = Memo(self.encode_element, WORDS)
         self.lines_apart = not model.joins and not any("\n" in p for p in model.id_of)
 
     def split(self, word: str) -> list[str]:
@@ -128,23 +131,28 @@ class Encoder:
         for last, length in self.automaton.iter(word):  # longer matches of a start come later
             longest[last + 1 - length] = length
         boundary, shorter = self.boundary, self.shorter
-        failed = bytearray(size // 8 + 1)
+        failed, any_failed = bytearray(size // 8 + 1), False
         starts: list[int] = []
         at, before, length = 0, -1, longest[0]
         while at < size:
             end = at + length
-            if not failed[end >> 3] >> (end & 7) & 1 and (before < 0 or boundary[word[before:end]] == at - before):
+            if (before < 0 or boundary[word[before:end]] == at - before) and not (
+                any_failed and failed[end >> 3] >> (end & 7) & 1
+            ):
                 starts.append(at)
                 before, at = at, end
-                length = longest[at] if at < size else 0
+                if at < size:
+                    length = longest[at]
                 continue
             while length == 1:  # nothing fits here: back to a shorter piece before
                 failed[at >> 3] |= 1 << (at & 7)
+                any_failed = True
                 length = at - starts[-1]
                 at = starts.pop()
                 before = starts[-1] if starts else -1
             length = shorter[word[at:at + length]]
-        return [word[a:b] for a, b in zip(starts, [*starts[1:], size], strict=True)]
+        starts.append(size)
+        return [word[a:b] for a, b in pairwise(starts)]
 
     def encode_word(self, word: str) -> list[int]:
         ids: list[int] = []
@@ -177,6 +185,12 @@ class Encoder:
         return np.concatenate(found)
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per worker process: what it remembers serves the next task too."""
+    return Encoder(PieceModel(path))
+
+
 class Boundaries(dict):
     """Text -> where merging it anew leaves its only boundary, 0 if it gives one piece or several."""
 
@@ -214,6 +228,7 @@ class Decoder:
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
         self.lengths = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.control = np.array([k == CONTROL for k in model.kinds])
         self.leading = np.array([k == NORMAL and p.startswith(SPACE) for p, k in zip(model.pieces, model.kinds, strict=True)])
 
     def texts(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
@@ -224,7 +239,9 @@ class Decoder:
         last = np.cumsum(counts)
         found = []
         for first, stop in zip(last - counts, last, strict=True):
-            # The space that encoding put in front goes.
+            # The space that encoding put in front goes, also after control pieces.
+            while first < stop and self.control[ids[first]]:
+                first += 1
             skip = 1 if stop > first and self.leading[ids[first]] else 0
             found.append(raw[ends[first] + skip:ends[stop]].decode("utf-8", "one-by-one"))
         return found
@@ -237,7 +254,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", doc_id: str = "
     ignored, an empty table gives an empty result.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(PieceModel(model_path))
+        encoder = encoder_of(model_path)
         for batch in batches:
             texts = batch.column("text")
             for start, end in slices(pa.compute.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
