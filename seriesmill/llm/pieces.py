@@ -33,7 +33,7 @@ SLICE_BYTES = 2 << 20
 # Longer texts are split into words bit by bit.
 WHOLE = 8 << 20
 # Words that a worker process remembers, over all its tasks.
-WORDS = 1_000_000
+WORDS = 700_000
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
