@@ -2,7 +2,7 @@
 
 The model counts the character 5-grams of trusted texts.  Lower orders count in how many ways an
 n-gram continues to the left, so every order follows from the distinct n-grams of the next one by
-a grouped count.  n-grams and their contexts travel as 64-bit hashes.
+a grouped count.  A 5-gram travels as its hash and its characters; shorter ones follow from these.
 
 Scoring gathers the distinct 5-grams of all documents, joins them with the counts of every order
 (sharded by hash) and gets one log-probability per 5-gram.  Documents look their 5-grams up in
@@ -35,6 +35,8 @@ START, END = "\x02", "\x03"
 SLICE_BYTES, HELD = 1 << 20, 1_500_000
 # Distinct n-grams that are sent to every task as two arrays (12 bytes each); more are joined.
 TABLE_ROWS = 4_000_000
+# Rows of a table of counts or contexts that is sent to every task when 5-grams are joined with it.
+SMALL_ROWS = 100_000
 # Documents of one scoring group, in characters, where the table is joined.
 GROUP_CHARS = 16 << 20
 
@@ -65,49 +67,70 @@ def five_grams(texts: list[str]) -> tuple[list[np.ndarray], np.ndarray]:
     return [points[at + k] for k in range(ORDER)], counts
 
 
-def hashes(places: list[np.ndarray]) -> dict[str, np.ndarray]:
-    """Hashes of the n-grams that end a 5-gram (g5 to g1) and of their contexts (c5 to c2)."""
-    found = {f"g{n}": _hash(places[ORDER - n:]).view(np.int64) for n in range(ORDER, 0, -1)}
-    return found | {f"c{n}": _hash(places[ORDER - n:-1]).view(np.int64) for n in range(ORDER, 1, -1)}
+def packed(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A 5-gram's characters in two numbers: 21 bits each, the first two and the last three."""
+    a, b, c, d, e = (p.view(np.int64) for p in places)
+    return a << 21 | b, c << 42 | d << 21 | e
+
+
+def named(grams: DataFrame) -> DataFrame:
+    """Adds the n-grams that end a 5-gram (g4 to g1) and their contexts (c5 to c2) to its characters."""
+    one = (1 << 21) - 1
+    hi, lo = F.col("hi"), F.col("lo")
+    second, front = hi.bitwiseAND(one), F.shiftright(lo, 21)
+    return grams.withColumns({
+        "g4": F.xxhash64(second, lo), "g3": lo, "g2": lo.bitwiseAND((1 << 42) - 1), "g1": lo.bitwiseAND(one),
+        "c5": F.xxhash64(hi, front), "c4": F.shiftleft(second, 42).bitwiseOR(front), "c3": front, "c2": front.bitwiseAND(one),
+    }).drop("hi", "lo")
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """Distinct 5-grams of `text` per task with their counts: g5..g1, c5..c2, n."""
+    """Distinct 5-grams of `text` per task with their counts: g5, its characters hi and lo, n."""
+    columns = ["g5", "hi", "lo", "n"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, np.ndarray] | None = None
+        held: list[np.ndarray] | None = None
 
-        def merged(parts: list[dict[str, np.ndarray]]) -> dict[str, np.ndarray]:
-            key = np.concatenate([p["g5"] for p in parts])
+        def merged(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+            key, hi, lo, n = (np.concatenate(c) for c in zip(*parts, strict=True))
             _, first, at = np.unique(key, return_index=True, return_inverse=True)
-            n = np.bincount(at, np.concatenate([p["n"] for p in parts]), len(first)).astype(np.int64)
-            return {c: np.concatenate([p[c] for p in parts])[first] for c in GRAMS + CONTEXTS} | {"n": n}
+            return [key[first], hi[first], lo[first], np.bincount(at, n, len(first)).astype(np.int64)]
 
-        def out(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(rows[c]) for c in [*GRAMS, *CONTEXTS, "n"]], names=[*GRAMS, *CONTEXTS, "n"])
+        def out(held: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in held], names=columns)
 
         for batch in batches:
             texts = batch.column("text")
             for low, high in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
                 places, _ = five_grams(texts.slice(low, high - low).to_pylist())
-                _, first, n = np.unique(_hash(places), return_index=True, return_counts=True)
-                part = hashes([p[first] for p in places]) | {"n": n}
+                key, first, n = np.unique(_hash(places).view(np.int64), return_index=True, return_counts=True)
+                part = [key, *packed([p[first] for p in places]), n]
                 held = merged([held, part]) if held else part
-                if len(held["n"]) > HELD:
+                if len(held[0]) > HELD:
                     yield out(held)
                     held = None
         if held:
             yield out(held)
 
-    return rows.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in [*GRAMS, *CONTEXTS, "n"]))
+    return rows.select("text").mapInArrow(run, ", ".join(f"{c} long" for c in columns))
+
+
+def distinct_grams(rows: DataFrame) -> DataFrame:
+    """g5 to g1, c5 to c2 and n of the distinct 5-grams of all rows."""
+    whole = gathered(rows).groupBy("g5").agg(F.any_value("hi").alias("hi"), F.any_value("lo").alias("lo"), F.sum("n").alias("n"))
+    return named(whole)
 
 
 def order_tables(trusted: DataFrame) -> dict[int, DataFrame]:
     """For each order n: gn, cn, count (occurrences for the highest, left continuations below)."""
     tables, above = {}, None
     for n in range(ORDER, 0, -1):
-        rest = [F.any_value(c).alias(c) for c in [*GRAMS[ORDER - n + 1:], *CONTEXTS[ORDER - n:]]]
-        count = F.sum("n") if above is None else F.count(F.lit(1))
-        above = stored((gathered(trusted) if above is None else above).groupBy(f"g{n}").agg(count.alias("count"), *rest), f"order-{n}")
+        if above is None:
+            grams = distinct_grams(trusted).withColumnRenamed("n", "count")
+        else:
+            rest = [F.any_value(c).alias(c) for c in [*GRAMS[ORDER - n + 1:], *CONTEXTS[ORDER - n:]]]
+            grams = above.groupBy(f"g{n}").agg(F.count(F.lit(1)).alias("count"), *rest)
+        above = stored(grams, f"order-{n}")
         tables[n] = above
     return tables
 
@@ -145,9 +168,9 @@ class Model:
         """(g5, logp) of distinct 5-grams, by joins with the counts of each order and context."""
         for n in range(ORDER, 0, -1):
             counts = self.tables[n].select(f"g{n}", F.col("count").alias(f"n{n}"))
-            wanted = wanted.join(bounded_broadcast(counts), f"g{n}", "left")
+            wanted = wanted.join(bounded_broadcast(counts, SMALL_ROWS), f"g{n}", "left")
             if n > 1:
-                wanted = wanted.join(bounded_broadcast(self.contexts[n]), f"c{n}", "left")
+                wanted = wanted.join(bounded_broadcast(self.contexts[n], SMALL_ROWS), f"c{n}", "left")
         p = F.lit(1.0 / self.characters)
         for n in range(1, ORDER + 1):
             total = F.col(f"t{n}") if n > 1 else F.lit(float(self.total) or None)
@@ -228,8 +251,8 @@ def _with_joins(rows: DataFrame, logs: DataFrame, groups: int) -> DataFrame:
 
 def score(keyed: DataFrame, model: Model, table_rows: int = TABLE_ROWS) -> DataFrame:
     """(FILE, ROW, perplexity) of rows with a text column `text`."""
-    wanted = gathered(keyed).groupBy("g5").agg(*(F.any_value(c).alias(c) for c in [*GRAMS[1:], *CONTEXTS]))
-    logs = stored(model.log_probabilities(stored(wanted, "wanted")), "logp")
+    wanted = stored(distinct_grams(keyed).drop("n"), "wanted")
+    logs = stored(model.log_probabilities(wanted), "logp")
     if logs.limit(table_rows + 1).count() <= table_rows:
         return _with_arrays(keyed, logs)
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
