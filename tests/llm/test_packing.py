@@ -92,6 +92,42 @@ def test_every_token_once_and_mixed(spark, library, targets):
         assert abs(share - 0.7 / (0.9 + sum(len(v) for k, v in ids.items() if source[k] in ("s2", None)) / total)) < 0.03
 
 
+@pytest.mark.parametrize("targets", [None, {"s299": 0.5, "s3": 0.1, None: 0.05}])
+def test_every_source_has_a_queue(spark, library, targets):
+    draw, window = random.Random(8), 64
+    rows = [(i, " ".join(draw.choices(["the", "quick", "é", "fox\n"], k=draw.randint(1, 25))), "en",
+             f"s{i % 300}" if i % 301 else None) for i in range(900)]
+    got = packing.pack(documents(spark, rows).repartition(3), PATH, window=window, targets=targets).toPandas()
+    size = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t, *_ in rows}
+    source = {i: s for i, _, _, s in rows}
+    count, total = {}, {}
+    for i, s in source.items():
+        count[s], total[s] = count.get(s, 0) + 1, total.get(s, 0) + size[i]
+    queues = sorted(total, key=lambda s: (-count[s], s is not None, s or ""))
+    totals, whole = [total[s] for s in queues], sum(total.values())
+    if targets:
+        share = [targets.get(s, total[s] / whole) for s in queues]
+        quanta = [max(1, round(window * packing.UNIT * x / sum(share))) for x in share]
+    else:
+        quanta = [max(1, -(-window * packing.UNIT * n // whole)) for n in totals]
+    order = [queues[q] for q in serial(totals, quanta, window)]
+    served, taken = [None] * whole, {i: set() for i in size}
+    for r in got.itertuples():
+        for k in range(r.length):
+            place = r.sequence_id * window + r.offset + k
+            assert served[place] is None
+            served[place] = (source[r.doc_id],)
+            taken[r.doc_id].add(r.start + k)
+    assert [s for s, in served] == order
+    assert taken == {i: set(range(n)) for i, n in size.items()}
+    for i, pieces in got.groupby("doc_id"):
+        want = np.array([*library.encode(rows[i][1], add_special_tokens=False).ids, 1], "<u4").tobytes()
+        pieces = pieces.sort_values("start")
+        assert b"".join(map(bytes, pieces["ids"])) == want
+        places = pieces["sequence_id"] * window + pieces["offset"]
+        assert places.is_monotonic_increasing
+
+
 def test_repeated_rows_and_empty(spark):
     rows = [(1, "same words here")] * 5
     got = packing.pack(documents(spark, rows), PATH).toPandas()
