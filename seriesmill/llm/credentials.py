@@ -3,7 +3,9 @@
 Three kinds of candidates are found in every text.  Their values are hashed and counted over the
 whole corpus by distinct repositories and owners.  A value that several owners or many
 repositories hold is a copied example; one that belongs to a single owner and looks random is a
-live credential.  Both add a span over the value itself.
+live credential.  Both add a span over the value itself.  The label of a single owner's value that
+does not look random is also "example", as in the SQL of the query; such a value may well be a
+secret (letters only), so masking goes by the owner alone and not by the label.
 
 Positions: the gaps between matches (split by the pattern) and the matches alternate, so a running
 sum over their lengths gives code-point offsets.  The sum is a window over one text's matches.
@@ -61,7 +63,7 @@ def candidates(keyed: DataFrame, repository: Column, owner: Column) -> DataFrame
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """(hash, owners, repositories, label) over the whole corpus.  Null owners count as one owner.
+    """(hash, owners, repositories, single, label) over the whole corpus.  Null owners count as one owner.
 
     Combinations are made distinct first: a value copied into a third of all rows is a handful of
     rows after the partial aggregate.
@@ -73,13 +75,18 @@ def ownership(found: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("owners"), F.sum("repositories").alias("repositories"), F.bool_or("random").alias("random"))
     single = (F.col("owners") <= MAX_OWNERS) & (F.col("repositories") <= MAX_REPOSITORIES)
     return counted.select(
-        "hash", "owners", "repositories", F.when(single & F.col("random"), "live").otherwise("example").alias("label"))
+        "hash", "owners", "repositories", single.alias("single"), F.when(single & F.col("random"), "live").otherwise("example").alias("label"))
+
+
+def owned(keyed: DataFrame, repository: Column, owner: Column) -> tuple[DataFrame, DataFrame]:
+    """The candidates of the table with row keys, and the same with the ownership of their values."""
+    found = stored(candidates(keyed, repository, owner), "credentials")
+    return found, found.join(ownership(found).select("hash", "single", "label"), "hash")
 
 
 def labelled(keyed: DataFrame, repository: Column, owner: Column) -> DataFrame:
     """All spans of the table with row keys: the base spans and one span per labelled value."""
-    found = stored(candidates(keyed, repository, owner), "credentials")
-    values = found.join(ownership(found).select("hash", "label"), "hash")
+    found, values = owned(keyed, repository, owner)
     added = values.select(FILE, ROW, F.col("label").alias("kind"), F.col("from").alias("start"), "end", "value").distinct()
     return found.select(FILE, ROW, "kind", "start", "end", "value").unionByName(added)
 
@@ -103,13 +110,14 @@ def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text",
 
 
 def mask_live(docs: DataFrame, repository: Column, owner: Column, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """`docs` with every live credential in its text replaced by MASK and n_chars set anew; all
-    rows and columns stay, texts without a live credential are untouched."""
-    owned = docs.select("*", repository.alias("__repository"), owner.alias("__owner"))
-    inner, (text, repository, owner) = set_aside(owned, text, "__repository", "__owner")
+    """`docs` with every value of a single owner in its text replaced by MASK, whether it looks random
+    or not, and n_chars set anew; all rows and columns stay, texts without such a value are untouched."""
+    extended = docs.select("*", repository.alias("__repository"), owner.alias("__owner"))
+    inner, (text, repository, owner) = set_aside(extended, text, "__repository", "__owner")
     keyed = with_row_keys(inner)
     plain = keyed.select(FILE, ROW, F.coalesce(F.col(text), F.lit("")).alias("text"), repository, owner)
-    live = labelled(plain, F.col(repository), F.col(owner)).where("kind = 'live'").groupBy(FILE, ROW).agg(
+    _, values = owned(plain, F.col(repository), F.col(owner))
+    live = values.where("single").groupBy(FILE, ROW).agg(
         F.collect_set("value").alias("live"))
     changed = keyed.join(bounded_broadcast(stored(live, "live")), [FILE, ROW], "left")
     changed = changed.withColumn(text, F.coalesce(
