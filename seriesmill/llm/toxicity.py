@@ -7,7 +7,8 @@ score of a text comes from its largest window logit, so every window of every te
 
 Training sees only whether a text is toxic, not where: the windows of a text share one logit by
 log-sum-exp, which lets the gradient find the telling ones.  It uses a bounded sample of labelled
-rows (see `sample`); everything else runs over all rows.
+rows of any length (see `sample`) and of long texts some passages (see `excerpt`); scale and shift
+are fitted on the sample's whole texts; everything else runs over all rows.
 """
 
 from __future__ import annotations
@@ -21,14 +22,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from seriesmill.llm.common import fold, restored, set_aside
+from seriesmill.llm.common import FILE, ROW, fold, restored, set_aside, stored, with_row_keys
 from seriesmill.llm.memo import slices, spans
 
 WINDOW, STEP = 32, 24
 WORDS, GRAMS = 1 << 15, 1 << 16  # rows of the two embedding tables
 WORD_DIM, GRAM_DIM, HIDDEN = 8, 16, 8
 GRAM_SIZES = (3, 4, 5)
-# The sample: at most so many clean and toxic rows, with texts of at most so many characters.
+# The sample: at most so many clean and toxic rows; of longer texts passages of about so many characters.
 TRAIN_ROWS, TRAIN_CHARS = (4000, 2000), 3000
 # Small samples are read more often, in smaller batches, so that the steps suffice.
 LEAST_TEXTS = 3
@@ -250,9 +251,12 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
                 names, sums = names[common[k][names]], sums[common[k][names]]
                 squares[k][names] += sums * sums
                 w[k][names] -= 0.1 * sums / np.sqrt(squares[k][names])
-    scorer = Scorer(network)
-    top = scorer.logits(texts).astype(np.float64)
-    scale, shift = 1.0, 0.0
+    return calibrated(network, Scorer(network).logits(texts), target)
+
+
+def calibrated(network: Network, top: np.ndarray, target: np.ndarray) -> Network:
+    """`network` with the scale and shift that fit the largest logits of texts."""
+    top, scale, shift = top.astype(np.float64), 1.0, 0.0
     for _ in range(400):  # gradient steps of a two-parameter logistic fit, lightly damped
         p = sigmoid(scale * top + shift)
         error = (p - target) * np.where(target > 0, (target == 0).sum() / max(1, target.sum()), 1)
@@ -302,29 +306,59 @@ class Scorer:
         return best
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        return sigmoid(self.network.scale * self.logits(texts).astype(np.float64) + self.network.shift)
+        """Logits count to three decimals: their last digits depend on the rows read along with a text."""
+        return sigmoid(self.network.scale * self.logits(texts).astype(np.float64).round(3) + self.network.shift)
 
 
-def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> tuple[list[str], list[int]]:
-    """At most TRAIN_ROWS labelled rows outside the held-out fold, chosen by a hash of
-    the id among rows with 1 to TRAIN_CHARS characters.  A label without a value is no label, and a
-    toxic label outweighs others of the same id."""
+def sample(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", toxic: str = "toxic") -> DataFrame:
+    """draw, doc_id, text, toxic: at most TRAIN_ROWS labelled rows outside the held-out fold, chosen by a
+    hash of the id among all labelled ids that have a row with text.  Of repeated ids one row is
+    taken.  A label without a value is no label, and a toxic label outweighs others of the same id."""
     known = labels.where(F.col(toxic).isNotNull() & F.col(doc_id).isNotNull()).where(fold(doc_id) != 0)
     known = known.groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(toxic).cast("int")).alias("toxic"))
-    known = known.withColumn("draw", F.xxhash64("doc_id"))
-    drawn = [known.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(3 * TRAIN_ROWS[k]) for k in (0, 1)]
-    # Three times TRAIN_ROWS narrow rows at most.
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(
-        F.length("text").between(1, TRAIN_CHARS)).join(F.broadcast(drawn[0].unionByName(drawn[1])), "doc_id")
-    found = sorted((r["draw"], r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
-    chosen = [r for k in (0, 1) for r in [x for x in found if x[3] == k][:TRAIN_ROWS[k]]]
-    return [r[2] for r in chosen], [r[3] for r in chosen]
+    keyed = with_row_keys(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))).where(F.length("text") > 0)
+    # Ids are made distinct before they meet their labels, so that no repeated id is a hot key.
+    there = keyed.groupBy("doc_id").agg(F.min(F.struct(FILE, ROW)).alias("at"))
+    there = stored(there.join(known, "doc_id").withColumn("draw", F.xxhash64("doc_id")), "labelled")
+    drawn = [there.where(F.col("toxic") == k).orderBy("draw", "doc_id").limit(TRAIN_ROWS[k]) for k in (0, 1)]
+    drawn = drawn[0].unionByName(drawn[1]).select("draw", "toxic", F.col(f"at.{FILE}").alias(FILE), F.col(f"at.{ROW}").alias(ROW))
+    return stored(keyed.join(F.broadcast(drawn), [FILE, ROW]).select("draw", "doc_id", "text", "toxic"), "sample")
+
+
+def excerpt(text: str, seed: int) -> str:
+    """A text of TRAIN_CHARS characters or less whole; of a longer one passages of WINDOW words, drawn
+    from all of it by the seed, in their order."""
+    if len(text) <= TRAIN_CHARS:
+        return text
+    words = text.split()
+    passages = [" ".join(w[:TRAIN_CHARS] for w in words[i:i + WINDOW])[:TRAIN_CHARS] for i in range(0, len(words), WINDOW)]
+    chosen, held = [], 0
+    for i in np.random.default_rng(seed).permutation(len(passages)):
+        if held >= TRAIN_CHARS:
+            break
+        chosen.append(i)
+        held += len(passages[i])
+    return " ".join(passages[i] for i in sorted(chosen))
 
 
 def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Network | None:
-    """The network, trained in one task on the bounded sample, or None where the labels show one
-    class only."""
-    texts, toxic = sample(docs, labels, **columns)
+    """The network, trained in one task on the bounded sample, or None where the labelled texts are
+    of one class only."""
+    rows = sample(docs, labels, **columns)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seeds = batch.column("draw").to_pylist()
+            short = [excerpt(t.as_py(), seed & (1 << 63) - 1) for t, seed in zip(batch.column("text"), seeds, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("draw"), batch.column("doc_id"), pa.array(short, pa.string()), batch.column("toxic")],
+                names=["draw", "doc_id", "text", "toxic"])
+
+    # As many rows as TRAIN_ROWS allows, none above twice TRAIN_CHARS characters.
+    short = rows.mapInArrow(shorten, f"draw long, doc_id {kind}, text string, toxic int").collect()
+    found = sorted((r["toxic"], r["draw"], r["doc_id"], r["text"]) for r in short)
+    texts, toxic = [r[3] for r in found], [r[0] for r in found]
     if len(set(toxic)) < 2:
         return None
     spark = docs.sparkSession
@@ -335,7 +369,21 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Network | None:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*given.value))], pa.binary())], names=["network"])
 
-    return pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "network binary").first()[0])
+    network = pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "network binary").first()[0])
+    model = spark.sparkContext.broadcast(network)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model.value)
+        for batch in batches:
+            texts = batch.column("text")
+            for low, high in slices(pc.binary_length(texts).to_numpy(zero_copy_only=False), SLICE_BYTES):
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("draw").slice(low, high - low), batch.column("toxic").slice(low, high - low),
+                    pa.array(scorer.logits(texts.slice(low, high - low).to_pylist()), pa.float32()),
+                ], names=["draw", "toxic", "top"])
+
+    tops = sorted(tuple(r) for r in rows.mapInArrow(measure, "draw long, toxic int, top float").collect())
+    return calibrated(network, np.array([r[2] for r in tops]), np.array([r[1] for r in tops], np.float32))
 
 
 def score(docs: DataFrame, network: Network | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -93,6 +93,38 @@ def test_operator(spark, taught):
     assert {r.doc_id for r in clean.collect()} == {i for i, s in got.items() if s < 0.5}
 
 
+def test_long_labelled_texts_are_learnt_from(spark, taught, monkeypatch):
+    _, texts, labels, text = taught
+    monkeypatch.setattr(toxicity, "TRAIN_CHARS", 300)
+    draw = random.Random(3)
+    long = {i: " ".join(text(y) for _ in range(8)) for i, y in enumerate(draw.choices([0, 1], k=200))}
+    toxic = {i: int("zumk" in t or "quib" in t) for i, t in long.items()}
+    assert min(map(len, long.values())) > 300
+    model = toxicity.fit(documents(spark, list(long.items())), spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"))
+    assert model is not None
+    got = toxicity.Scorer(model).scores(list(long.values())) >= 0.5
+    assert (got == np.array([toxic[i] for i in long])).mean() > 0.9
+
+
+def test_the_sample_is_drawn_among_rows_that_are_there(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", (6, 3))
+    # Most labelled ids have no row or no text, and one id fills half of the table.
+    rows = [(i, f"text {i}") for i in range(960, 1000)] + [(1, "")] + [(960, f"copy {i}") for i in range(40)]
+    labels = spark.createDataFrame([(i, int(i % 2)) for i in range(1000)], "doc_id long, toxic int")
+    got = toxicity.sample(documents(spark, rows), labels).collect()
+    assert sorted(r.toxic for r in got) == [0] * 6 + [1] * 3
+    assert len({r.doc_id for r in got}) == 9
+
+
+def test_excerpts_are_bounded():
+    words = [f"w{i}" for i in range(5000)]
+    short = toxicity.excerpt(" ".join(words), 5)
+    assert toxicity.TRAIN_CHARS <= len(short) <= 2 * toxicity.TRAIN_CHARS + 100
+    at = [int(w[1:]) for w in short.split()]
+    assert at == sorted(set(at)) and at[-1] - at[0] > 2500
+    assert len(toxicity.excerpt("x" * 100_000, 5)) <= toxicity.TRAIN_CHARS
+
+
 def test_one_class_and_empty(spark):
     docs = documents(spark, [(1, "a"), (2, None)])
     labels = spark.createDataFrame([(1, 0)], "doc_id long, toxic int")
