@@ -13,7 +13,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmill.llm import chat, credentials, exact, hashing, jaccard, packing, pieces, quality, sharding, toxicity
+from seriesmill.llm import audit, chat, credentials, exact, hashing, jaccard, packing, pieces, quality, sharding, toxicity
 from seriesmill.llm.common import FILE, ROW, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,3 +196,49 @@ SELECT conv_id, count(*) AS n_turns,
                   ELSE 21 + length(regexp_replace(role, '(\\*)(\[/?INST\]|</?s>|<</?SYS>>|\[/?ROLE\]|\[TEXT\])', '\1\1\\\2', 'g')) END) AS BIGINT)
            AS formatted_chars
 FROM turns GROUP BY conv_id"""
+
+
+@query
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove at each step of all 120 orders, by language."""
+    counted = audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return counted.select(
+        "part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+
+
+ORACLE["op11_filter_audit"] = r"""
+WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+worded AS (SELECT *, [w FOR w IN string_split_regex(text, '[\x20\x09-\x0D]+') IF w <> ''] AS words FROM texts),
+failed AS (
+    SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+           100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 3 * length(text) AS c,
+           regexp_matches(text, '[#$%&*|]') AS d,
+           doc_id > min(doc_id) OVER (PARTITION BY text) AS e,
+           EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = worded.doc_id AND l.quality = 1) AS good,
+           EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = worded.doc_id AND l.toxic = 1) AS toxic
+    FROM worded),
+listed AS (
+    SELECT part, good, toxic, count(*) AS n,
+           concat(if(a, 'A', ''), if(b, 'B', ''), if(c, 'C', ''), if(d, 'D', ''), if(coalesce(e, false), 'E', '')) AS failing
+    FROM failed GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+    SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+    WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (
+    SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before
+    FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counted AS (
+    SELECT part, filter_order, step, own,
+           coalesce(sum(n) FILTER (failing = translate(failing, before || own, '')), 0) AS kept,
+           coalesce(sum(n) FILTER (contains(failing, own) AND failing = translate(failing, before, '')), 0) AS removed,
+           coalesce(sum(n) FILTER (contains(failing, own) AND failing <> translate(failing, before, '')), 0) AS redundant,
+           coalesce(sum(n) FILTER (failing = own), 0) AS unique_fails,
+           coalesce(sum(n) FILTER (good AND contains(failing, own) AND failing = translate(failing, before, '')), 0) AS good_lost,
+           coalesce(sum(n) FILTER (toxic AND contains(failing, own) AND failing = translate(failing, before, '')), 0) AS toxic_lost
+    FROM listed, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted"""
