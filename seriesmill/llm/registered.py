@@ -13,7 +13,7 @@ import pandas as pd
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from seriesmill.llm import audit, chat, credentials, exact, hashing, jaccard, packing, pieces, quality, sharding, toxicity
+from seriesmill.llm import audit, chat, credentials, exact, hashing, jaccard, languages, packing, pieces, quality, resampling, sharding, toxicity
 from seriesmill.llm.common import FILE, ROW, fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +242,16 @@ SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS B
        CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
        CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
 FROM counted"""
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn by how much their words are those of the benchmark texts."""
+    drawn = resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main language of every whole text, learnt outside the held-out fold."""
+    return languages.classify(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "shares")

@@ -21,7 +21,7 @@ pytestmark = pytest.mark.skipif(not FOLDER.exists(), reason="no test tables")
 @pytest.fixture(scope="module")
 def db():
     connection = duckdb.connect()
-    for name in ("documents", "conversations", "embeddings", "labels"):
+    for name in ("documents", "conversations", "embeddings", "labels", "benchmark"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{FOLDER}/{name}.parquet'")
     return connection
 
@@ -47,7 +47,7 @@ def test_tokens(spark, db):
 
 
 def test_every_operator_has_a_query():
-    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in QUERIES} == set(range(1, 14))
 
 
 def test_pipeline(spark, db):
