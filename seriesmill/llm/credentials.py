@@ -109,19 +109,44 @@ def scan(docs: DataFrame, repository: Column, owner: Column, text: str = "text",
         "doc_id", F.coalesce("found", none).alias("found"))
 
 
+def occurrences(text: Column, value: Column) -> Column:
+    """Array of (start, end) of a value in a text, from 0, end exclusive."""
+    gaps = F.split(text, F.concat(F.lit("\\Q"), value, F.lit("\\E")), -1)
+    size = F.length(value)
+    ends = F.aggregate(
+        F.slice(gaps, 1, F.size(gaps) - 1), F.array().cast("array<int>"),
+        lambda seen, gap: F.array_append(seen, F.coalesce(F.try_element_at(seen, F.lit(-1)), F.lit(0)) + F.length(gap) + size))
+    return F.transform(ends, lambda end: F.struct((end - size).alias("start"), end.alias("end")))
+
+
+def masked(text: Column, values: Column) -> Column:
+    """The text with MASK for every stretch that occurrences of the values cover, alone or together."""
+    spans = F.array_sort(F.flatten(F.transform(values, lambda v: occurrences(text, v))))
+    start = F.struct(F.lit("").alias("done"), F.lit(0).alias("upto"))
+
+    def step(a, s):
+        apart = s["start"] >= a["upto"]
+        gap = F.concat(a["done"], F.substring(text, a["upto"] + 1, s["start"] - a["upto"]), F.lit(MASK))
+        return F.struct(F.when(apart, gap).otherwise(a["done"]).alias("done"), F.greatest(a["upto"], s["end"]).alias("upto"))
+
+    return F.aggregate(spans, start, step, lambda a: F.concat(a["done"], F.substring(text, a["upto"] + 1, F.length(text))))
+
+
 def mask_live(docs: DataFrame, repository: Column, owner: Column, text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """`docs` with every value of a single owner in its text replaced by MASK, whether it looks random
-    or not, and n_chars set anew; all rows and columns stay, texts without such a value are untouched."""
+    """`docs` with MASK for every stretch of a text that values of a single owner cover, whether they look
+    random or not, and n_chars set anew; all rows and columns stay, texts without such a value are untouched.
+
+    All occurrences of a value in its text count, also where no pattern finds it; overlapping values
+    (one inside another, or across its end) are one stretch.
+    """
     extended = docs.select("*", repository.alias("__repository"), owner.alias("__owner"))
     inner, (text, repository, owner) = set_aside(extended, text, "__repository", "__owner")
     keyed = with_row_keys(inner)
     plain = keyed.select(FILE, ROW, F.coalesce(F.col(text), F.lit("")).alias("text"), repository, owner)
     _, values = owned(plain, F.col(repository), F.col(owner))
-    live = values.where("single").groupBy(FILE, ROW).agg(
-        F.collect_set("value").alias("live"))
+    live = values.where("single").groupBy(FILE, ROW).agg(F.collect_set("value").alias("live"))
     changed = keyed.join(bounded_broadcast(stored(live, "live")), [FILE, ROW], "left")
-    changed = changed.withColumn(text, F.coalesce(
-        F.aggregate("live", F.col(text), lambda t, v: F.replace(t, v, F.lit(MASK))), F.col(text)))
+    changed = changed.withColumn(text, F.when(F.col("live").isNull(), F.col(text)).otherwise(masked(F.col(text), F.col("live"))))
     if n_chars in docs.columns:
         size = f"__{docs.columns.index(n_chars)}"
         changed = changed.withColumn(size, F.when(F.col("live").isNull(), F.col(size)).otherwise(
