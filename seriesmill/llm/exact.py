@@ -3,9 +3,10 @@
 Rows arrive as (digest, stable id, content locator).  A streaming aggregation with a RocksDB
 state store keeps one entry per digest for ever (no watermark, no expiry): the row to keep, its
 locator and the number of rows seen.  Partial aggregation in every task leaves one row per digest
-and task before the shuffle, so a text that fills a third of the table is no hot key.  Rows of a
-digest that was hit again are read a second time through their locators' table and compared in
-full bytes; texts that share a digest but differ are told apart by the text itself.
+and task before the shuffle, so a text that fills a third of the table is no hot key.  The table is
+streamed in several micro-batches, so later rows hit entries that earlier batches left in the state.
+Every micro-batch compares the full bytes of the digests that it hit for the first time, over all rows of
+the table that have them; texts that share a digest but differ are told apart by the text itself.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from seriesmill.llm.common import FILE, ROW, restored, set_aside, stored, with_row_keys
-from seriesmill.session import bounded_broadcast, scratch_path
+from seriesmill.session import bounded_broadcast, folder_values, scratch_path
 
 STATE_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
@@ -29,8 +30,8 @@ STATE_SETTINGS = {
 }
 
 
-# Narrow rows of one micro-batch: about ten thousand million documents.
-BATCH_BYTES = 1 << 40
+# Micro-batches that a table is streamed in, whatever its size (its files are not divided).
+BATCHES = 4
 
 
 def sha256(text: Column) -> Column:
@@ -43,11 +44,17 @@ def arrivals(keyed: DataFrame, text: str, doc_id: str, digest: Callable[[Column]
     return rows.withColumn("digest", digest(F.col("text")))
 
 
-def keepers(seen: DataFrame, folder: str, bytes_per_batch: int) -> DataFrame:
+def bytes_of(spark: SparkSession, folder: str) -> int:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+
+def keepers(seen: DataFrame, folder: str, bytes_per_batch: int, on_hits: Callable[[DataFrame, int], None]) -> DataFrame:
     """Streams the table of arrivals through the keyed state: (digest, keeper, group_size).
 
     seen: a table in `folder` with digest, doc_id and locator.  Each micro-batch writes the
-    entries that it changed; the newest of a digest holds.
+    entries that it changed, the newest of a digest holds, and gives the digests with more than one
+    row to `on_hits`.
     """
     spark = seen.sparkSession
     changed = scratch_path(spark, "dedup-state")
@@ -62,7 +69,10 @@ def keepers(seen: DataFrame, folder: str, bytes_per_batch: int) -> DataFrame:
         )
 
         def write(rows: DataFrame, batch: int) -> None:
-            rows.write.mode("overwrite").parquet(f"{changed}/batch={batch}")
+            path = f"{changed}/batch={batch}"
+            rows.write.mode("overwrite").parquet(path)
+            entries = spark.read.schema(rows.schema).parquet(path)
+            on_hits(entries.where("group_size > 1").select("digest"), batch)
 
         (
             state.writeStream.outputMode("update").trigger(availableNow=True)
@@ -81,21 +91,56 @@ def keepers(seen: DataFrame, folder: str, bytes_per_batch: int) -> DataFrame:
     return newest.select("digest", "s.keeper", "s.group_size")
 
 
+class Comparison:
+    """Full bytes of every digest that is hit: compared once, in the batch of its first hit.
+
+    The smallest and the largest text of a digest are equal, or it is shared by different texts.  Both
+    are partial aggregates; no group meets in one task.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.compared, self.shared = (scratch_path(rows.sparkSession, n) for n in ("compared", "shared-digests"))
+
+    def _written(self, path: str, until: int | None = None) -> DataFrame:
+        spark = self.rows.sparkSession
+        batches = [b for b in map(int, folder_values(spark, path, "batch")) if until is None or b < until]
+        schema = self.rows.select("digest").schema
+        return spark.read.schema(schema).parquet(*(f"{path}/batch={b}" for b in batches)) if batches else spark.createDataFrame([], schema)
+
+    def batch(self, hits: DataFrame, batch: int) -> None:
+        """For `keepers`.  A batch that runs twice writes the same."""
+        path = f"{self.compared}/batch={batch}"
+        if batch:
+            hits = hits.join(self._written(self.compared, batch), "digest", "left_anti")
+        hits.write.mode("overwrite").parquet(path)
+        fresh = self.rows.sparkSession.read.schema(hits.schema).parquet(path)
+        texts = self.rows.join(bounded_broadcast(fresh), "digest", "left_semi")
+        apart = texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b")
+        apart.select("digest").write.mode("overwrite").parquet(f"{self.shared}/batch={batch}")
+
+    def different(self) -> DataFrame:
+        """Digests of several texts."""
+        return self._written(self.shared)
+
+
 def exact_groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-    digest: Callable[[Column], Column] = sha256, bytes_per_batch: int = BATCH_BYTES,
+    digest: Callable[[Column], Column] = sha256, bytes_per_batch: int | None = None,
 ) -> DataFrame:
     """One row per input row: doc_id, FILE, ROW (its locator), keep_id, group_size, kept.
 
     Equal texts form a group and its row with the largest id is kept; among rows with that id one
-    is kept.  A null text counts as empty, a null id as smaller than any other.  An empty table
-    gives an empty result.  Other columns are ignored, whatever their names.
+    is kept.  A null text counts as empty, a null id as smaller than any other.  A text is read whole
+    and may be as long as a cell can be; it is shuffled only if its digest occurs again.  An empty
+    table gives an empty result.  Other columns are ignored, whatever their names.  Without
+    `bytes_per_batch` the narrow rows are streamed in about BATCHES micro-batches.
     """
     return _groups(with_row_keys(docs.select(doc_id, text)), text, doc_id, digest, bytes_per_batch)
 
 
 def _groups(
-    keyed: DataFrame, text: str, doc_id: str, digest: Callable[[Column], Column], bytes_per_batch: int
+    keyed: DataFrame, text: str, doc_id: str, digest: Callable[[Column], Column], bytes_per_batch: int | None
 ) -> DataFrame:
     spark = keyed.sparkSession
     rows = arrivals(keyed, text, doc_id, digest)
@@ -108,14 +153,10 @@ def _groups(
     if not seen.take(1):
         empty = seen.withColumn("keeper", mine).withColumn("group_size", F.lit(0).cast("long"))
         return empty.select(*columns)
-    state = stored(keepers(seen, folder, bytes_per_batch), "keepers")
-
-    # Full bytes of every hit: the smallest and largest text of a digest are equal, or it is shared
-    # by different texts.  Both are partial aggregates; no group meets in one task.
-    hits = bounded_broadcast(state.where("group_size > 1").select("digest"))
-    texts = rows.join(hits, "digest", "left_semi")
-    shared = texts.groupBy("digest").agg(F.min("text").alias("a"), F.max("text").alias("b")).where("a <> b")
-    shared = stored(shared.select("digest"), "shared-digests")
+    compared = Comparison(rows)
+    limit = bytes_per_batch or max(1, -(-bytes_of(spark, folder) // BATCHES))
+    state = stored(keepers(seen, folder, limit, compared.batch), "keepers")
+    shared = compared.different()
 
     plain = seen.join(state, "digest")
     if not shared.take(1):
@@ -131,6 +172,6 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Dat
     """The rows of `docs` that stay, with the columns of `docs`."""
     inner, (text, doc_id) = set_aside(docs, text, doc_id)
     keyed = with_row_keys(inner)
-    groups = _groups(keyed, text, doc_id, sha256, BATCH_BYTES)
+    groups = _groups(keyed, text, doc_id, sha256, None)
     dropped = bounded_broadcast(groups.where(~F.col("kept")).select(FILE, ROW))
     return restored(keyed.join(dropped, [FILE, ROW], "left_anti"), docs)
