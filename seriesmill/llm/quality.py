@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -35,8 +36,6 @@ START, END = "\x02", "\x03"
 SLICE_BYTES, HELD = 1 << 20, 1_500_000
 # Distinct n-grams that are sent to every task as two arrays (12 bytes each); more are joined.
 TABLE_ROWS = 4_000_000
-# Rows of a table of counts or contexts that is sent to every task when 5-grams are joined with it.
-SMALL_ROWS = 100_000
 # Documents of one scoring group, in characters, where the table is joined.
 GROUP_CHARS = 16 << 20
 
@@ -135,10 +134,9 @@ def order_tables(trusted: DataFrame) -> dict[int, DataFrame]:
     return tables
 
 
-def discounts(table: DataFrame) -> tuple[float, float, float]:
-    """Modified Kneser-Ney discounts for counts 1, 2 and more, kept between 0.05 and the count less 0.05:
-    something is always left for what was never seen."""
-    n = table.agg(*(F.count_if(F.col("count") == k) for k in (1, 2, 3, 4))).first()
+def discounts(n: list[int]) -> tuple[float, float, float]:
+    """Modified Kneser-Ney discounts for counts 1, 2 and more from the numbers of n-grams that occur 1 to 4
+    times, kept between 0.05 and the count less 0.05: something is always left for what was never seen."""
     y = n[0] / (n[0] + 2 * n[1]) if n[0] else 0.0
     raw = [k - (k + 1) * y * n[k] / n[k - 1] if n[k - 1] else 0.5 * k for k in (1, 2, 3)]
     return tuple(min(max(d, 0.05), k - 0.05) for k, d in zip((1, 2, 3), raw, strict=True))
@@ -153,32 +151,38 @@ class Model:
 
     def __init__(self, trusted: DataFrame):
         self.tables = order_tables(trusted)
-        self.discounts = {n: discounts(t) for n, t in self.tables.items()}
-        self.contexts = {}
-        for n in range(ORDER, 0, -1):
-            taken = F.sum(discounted(F.col("count"), self.discounts[n]))
-            key = [f"c{n}"] if n > 1 else []
-            self.contexts[n] = self.tables[n].groupBy(*key).agg(F.sum("count").alias(f"t{n}"), taken.alias(f"d{n}"))
-        single = self.contexts[1].first()
-        self.total, self.taken = single["t1"] or 0, single["d1"] or 0.0
+        # One job for all orders: how many n-grams occur once, twice, three times, four times, more often.
+        counts = reduce(DataFrame.unionByName, [t.select(F.lit(n).alias("order"), "count") for n, t in self.tables.items()])
+        often = counts.groupBy("order", F.least("count", F.lit(5)).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.sum("count").alias("all"))
+        rows = {(r["order"], r["k"]): r for r in often.collect()}
+        held = lambda n, k, what: rows[n, k][what] if (n, k) in rows else 0
+        self.discounts = {n: discounts([held(n, k, "n") for k in (1, 2, 3, 4)]) for n in self.tables}
+        self.total = sum(held(1, k, "all") for k in range(1, 6))
+        self.taken = sum(held(1, k, "n") * self.discounts[1][min(k, 3) - 1] for k in range(1, 6))
         # One more character stands for all that were never seen.
-        self.characters = self.tables[1].count() + 1
+        self.characters = sum(held(1, k, "n") for k in range(1, 6)) + 1
+
+    def context(self, n: int) -> DataFrame:
+        """cn, the occurrences after a context and what is taken from them."""
+        taken = F.sum(discounted(F.col("count"), self.discounts[n]))
+        return self.tables[n].groupBy(f"c{n}").agg(F.sum("count").alias("total"), taken.alias("taken"))
 
     def log_probabilities(self, wanted: DataFrame) -> DataFrame:
-        """(g5, logp) of distinct 5-grams, by joins with the counts of each order and context."""
-        for n in range(ORDER, 0, -1):
-            counts = self.tables[n].select(f"g{n}", F.col("count").alias(f"n{n}"))
-            wanted = wanted.join(bounded_broadcast(counts, SMALL_ROWS), f"g{n}", "left")
-            if n > 1:
-                wanted = wanted.join(bounded_broadcast(self.contexts[n], SMALL_ROWS), f"c{n}", "left")
-        p = F.lit(1.0 / self.characters)
+        """(g5, logp) of distinct 5-grams: from the single character up, each order is joined with its counts
+        and contexts and written, so that no plan has more than two joins."""
+        rows = wanted.withColumn("p", F.lit(1.0 / self.characters))
         for n in range(1, ORDER + 1):
-            total = F.col(f"t{n}") if n > 1 else F.lit(float(self.total) or None)
-            taken = F.col(f"d{n}") if n > 1 else F.lit(float(self.taken))
-            count = F.col(f"n{n}")
-            seen = F.coalesce((count - discounted(count, self.discounts[n])) / total, F.lit(0.0))
-            p = seen + F.coalesce(taken / total, F.lit(1.0)) * p
-        return wanted.select("g5", F.log(p).cast("float").alias("logp"))
+            rows = rows.join(self.tables[n].select(f"g{n}", "count"), f"g{n}", "left")
+            if n > 1:
+                rows = rows.join(self.context(n), f"c{n}", "left")
+                total, taken = F.col("total"), F.col("taken")
+            else:
+                total, taken = F.lit(float(self.total) or None).cast("double"), F.lit(float(self.taken))
+            seen = F.coalesce((F.col("count") - discounted(F.col("count"), self.discounts[n])) / total, F.lit(0.0))
+            p = seen + F.coalesce(taken / total, F.lit(1.0)) * F.col("p")
+            left = [*GRAMS[:ORDER - n], *CONTEXTS[:ORDER - n]]
+            rows = stored(rows.select(*dict.fromkeys(["g5", *left]), p.alias("p")), f"probability-{n}")
+        return rows.select("g5", F.log("p").cast("float").alias("logp"))
 
 
 class Table:
@@ -252,7 +256,7 @@ def _with_joins(rows: DataFrame, logs: DataFrame, groups: int) -> DataFrame:
 def score(keyed: DataFrame, model: Model, table_rows: int = TABLE_ROWS) -> DataFrame:
     """(FILE, ROW, perplexity) of rows with a text column `text`."""
     wanted = stored(distinct_grams(keyed).drop("n"), "wanted")
-    logs = stored(model.log_probabilities(wanted), "logp")
+    logs = model.log_probabilities(wanted)
     if logs.limit(table_rows + 1).count() <= table_rows:
         return _with_arrays(keyed, logs)
     chars = keyed.agg(F.sum(F.length("text"))).first()[0] or 0
