@@ -1,10 +1,12 @@
 """Approximate nearest neighbours by multi-index hashing over learned rotated binary codes.
 
-A rotation learned on a bounded sample turns every vector into 64 signs.  A code is split into
-eight bytes and each byte is an index of its own.  A code within radius r of the query is, by the
-pigeonhole principle, within r // 8 of it in one of the first r % 8 + 1 bytes or within r // 8 - 1 in
-one of the others; probing those buckets therefore retrieves every code within r.  They are
-reranked by the inner product of the original vectors.
+Several rotations learned on a bounded sample turn every vector into 256 signs.  A code is split into
+16 substrings of 16 bits and each substring is an index of its own.  A code within radius r of the
+query is, by the pigeonhole principle, within r // 16 of it in one of the first r % 16 + 1 substrings
+or within r // 16 - 1 in one of the others; probing those buckets therefore retrieves every code within
+r.  Where these buckets would hold as many codes as there are (a radius too large to prune by
+substrings), all codes of the block are compared instead.  Only codes within the radius are reranked,
+by the inner product of the original vectors.
 
 The radius is where the sample's true neighbours lie within it; a query that finds too few widens
 it, at last to all codes.  Equal vectors are one code with its smallest ids.  Index and queries
@@ -13,6 +15,8 @@ are dealt over blocks, and every block of the index meets every block of the sta
 
 from __future__ import annotations
 
+from math import comb
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -20,37 +24,40 @@ from pyspark.sql.window import Window
 
 from seriesmill.llm.common import stored
 
-BITS, BYTES = 64, 8
+BITS, PART = 256, 16
 SAMPLE, SAMPLE_QUERIES, QUANTILE = 16_384, 256, 0.98
 INDEX_BLOCK, QUERY_BLOCK = 16_384, 4096
 ROUNDS = 30
-_ONES = np.bitwise_count(np.arange(256, dtype=np.uint8))
+_ONES = np.bitwise_count(np.arange(1 << PART, dtype=np.uint16))
 
 
 def learn_rotation(vectors: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Columns whose signs are the code: iterative quantisation where the dimension allows 64 bits,
-    random directions otherwise."""
+    """Columns whose signs are the code: iterative quantisation of the sample's principal axes, as many
+    times from different starts as it takes to have BITS columns.  A sample of one vector gives random
+    directions."""
     random = np.random.default_rng(seed)
     size = vectors.shape[1]
-    if size < BITS or len(vectors) < 2:
+    if len(vectors) < 2:
         return random.standard_normal((size, BITS))
     _, axes = np.linalg.eigh(vectors.T @ vectors / len(vectors))
     axes = axes[:, ::-1][:, :BITS]
-    flat = vectors @ axes
-    turn = np.linalg.qr(random.standard_normal((BITS, BITS)))[0]
-    for _ in range(ROUNDS):
-        left, _, right = np.linalg.svd(np.sign(flat @ turn).T @ flat)
-        turn = (left @ right).T
-    return axes @ turn
+    flat, columns = vectors @ axes, []
+    for _ in range(-(-BITS // axes.shape[1])):
+        turn = np.linalg.qr(random.standard_normal((axes.shape[1],) * 2))[0]
+        for _ in range(ROUNDS):
+            left, _, right = np.linalg.svd(np.sign(flat @ turn).T @ flat)
+            turn = (left @ right).T
+        columns.append(axes @ turn)
+    return np.concatenate(columns, axis=1)[:, :BITS]
 
 
 def encode(vectors: np.ndarray, rotation: np.ndarray) -> np.ndarray:
-    """Codes as rows of eight bytes."""
+    """Codes as rows of bytes."""
     return np.packbits(vectors @ rotation > 0, axis=1)
 
 
 def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(codes.view(np.uint64)[:, 0] ^ code.view(np.uint64)[0])
+    return np.bitwise_count(codes.view(np.uint64) ^ code.view(np.uint64)).sum(axis=1, dtype=np.int64)
 
 
 def learn_radius(vectors: np.ndarray, rotation: np.ndarray, k: int) -> int:
@@ -66,34 +73,41 @@ def learn_radius(vectors: np.ndarray, rotation: np.ndarray, k: int) -> int:
 
 
 class MultiIndex:
-    """The eight byte indexes of one block of codes."""
+    """The substring indexes of one block of codes; `probed` counts the codes that were looked at."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(codes[:, j], kind="stable") for j in range(BYTES)]
-        self.edges = [np.searchsorted(codes[o, j], np.arange(257)) for j, o in enumerate(self.order)]
-        self.probed: dict[tuple[int, int, int], np.ndarray] = {}
-
-    def bucket(self, j: int, byte: int, radius: int) -> np.ndarray:
-        """Codes whose byte j is within the radius of `byte`."""
-        key = (j, byte, radius)
-        if key not in self.probed:
-            values = np.nonzero(_ONES[np.arange(256) ^ byte] <= radius)[0]
-            edges, order = self.edges[j], self.order[j]
-            self.probed[key] = np.concatenate([order[edges[v]:edges[v + 1]] for v in values])
-        return self.probed[key]
+        self.codes, self.bits = codes, 8 * codes.shape[1]
+        self.parts = codes.view(np.uint16)
+        self.order = [np.argsort(p, kind="stable") for p in self.parts.T]
+        self.edges = [np.searchsorted(p[o], np.arange((1 << PART) + 1)) for p, o in zip(self.parts.T, self.order, strict=True)]
+        self.probed = 0
+
+    def bucket(self, j: int, part: int, radius: int) -> np.ndarray:
+        """Codes whose substring j is within the radius of `part`."""
+        values = np.nonzero(_ONES[np.arange(1 << PART, dtype=np.uint16) ^ np.uint16(part)] <= radius)[0]
+        edges = self.edges[j]
+        values = values[edges[values + 1] > edges[values]]
+        return np.concatenate([self.order[j][edges[v]:edges[v + 1]] for v in values]) if len(values) else np.zeros(0, np.int64)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every code within the radius."""
-        if radius >= BITS:
-            return np.arange(len(self.codes))
-        seen = np.zeros(len(self.codes), bool)
-        low, rest = divmod(radius, BYTES)
-        for j in range(BYTES):
-            near = low if j <= rest else low - 1
-            if near >= 0:
-                seen[self.bucket(j, int(code[j]), near)] = True
-        found = np.nonzero(seen)[0]
+        everything = np.arange(len(self.codes))
+        if radius >= self.bits:
+            self.probed += len(everything)
+            return everything
+        number = self.parts.shape[1]
+        low, rest = divmod(radius, number)
+        near = [low if j <= rest else low - 1 for j in range(number)]
+        # Share of all values of a substring that the probes of each index ask for.
+        asked = sum(sum(comb(PART, i) for i in range(n + 1)) for n in near) / (1 << PART)
+        found = everything
+        if asked < 1:
+            seen = np.zeros(len(self.codes), bool)
+            for j, part in enumerate(code.view(np.uint16)):
+                if near[j] >= 0:
+                    seen[self.bucket(j, int(part), near[j])] = True
+            found = np.nonzero(seen)[0]
+        self.probed += len(found)
         return found[distances(self.codes[found], code) <= radius]
 
 
@@ -110,7 +124,7 @@ def search_block(index: pd.DataFrame, queries: pd.DataFrame, rotation: np.ndarra
         reach = radius
         found = multi.within(code, reach)
         while held[found].sum() < k and reach < BITS:
-            reach += BYTES
+            reach += PART
             found = multi.within(code, reach)
         score = vectors[found] @ query
         if len(found) > k:
@@ -139,7 +153,7 @@ def nearest(
     """query_id, rank, vec_id, score: for each row for which the SQL condition `is_query` over `id` holds,
     the k rows with the largest inner product that were found, the row itself left out.
 
-    Null, zero and non-finite vectors take no part.  Ties go to the smaller id; fewer than k rows
+    Null, zero and non-finite vectors, and those of another length than most, take no part.  Ties go to the smaller id; fewer than k rows
     give all.  Repeated rows count once; two vectors of one id never find each other; other columns
     are ignored; an empty table gives an empty result.
     """

@@ -50,3 +50,41 @@ def test_few_rows(spark):
     one = spark.createDataFrame([(0, [1.0], 0)], SCHEMA)
     assert hashing.nearest(one, "id % 20 = 0").count() == 0
     assert hashing.nearest(spark.createDataFrame([], SCHEMA), "id % 20 = 0").count() == 0
+
+
+def neighbours(x, k=20, step=10):
+    asked = np.arange(0, len(x), step)
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    return asked, np.argsort(-score, axis=1)[:, :k]
+
+
+@pytest.mark.parametrize("size", [64, 32])
+def test_clustered_vectors_are_pruned(size):
+    """Vectors in groups of like ones: few codes are looked at, fewer reranked, and recall is high."""
+    draw = np.random.default_rng(2)
+    centres = draw.standard_normal((200, size))
+    x = centres[draw.integers(0, 200, 8000)] + 0.15 * draw.standard_normal((8000, size))
+    rotation = hashing.learn_rotation(x)
+    radius, codes = hashing.learn_radius(x, rotation, 20), hashing.encode(x, rotation)
+    index = hashing.MultiIndex(codes)
+    asked, best = neighbours(x)
+    found = [set(index.within(codes[i], radius)) for i in asked]
+    recall = np.mean([len(set(b) & f) / 20 for b, f in zip(best, found, strict=True)])
+    assert recall >= 0.9
+    assert index.probed <= 0.2 * len(asked) * len(x)
+    assert sum(map(len, found)) <= 0.1 * len(asked) * len(x)
+
+
+def test_vectors_close_to_random_rerank_a_small_share():
+    """No structure: substrings prune nothing, but the radius keeps most vectors from being reranked."""
+    draw = np.random.default_rng(3)
+    x = draw.standard_normal((6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rotation = hashing.learn_rotation(x)
+    radius, codes = hashing.learn_radius(x, rotation, 20), hashing.encode(x, rotation)
+    index = hashing.MultiIndex(codes)
+    asked, best = neighbours(x, step=60)
+    found = [set(index.within(codes[i], radius)) for i in asked]
+    assert np.mean([len(set(b) & f) / 20 for b, f in zip(best, found, strict=True)]) >= 0.9
+    assert sum(map(len, found)) <= 0.15 * len(asked) * len(x)
