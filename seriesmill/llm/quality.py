@@ -218,8 +218,8 @@ def perplexities(texts: list[str], table: Table) -> np.ndarray:
 
 
 def _with_arrays(rows: DataFrame, logs: DataFrame) -> DataFrame:
-    found = logs.toPandas()  # at most TABLE_ROWS, by count
-    given = rows.sparkSession.sparkContext.broadcast((found["g5"].to_numpy(), found["logp"].to_numpy()))
+    found = logs.toArrow()  # at most TABLE_ROWS, by count; two arrays, never rows of Python objects
+    given = rows.sparkSession.sparkContext.broadcast((found.column("g5").to_numpy(), found.column("logp").to_numpy()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(*given.value)
