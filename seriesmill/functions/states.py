@@ -1,4 +1,4 @@
-"""Mergeable aggregate states: (n, mean, m2) statistics and quantile sketches.
+"""Mergeable aggregate states: (n, mean, m2) statistics.
 
 Partial results of any grain can be stored and merged to a coarser grain without the rows.
 """
@@ -44,16 +44,3 @@ def variance(state: str) -> Column:
 
 def stddev(state: str) -> Column:
     return F.sqrt(variance(state))
-
-
-def sketch_state(value: Column, k: int = 400) -> Column:
-    """Aggregate: KLL quantile sketch as binary."""
-    return F.kll_sketch_agg_double(value, F.lit(k))
-
-
-def merge_sketches(state: str) -> Column:
-    return F.kll_merge_agg_double(F.col(state))
-
-
-def sketch_quantile(state: str, q: float) -> Column:
-    return F.kll_sketch_get_quantile_double(F.col(state), F.lit(float(q)))

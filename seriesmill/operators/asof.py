@@ -7,11 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from seriesmill.functions.timecols import micros
-from seriesmill.operators.ordered import carry, split, time_cells
-from seriesmill.operators.latest import latest_per_key
+from seriesmill.operators.ordered import OWN, PIECE, Pieces, carry, split, time_cells
 
 _TIME, _SIDE, _LEFT, _RIGHT = "__t", "__side", "__left", "__right"
 
@@ -71,6 +70,32 @@ def asof_backward(
     )
 
 
+def _nearest_rows(union: DataFrame, series: Sequence[str], pieces: Pieces) -> DataFrame:
+    """Adds `__before` and `__after`, the nearest right rows on both sides of each left row.
+
+    Both frames share one partitioning and sort the rows once each way (an unbounded-following frame
+    would need no second sort but costs quadratic time).  Of right rows of one time both take the
+    largest: it is the last one in either order.  In a split series the right rows alone are read once
+    more, for the first and the last of each piece.
+    """
+    split_up = pieces.table is not None
+    rows = pieces.assign(union).drop(OWN) if split_up else union
+    parts = [*series, PIECE] if split_up else list(series)
+    forth = Window.partitionBy(*parts).orderBy(F.col(_TIME).asc(), F.col(_SIDE).asc(), F.col(_RIGHT).asc())
+    back = Window.partitionBy(*parts).orderBy(F.col(_TIME).desc(), F.col(_SIDE).desc(), F.col(_RIGHT).asc())
+    upto = lambda w: F.last(_RIGHT, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    found = rows.select("*", upto(forth).alias("__before"), upto(back).alias("__after"))
+    if not split_up:
+        return found
+    known = pieces.assign(union.where(F.col(_RIGHT).isNotNull())).where(F.col(OWN))
+    ends = known.groupBy(*series, PIECE).agg(
+        F.max_by(_RIGHT, F.struct(_TIME, _RIGHT)).alias("newest"),
+        F.max_by(_RIGHT, F.struct(-micros(F.col(_TIME)), F.col(_RIGHT))).alias("oldest"))
+    last = lambda c: F.last(c, ignorenulls=True)
+    return pieces.with_carried(found, pieces.carried(ends, {"newest": last}, {"oldest": last})).withColumns({
+        "__before": F.coalesce("__before", "__c_newest"), "__after": F.coalesce("__after", "__c_oldest")})
+
+
 def asof_nearest(
     left: DataFrame,
     right: DataFrame,
@@ -86,19 +111,14 @@ def asof_nearest(
 ) -> DataFrame:
     """Each left row with the nearest right row within the closed tolerance.
 
-    Equal distances go to the later right row.  With `required`, left rows whose match lacks
+    Equal distances go to the later right row; several right rows of one time count as one, the
+    largest in column order.  With `required`, left rows whose match lacks
     that column are dropped (this includes rows without a match).
     """
     right = right.select(*keys, right_time, *columns)
-    once = latest_per_key(right, [*keys, right_time], list(columns))
-    union, series = _tagged(left, once, left_time, right_time, keys)
-    # The two passes share the partitioning; the second one sorts the other way round.  An
-    # unbounded-following frame would need no second sort but costs quadratic time.
+    union, series = _tagged(left, right, left_time, right_time, keys)
     pieces = split(union, series, time_cells(_TIME), max_rows=max_rows, bound=_both_keys(left, right, keys, series))
-    back = carry(union, [_TIME, _SIDE], series, {"__before": ("last", _RIGHT)}, pieces=pieces)
-    both = carry(
-        back, [_TIME, _SIDE], series, {"__after": ("last", _RIGHT)}, backwards=True, pieces=pieces
-    ).where(F.col(_SIDE) == 1)
+    both = _nearest_rows(union, series, pieces).where(F.col(_SIDE) == 1)
     t = micros(F.col(_TIME))
     before = t - micros(F.col(f"__before.{right_time}"))
     after = micros(F.col(f"__after.{right_time}")) - t

@@ -9,6 +9,8 @@ from seriesmill.functions.timecols import floor_time, moment, shift_time
 from seriesmill.operators.latest import latest_per_key
 from seriesmill.operators.ordered import carry, value_cells
 from seriesmill.operators.quantiles import exact_quantiles
+from seriesmill.session import cut
+from seriesmill.sources.scans import time_range
 
 # Labels of the winner code and of the summary rows.
 MODEL_LABEL = "ML"
@@ -267,8 +269,13 @@ def price_comparison(
     model_type: str = "production",
     area: str = "FI",
     price_type: str = "imbalance",
+    since: str | None = None,
 ) -> DataFrame:
-    """Newest model run and newest official price forecast per time, next to the outcome."""
+    """Newest model run and newest official price forecast per time, next to the outcome.  `since` bounds
+    all three inputs."""
+    if since is not None:
+        predictions = time_range(predictions, "prediction_time", since)
+        forecasts, prices = time_range(forecasts, "forecast_time", since), time_range(prices, "time", since)
     model = latest_per_key(
         predictions.where(
             (F.col("model_type") == model_type)
@@ -308,9 +315,11 @@ def win_rate() -> Column:
 
 
 def performance_hourly(comparison: DataFrame, max_rows: int | None = None) -> DataFrame:
-    """Hourly error statistics over rows with an outcome."""
+    """Hourly error statistics over rows with an outcome.  The comparison is evaluated once and written."""
     known = comparison.where(F.col("actual_price").isNotNull())
-    rows = known.withColumn("hour", floor_time(known, "time", "1 hour"))
+    rows = cut(known.select(
+        floor_time(known, "time", "1 hour").alias("hour"), "ml_absolute_error", "ml_percentage_error", "official_absolute_error",
+        "official_percentage_error", "winner_code", "actual_price"))
     main = rows.groupBy("hour").agg(
         F.count(F.lit(1)).alias("num_predictions"),
         F.avg("ml_absolute_error").alias("ml_avg_error"),
@@ -322,7 +331,7 @@ def performance_hourly(comparison: DataFrame, max_rows: int | None = None) -> Da
         F.min("actual_price").alias("min_actual_price"),
         F.max("actual_price").alias("max_actual_price"),
     )
-    median = exact_quantiles(rows, ["hour"], "ml_absolute_error", {"ml_median_error": 0.5}, max_rows)
+    median = exact_quantiles(rows, ["hour"], "ml_absolute_error", {"ml_median_error": 0.5}, max_rows, written=True)
     return main.join(median, "hour")
 
 

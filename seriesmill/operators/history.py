@@ -102,3 +102,11 @@ def add_price_history_to_future(
         look_back=max([*lags, *windows, 1]), max_rows=max_rows, bound=bound,
     )
     return add_price_differences(framed.where(F.col("__future")).select("__row.*", *columns))
+
+
+def join_history(rows: DataFrame, features: DataFrame, time: str, keys: Sequence[str] = ()) -> DataFrame:
+    """Price-history features, one row per time (and keys), joined back to forecast rows; rows without
+    features keep NULLs, and columns that both sides have stay those of the rows."""
+    on = [time, *keys]
+    new = [c for c in features.columns if c in on or c not in rows.columns]
+    return rows.join(features.select(*new), on, "left").select(*rows.columns, *[c for c in new if c not in on])

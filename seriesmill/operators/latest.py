@@ -1,7 +1,7 @@
 """Newest row per key, newest run, de-duplication and first/last known values.
 
 All of them are `max_by` / `min_by` aggregates: partial aggregation shrinks a hot key on the
-map side, and nothing is sorted.
+map side.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from seriesmill.session import bounded_broadcast, cut
+
 
 def _pick(df: DataFrame, keys: Sequence[str], order: Column, chooser) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -37,8 +39,9 @@ def latest_run_rows(df: DataFrame, run: str, keys: Sequence[str] = ()) -> DataFr
     if not keys:
         newest = df.agg(F.max(run).alias("__newest"))
         return df.join(F.broadcast(newest), df[run] == newest["__newest"]).drop("__newest")
-    newest = df.groupBy(*keys).agg(F.max(run).alias("__newest"))
-    return df.join(newest, list(keys)).where(F.col(run) == F.col("__newest")).select(*df.columns)
+    # One row per key, written once: it is counted and joined.
+    newest = cut(df.groupBy(*keys).agg(F.max(run).alias("__newest")))
+    return df.join(bounded_broadcast(newest), list(keys)).where(F.col(run) == F.col("__newest")).select(*df.columns)
 
 
 def latest_predictions_per_model(df: DataFrame) -> DataFrame:

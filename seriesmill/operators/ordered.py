@@ -7,11 +7,13 @@ without any key) is cut into pieces of about `max_rows` rows:
 * rows are counted per *cell*, a narrow interval of the order column (one minute by default; a
   cell with too many rows is divided into seconds, then milliseconds);
 * a running sum over the cell counts gives each cell its row offset, and offset / max_rows is
-  its piece.  Only cells of long series are counted, and only they are split;
+  its piece.  The sum has two levels, wide ranges of cells and the cells of each range, so that the
+  cells of one series need not meet in one task.  Only cells of long series are counted, and only
+  they are split;
 * frames that look back a fixed number of rows (`with_frames`) get the cells that hold those
   rows copied into the piece, so every piece is complete by itself;
-* frames that look back without bound (`carry`) get one carried row per piece instead, made
-  from one aggregated row per piece.
+* frames that look back without bound (`carry`) get one carried value per piece instead, made
+  from one aggregated row per piece and joined to the rows after their frame.
 
 Both need one shuffle of the rows, on (series, piece).
 """
@@ -24,7 +26,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec, functions as F
 
-from seriesmill.session import bounded_broadcast, cut
+from seriesmill.session import BROADCAST_ROWS, bounded_broadcast, cut
 
 MAX_ROWS = 2_000_000
 # Cells of long series; a cell that is too large is divided into cells of the next grain.
@@ -35,7 +37,7 @@ LISTED_ROWS = 10_000
 PIECE = "__piece"
 OWN = "__own"
 CELL_COLUMN = "__cell"
-CARRIED = "__carried"
+RANGE = "__range"
 
 
 def join_null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -51,12 +53,33 @@ def rows_per_piece(spark: SparkSession, max_rows: int | None) -> int:
     return int(max_rows or spark.conf.get("seriesmill.maxRowsPerPiece", str(MAX_ROWS)))
 
 
-def time_cells(time: str) -> list[Column]:
-    return [F.date_trunc(grain, F.col(time)) for grain in GRAINS]
+class Cells(list):
+    """Cells from wide to narrow, and the range of a cell: a coarser interval, in the same order."""
 
+    def __init__(self, cells: Sequence[Column], range_of: Callable[[Column], Column]):
+        super().__init__(cells)
+        self.range_of = range_of
 
-def value_cells(value: str, width: float) -> list[Column]:
-    return [F.floor(F.col(value) / F.lit(w)) * F.lit(w) for w in (width, width / 1000)]
+
+def time_cells(time: str) -> Cells:
+    return Cells([F.date_trunc(grain, F.col(time)) for grain in GRAINS], lambda cell: F.date_trunc("day", cell))
+
+
+def value_cells(value: str, width: float) -> Cells:
+    cells = [F.floor(F.col(value) / F.lit(w)) * F.lit(w) for w in (width, width / 1000)]
+    return Cells(cells, lambda cell: F.floor(cell / F.lit(1000 * width)))
+
+
+def running_count(counts: DataFrame, keys: Sequence[str], range_of: Callable[[Column], Column]) -> DataFrame:
+    """Adds `__end`, the rows of all cells of a series up to this one: ranges before this one, and the
+    cells of its own range."""
+    ranged = counts.withColumn(RANGE, range_of(F.col(CELL_COLUMN)))
+    totals = ranged.groupBy(*keys, RANGE).agg(F.sum("__n").alias("__all"))
+    upto = F.sum("__all").over(Window.partitionBy(*keys).orderBy(RANGE))
+    before = totals.select(*keys, RANGE, (upto - F.col("__all")).alias("__before"))
+    within = F.sum("__n").over(Window.partitionBy(*keys, RANGE).orderBy(CELL_COLUMN))
+    return join_null_safe(ranged.withColumn("__within", within), before, [*keys, RANGE]).withColumn(
+        "__end", F.col("__before") + F.col("__within")).drop("__before", "__within", RANGE)
 
 
 def _listed(rows: DataFrame) -> DataFrame | None:
@@ -77,6 +100,8 @@ class Pieces:
     cells: tuple[Column, ...] = ()
     # Per grain but the last: the cells that are divided further.
     divided: tuple[DataFrame, ...] = ()
+    # No more pieces than this in all long series together.
+    at_most: int = 0
 
     def mark(self, df: DataFrame) -> DataFrame:
         """Adds the cell of each row."""
@@ -96,6 +121,29 @@ class Pieces:
             .select(*df.columns, F.col("__to.piece").alias(PIECE), F.col("__to.own").alias(OWN))
         )
 
+    def carried(
+        self, totals: DataFrame, before: dict[str, Callable[[Column], Column]], after: dict[str, Callable[[Column], Column]] | None = None
+    ) -> DataFrame:
+        """For each piece what the pieces before it, and those after it, hand on.
+
+        totals: one row per piece that has any, with the named columns.  `before` and `after` combine the
+        rows of several pieces, in their order or against it, e.g. to the last value.
+        """
+        keys = list(self.keys)
+        own = self.table.select(*keys, F.explode("__targets").alias("__to")).where("__to.own").select(
+            *keys, F.col("__to.piece").alias(PIECE)).distinct()
+        rows = join_null_safe(own, totals, [*keys, PIECE], "left")
+        frames = [
+            (columns, Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+            for columns, order in ((before, F.col(PIECE).asc()), (after or {}, F.col(PIECE).desc()))
+        ]
+        return rows.select(*keys, PIECE, *[f(F.col(n)).over(w).alias(f"__c_{n}") for columns, w in frames for n, f in columns.items()])
+
+    def with_carried(self, rows: DataFrame, carried: DataFrame) -> DataFrame:
+        """Adds the handed-on values to the rows of each piece: a join with one row per piece."""
+        small = F.broadcast(carried) if self.at_most <= BROADCAST_ROWS else carried
+        return join_null_safe(rows, small, [*self.keys, PIECE], "left")
+
 
 def split(
     df: DataFrame,
@@ -138,9 +186,11 @@ def split(
         pieces = replace(pieces, divided=(*pieces.divided, large))
 
     # From here on the data are cell counts of the long series only.
-    counts = pieces.mark(rows).groupBy(*keys, CELL_COLUMN).agg(F.count(F.lit(1)).alias("__n"))
-    in_order = Window.partitionBy(*keys).orderBy(CELL_COLUMN)
-    offsets = counts.withColumn("__end", F.sum("__n").over(in_order)).withColumn(
+    counts = cut(pieces.mark(rows).groupBy(*keys, CELL_COLUMN).agg(F.count(F.lit(1)).alias("__n")))
+    # A long series has more than `limit` rows, so n rows make 2 n / limit pieces at most.
+    at_most = 2 * (counts.agg(F.sum("__n")).first()[0] or 0) // limit
+    range_of = getattr(cells, "range_of", lambda cell: F.lit(0))
+    offsets = running_count(counts, keys, range_of).withColumn(
         "__start", F.col("__end") - F.col("__n")
     ).withColumn("piece", F.floor(F.col("__start") / F.lit(limit)))
 
@@ -168,7 +218,7 @@ def split(
     )
     placed = join_null_safe(offsets, starts, [*keys, "piece"])
     table = cut(placed.select(*keys, CELL_COLUMN, F.array_compact(targets).alias("__targets")))
-    return replace(pieces, table=bounded_broadcast(table))
+    return replace(pieces, table=bounded_broadcast(table), at_most=at_most)
 
 
 def with_frames(
@@ -233,8 +283,6 @@ def carry(
             "*", *[combine[kind](source).over(upto).alias(n) for n, (kind, source) in columns.items()]
         )
 
-    # Each new column works on its own copy of its source, which the carried rows fill.
-    cutup = pieces.assign(df).drop(OWN).withColumns({n: F.col(source) for n, (_, source) in columns.items()})
     position = F.struct(*[F.col(c) for c in order])
     newest = F.min_by if backwards else F.max_by
     reduce_piece = {
@@ -242,22 +290,19 @@ def carry(
         "last": lambda c: newest(F.col(c), F.when(F.col(c).isNotNull(), position)),
         "sum": F.sum,
     }
-    totals = cutup.groupBy(*keys, PIECE).agg(*[reduce_piece[k](n).alias(n) for n, (k, _) in columns.items()])
-    by_piece = F.col(PIECE).desc() if backwards else F.col(PIECE).asc()
-    before = Window.partitionBy(*keys).orderBy(by_piece).rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, PIECE, *[combine[k](n).over(before).alias(n) for n, (k, _) in columns.items()],
-        F.lit(0).alias(CARRIED),
-    )
-    upto = (
-        Window.partitionBy(*keys, PIECE)
-        .orderBy(F.col(CARRIED), *direction)
-        .rowsBetween(Window.unboundedPreceding, 0)
-    )
-    return (
-        cutup.withColumn(CARRIED, F.lit(1))
-        .unionByName(carried, allowMissingColumns=True)
-        .select(*df.columns, CARRIED, *[combine[k](n).over(upto).alias(n) for n, (k, _) in columns.items()])
-        .where(F.col(CARRIED) == 1)
-        .drop(CARRIED)
-    )
+    join = {
+        "last": lambda own, handed: F.coalesce(own, handed),
+        "sum": lambda own, handed: F.coalesce(own + handed, own, handed),
+    }
+    # Pieces are summed up before their rows are shuffled, from the rows that have a value.
+    sources = sorted({source for _, source in columns.values()})
+    valued = df.where(reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in sources]))
+    totals = pieces.assign(valued).where(F.col(OWN)).groupBy(*keys, PIECE).agg(
+        *[reduce_piece[k](c).alias(n) for n, (k, c) in columns.items()])
+    handed = {n: combine[k] for n, (k, _) in columns.items()}
+    carried = pieces.carried(totals, {}, handed) if backwards else pieces.carried(totals, handed)
+    upto = Window.partitionBy(*keys, PIECE).orderBy(*direction).rowsBetween(Window.unboundedPreceding, 0)
+    framed = pieces.assign(df).select(
+        *df.columns, PIECE, *[combine[k](c).over(upto).alias(f"__w_{n}") for n, (k, c) in columns.items()])
+    return pieces.with_carried(framed, carried).select(
+        *df.columns, *[join[k](F.col(f"__w_{n}"), F.col(f"__c_{n}")).alias(n) for n, (k, _) in columns.items()])

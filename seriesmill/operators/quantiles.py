@@ -4,67 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesmill.operators.ordered import join_null_safe, rows_per_piece
+from seriesmill.session import bounded_broadcast, cut
 
 _ACCURACY = 100_000
 
 
 def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], max_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], value: str, wanted: dict[str, float], max_rows: int | None = None,
+    written: bool = False,
 ) -> DataFrame:
     """Interpolated quantiles of `value` per group (name to share), NULLs ignored.
 
-    Small groups use the built-in exact percentile, which keeps the distinct values of a group
-    in memory.  If a group is larger than `max_rows`, an approximate percentile with a proven
-    rank error first brackets each answer, and only the values inside a bracket are ordered.
+    The groups and values are evaluated once and written, unless `df` is `written` already.  Small groups use the built-in exact
+    percentile, which keeps the distinct values of a group in memory.  If a group is larger than
+    `max_rows`, an approximate percentile with a proven rank error first brackets all answers; the
+    brackets, one row per group, go to the rows, and only the values inside a bracket are put in order.
     """
     keys = list(keys)
-    sizes = df.groupBy(*keys).agg(F.count(value).alias("__n"))
+    rows = df.select(*keys, F.col(value).alias("__v"))
+    rows = rows if written else cut(rows)
+    sizes = rows.groupBy(*keys).agg(F.count("__v").alias("__n"))
     if sizes.where(F.col("__n") > rows_per_piece(df.sparkSession, max_rows)).isEmpty():
         shares = F.array(*[F.lit(float(q)) for q in wanted.values()])
-        found = df.groupBy(*keys).agg(F.percentile(value, shares).alias("__q"))
+        found = rows.groupBy(*keys).agg(F.percentile("__v", shares).alias("__q"))
         return found.select(*keys, *[F.col("__q")[i].alias(n) for i, n in enumerate(wanted)])
-    out = sizes.select(*keys)
-    for name, q in wanted.items():
-        out = join_null_safe(out, _bracketed(df, keys, value, q, name), keys, "left")
-    return out
+    return _bracketed(rows, keys, wanted)
 
 
-def _bracketed(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
-    margin = 4.0 / _ACCURACY
-    around = F.array(F.lit(max(q - margin, 0.0)), F.lit(min(q + margin, 1.0)))
-    brackets = df.groupBy(*keys).agg(
-        F.count(value).alias("__n"),
-        F.percentile_approx(value, around, F.lit(_ACCURACY)).alias("__b"),
-    )
-    rows = join_null_safe(df.where(F.col(value).isNotNull()), brackets, keys)
-    v = F.col(value)
-    low, high = F.col("__b")[0], F.col("__b")[1]
-    # Values outside the bracket fold into one row on each side, which keeps their count and
-    # the value next to the bracket.
-    side = F.when(v < low, -1).when(v > high, 1).otherwise(0)
-    counted = (
-        rows.groupBy(*keys, side.alias("__s"), F.when(side == 0, v).alias("__v"))
-        .agg(F.count(F.lit(1)).alias("__c"), F.max(v).alias("__max"), F.min(v).alias("__min"), F.first("__n").alias("__n"))
-        .withColumn("__v", F.when(F.col("__s") < 0, F.col("__max")).otherwise(F.col("__min")))
-    )
-    order = Window.partitionBy(*keys).orderBy("__s", "__v")
-    ranked = counted.withColumn("__upto", F.sum("__c").over(order))
-    place = (F.col("__n") - 1) * F.lit(q)
+def _bracketed(rows: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    margin, shares = 4.0 / _ACCURACY, list(wanted.values())
+    around = F.array(*[F.lit(min(max(q + side * margin, 0.0), 1.0)) for q in shares for side in (-1, 1)])
+    brackets = cut(rows.groupBy(*keys).agg(
+        F.count("__v").alias("__n"), F.percentile_approx("__v", around, F.lit(_ACCURACY)).alias("__b")))
 
-    def at(rank):
-        first = F.col("__upto") - F.col("__c")
-        here = (F.col("__upto") > rank) & (first <= rank)
-        near = (F.col("__s") == 0) | ((F.col("__s") < 0) & (rank == F.col("__upto") - 1)) | (
-            (F.col("__s") > 0) & (rank == first)
-        )
-        missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-        return F.max(F.when(here & near, F.col("__v")).when(here, missed))
+    # For each share a value is below the bracket, inside it, or of no interest.  Values below fold into
+    # one row per group and task; equal values inside do too.
+    v, b = F.col("__v"), F.col("__b")
+    placed = F.array_compact(F.array(*[
+        F.when(v < b[2 * i], F.struct(F.lit(i).alias("i"), F.lit(-1).alias("side"), F.lit(None).cast("double").alias("v")))
+        .when(v <= b[2 * i + 1], F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), v.cast("double").alias("v")))
+        for i in range(len(shares))
+    ]))
+    known = join_null_safe(rows.where(v.isNotNull()), bounded_broadcast(brackets), keys)
+    counted = known.select(*keys, "__n", F.explode(placed).alias("__p")).groupBy(*keys, "__p.i", "__p.side", "__p.v").agg(
+        F.count(F.lit(1)).alias("c"), F.any_value("__n").alias("n"))
 
-    found = ranked.groupBy(*keys).agg(
-        at(F.floor(place)).alias("__lo"), at(F.ceil(place)).alias("__hi"), F.first(place).alias("__p")
-    )
-    part = F.col("__p") - F.floor(F.col("__p"))
-    return found.select(*keys, (F.col("__lo") + (F.col("__hi") - F.col("__lo")) * part).alias(name))
+    order = Window.partitionBy(*keys, "i").orderBy("side", "v")
+    share = F.element_at(F.array(*[F.lit(float(q)) for q in shares]), F.col("i") + 1)
+    ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("place", (F.col("n") - 1) * share)
+
+    def at(rank: Column) -> Column:
+        here = (F.col("side") == 0) & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
+        return F.max(F.when(here, F.col("v")))
+
+    ends = ranked.groupBy(*keys, "i").agg(
+        at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.any_value("place").alias("place"))
+    part = F.col("place") - F.floor("place")
+    missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+    found = ends.withColumn("q", F.when(
+        F.col("low").isNull() | F.col("high").isNull(), missed).otherwise(F.col("low") + (F.col("high") - F.col("low")) * part))
+    wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(wanted)])
+    # Groups without a value are there too.
+    return join_null_safe(brackets.select(*keys), wide, keys, "left")

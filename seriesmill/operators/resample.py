@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import NumericType
 
-from seriesmill.functions.states import sketch_state, stats_state
+from seriesmill.functions.sketches import COUNT, BUCKET, bucket, packed
+from seriesmill.functions.states import merge_states, stats_state
 from seriesmill.functions.timecols import floor_time
 from seriesmill.schemas import POWER_MEASURES, WEATHER_MEASURES
 
@@ -74,11 +75,23 @@ def power_hourly(df: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def prices_daily(df: DataFrame) -> DataFrame:
-    """Stored daily rollup per area: statistics state, extremes and a quantile sketch."""
-    return df.groupBy(floor_time(df, "time", "1 day").alias("day"), "area").agg(
-        stats_state(F.col("price_eur_mwh")).alias("price_stats"),
-        F.max("price_eur_mwh").alias("max_price"),
-        F.min("price_eur_mwh").alias("min_price"),
-        sketch_state(F.col("price_eur_mwh")).alias("price_distribution"),
+def prices_daily_counts(df: DataFrame) -> DataFrame:
+    """The mergeable long form of the daily rollup: per day, area and value bucket the number of prices,
+    their statistics state and extremes.  Prices that no bucket counts are a row of their own."""
+    price = F.col("price_eur_mwh")
+    return df.groupBy(floor_time(df, "time", "1 day").alias("day"), "area", bucket(price).alias(BUCKET)).agg(
+        F.count(price).alias(COUNT), stats_state(price).alias("price_stats"),
+        F.max(price).alias("max_price"), F.min(price).alias("min_price"),
+    )
+
+
+def prices_daily_state(counts: DataFrame) -> DataFrame:
+    """Stored daily rollup per area: statistics state, extremes and the packed quantile sketch."""
+    return counts.groupBy("day", "area").agg(
+        merge_states("price_stats").alias("price_stats"), F.max("max_price").alias("max_price"),
+        F.min("min_price").alias("min_price"), packed().alias("price_distribution"),
     )
+
+
+def prices_daily(df: DataFrame) -> DataFrame:
+    return prices_daily_state(prices_daily_counts(df))

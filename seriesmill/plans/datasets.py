@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from datetime import date, datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from seriesmill.functions.calendar import add_calendar_features, add_holiday_features, add_time_features
 from seriesmill.functions.supply import add_supply_features
-from seriesmill.functions.timecols import bucket_count, moment, shift_time
+from seriesmill.functions.timecols import bucket_count, moment
 from seriesmill.functions.weather import add_weather_features, add_weather_interactions
 from seriesmill.operators.asof import asof_backward
 from seriesmill.operators.history import add_price_history, add_price_history_to_future, add_target_history
@@ -17,7 +19,7 @@ from seriesmill.operators.joins import FORECAST_TYPES, pivot_power_forecasts
 from seriesmill.operators.latest import latest_per_key
 from seriesmill.operators.resample import align_to_hourly, resample_power, resample_prices, resample_weather
 from seriesmill.schemas import FEATURE_NAMES, POWER_MEASURES, WEATHER_MEASURES
-from seriesmill.session import cut
+from seriesmill.sources.scans import DATE, time_range
 
 # Names that never are features, and columns that must be known in training.
 NOT_FEATURES = [
@@ -98,16 +100,14 @@ def training_dataset(
     every: str = "1 hour", area: str = "FI", price_type: str | None = None, max_rows: int | None = None,
 ) -> DataFrame:
     """Rows with a known price and at most 20 % NULL columns; raises without power or prices."""
-    def between(df):
-        return df.where(F.col("time").between(moment(df, "time", start), moment(df, "time", end)))
-
-    power, prices = between(power), between(prices).where(F.col("area") == area)
+    power = time_range(power, "time", start, end)
+    prices = time_range(prices, "time", start, end).where(F.col("area") == area)
     if price_type is not None:
         prices = prices.where(F.col("price_type") == price_type)
     for name, df in (("consumption", power), ("price", prices)):
         if df.isEmpty():
             raise ValueError(f"No {name} data found for training period")
-    inputs = hourly_inputs(power, prices, None if weather is None else between(weather), every)
+    inputs = hourly_inputs(power, prices, None if weather is None else time_range(weather, "time", start, end), every)
     full = training_features(inputs, max_rows=max_rows, at_most=bucket_count(start, end, every))
     return drop_sparse_rows(full.where(F.col("price_eur_mwh").isNotNull()))
 
@@ -122,9 +122,10 @@ def prediction_dataset(
     History ends before `start`; `literal_history` also takes a price at `start` itself.
     """
     def newest(df, keys):
-        at = F.col("forecast_time")
-        inside = at.between(moment(df, "forecast_time", start), moment(df, "forecast_time", end))
-        return latest_per_key(df.where(inside), ["forecast_time", *keys], ["generated_at"])
+        inside = time_range(df, "forecast_time", start, end)
+        if DATE in inside.columns:
+            inside = inside.drop(DATE)
+        return latest_per_key(inside, ["forecast_time", *keys], ["generated_at"])
 
     weather = weather_forecasts
     if station_id is not None:
@@ -132,24 +133,56 @@ def prediction_dataset(
     weather = rename_present(newest(weather, ["station_id"]), FEATURE_NAMES)
     power = newest(power_forecasts.where(F.col("forecast_type").isin(*types)), ["forecast_type"])
     joined = weather.join(pivot_power_forecasts(power, types), "forecast_time", "left")
-    first = moment(prices, "time", start)
-    history = prices.where(
-        (F.col("area") == area)
-        & (F.col("time") >= shift_time(first, -lookback_hours))
-        & ((F.col("time") <= first) if literal_history else (F.col("time") < first))
-    )
+    since = (datetime.fromisoformat(start) - timedelta(hours=lookback_hours)).isoformat(sep=" ")
+    history = time_range(prices, "time", since, start).where(F.col("area") == area)
+    if not literal_history:
+        history = history.where(F.col("time") < moment(prices, "time", start))
     return prediction_features(joined, history, max_rows=max_rows)
 
 
+# Day folders that a backward read tries, twice as many each time; after these all older ones.
+FARTHEST_DAYS = 4096
+
+
+def newest_before(df: DataFrame, time: str, columns: Sequence[str], start: str) -> DataFrame:
+    """The newest row before `start` (of several the largest in column order), or no row.
+
+    A stored table is read backwards by its day folders: the last day, the two before it, the four
+    before those, until one holds a row.
+    """
+    row = F.struct(time, *columns)
+    day = date.fromisoformat(start[:10])
+    parts = [df]
+    if DATE in df.columns:
+        folder, upper, span, parts = F.col(DATE), day, 1, []
+        while span <= FARTHEST_DAYS:
+            lower = day - timedelta(days=span)
+            parts.append(df.where((folder >= F.lit(lower)) & (folder <= F.lit(upper))))
+            upper, span = lower - timedelta(days=1), 2 * span
+        parts.append(df.where(folder <= F.lit(upper)))
+    for part in parts:
+        found = part.where(F.col(time) < moment(df, time, start)).agg(F.max(row).alias("row")).first()["row"]
+        if found is not None:
+            return df.sparkSession.createDataFrame([found], df.select(time, *columns).schema)
+    return df.select(time, *columns).limit(0)
+
+
+def known_at_start(df: DataFrame, time: str, columns: Sequence[str], start: str, end: str) -> DataFrame:
+    """What an as-of join needs of its right side for left rows between start and end: the rows of the
+    range and the one that holds at its start."""
+    inside = time_range(df, time, start, end).select(time, *columns)
+    return inside.unionByName(newest_before(df, time, columns, start))
+
+
 def joined_training_data(
     power: DataFrame, weather: DataFrame, start: str, end: str, *, max_age: str | None = None,
     max_rows: int | None = None,
 ) -> DataFrame:
     """Power actuals of the range, each with the newest weather row at or before it."""
-    inside = power.where(F.col("time").between(moment(power, "time", start), moment(power, "time", end)))
     columns = [c for c in WEATHER_MEASURES if c in weather.columns]
     joined = asof_backward(
-        inside.select("time", *POWER_MEASURES), weather.select("time", *columns),
+        time_range(power, "time", start, end).select("time", *POWER_MEASURES),
+        known_at_start(weather, "time", columns, start, end),
         columns=columns, max_age=max_age, max_rows=max_rows,
     )
     doubles = [F.col(c).cast("double").alias(c) for c in joined.columns if c != "time"]
@@ -165,39 +198,53 @@ def consumption_training_table(
     )
 
 
+# Intervals in which the cut of a chronological split is looked for, one inside the other, and the
+# rows that are ranked by one task once the interval of the cut holds no more.
+GRAINS = ("month", "day", "hour", "minute", "second", "millisecond")
+RANKED_ROWS = 100_000
+
+
 def chronological_split(
-    df: DataFrame, test_size: float = 0.2, time: str = "time", *, grain: str = "hour",
-    tie_break: Sequence[str] = (),
+    df: DataFrame, test_size: float = 0.2, time: str = "time", *, tie_break: Sequence[str] = (), ranked_rows: int = RANKED_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """First int(n * (1 - test_size)) rows in time order, and the rest.
 
-    Only counts per `grain` are put in order; the rows of the one interval that holds the cut
-    are ranked, all other rows are compared with its bounds.  Rows without a time come first.
-    Rows of equal time are ordered by `tie_break`, then by their content, so both parts agree.
+    Rows are counted per month, then per day of the month that holds the cut, and so on until few
+    rows are left around the cut.  Only these are ranked; all other rows are compared with their bounds.
+    Rows without a time come first.  Rows of equal time are ordered by `tie_break`, then by their
+    content, so both parts agree.
     """
-    cell = F.date_trunc(grain, F.col(time))
-    counts = cut(df.groupBy(cell.alias("__cell")).agg(F.count(F.lit(1)).alias("__n")))
-    upto = counts.select(
-        "__cell", "__n", F.sum("__n").over(Window.orderBy("__cell")).alias("__upto"),
-        F.sum("__n").over(Window.partitionBy()).alias("__all"),
-    )
-    quota = F.floor(F.col("__all") * F.lit(1 - test_size)).cast("long")
-    at = upto.where((F.col("__upto") > quota) & (F.col("__upto") - F.col("__n") <= quota)).select(
-        F.col("__cell").alias("__at"), (quota - F.col("__upto") + F.col("__n")).alias("__take")
-    ).first()
-    if at is None:
-        return df, df.limit(0)
-    edge = F.lit(at["__at"]).cast(dict(df.select(cell.alias("c")).dtypes)["c"])
-    at_cut = cell.eqNullSafe(edge)
-    ahead = ~at_cut & (cell.isNull() | F.coalesce(cell < edge, F.lit(False)))
-    behind = ~at_cut & ~ahead
+    content = F.xxhash64(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
+    cells = [F.date_trunc(grain, F.col(time)) for grain in GRAINS]
+    if not tie_break:  # rows of one time, or without any, are divided by their content
+        cells += [F.shiftright(content, bits) for bits in (48, 32, 16)]
+
+    quota, before = None, 0
+    ahead, inside = F.lit(False), F.lit(True)
+    for cell in cells:
+        # Months of the whole table, then days of a month, and so on: the rows to the driver are few.
+        found = df.where(inside).groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()
+        counts = sorted(((r["cell"], r["n"]) for r in found), key=lambda c: (c[0] is not None, c[0]))
+        if quota is None:
+            quota = math.floor(sum(n for _, n in counts) * (1 - test_size))
+        edge, held = None, 0
+        for edge, held in counts:
+            if before + held > quota:
+                break
+            before += held
+        else:  # the cut lies behind the last row
+            return df, df.limit(0)
+        at = F.lit(edge).cast(df.select(cell.alias("c")).schema["c"].dataType)
+        ahead = ahead | (inside & ~cell.eqNullSafe(at) & F.coalesce(cell < at, cell.isNull()))
+        inside = inside & cell.eqNullSafe(at)
+        if held <= ranked_rows:
+            break
+    behind, take = ~inside & ~ahead, quota - before
+    if take == 0:
+        return df.where(ahead), df.where(~ahead)
     order = Window.partitionBy(F.col("__edge")).orderBy(time, *tie_break, "__content")
-    if at["__take"] > 0:
-        rank = F.row_number().over(order)
-        content = F.xxhash64(*(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))),))
-        inside = df.where(at_cut).withColumn("__edge", F.lit(1)).withColumn("__content", content).withColumn(
-            "__rank", rank).drop("__edge", "__content")
-        head = inside.where(F.col("__rank") <= at["__take"]).drop("__rank")
-        tail = inside.where(F.col("__rank") > at["__take"]).drop("__rank")
-        return df.where(ahead).unionByName(head), df.where(behind).unionByName(tail)
-    return df.where(ahead), df.where(~ahead)
+    ranked = df.where(inside).withColumn("__edge", F.lit(1)).withColumn("__content", content).withColumn(
+        "__rank", F.row_number().over(order)).drop("__edge", "__content")
+    head = ranked.where(F.col("__rank") <= take).drop("__rank")
+    tail = ranked.where(F.col("__rank") > take).drop("__rank")
+    return df.where(ahead).unionByName(head), df.where(behind).unionByName(tail)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from datetime import datetime, timezone
 from statistics import NormalDist
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import Imputer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -15,6 +15,7 @@ from pyspark.sql.types import BooleanType, NumericType
 from seriesmill.functions.timecols import moment, shift_time
 from seriesmill.operators.evaluation import regression_metrics
 from seriesmill.plans.datasets import chronological_split, feature_names
+from seriesmill.session import cut
 
 # Training names and the names the prediction dataset uses for them.
 TRAIN_TO_PREDICT = {
@@ -59,35 +60,104 @@ def require_features(df: DataFrame, names: Sequence[str]) -> None:
         raise ValueError(f"Prediction dataset is missing required features: {', '.join(missing)}")
 
 
-# Defaults of the model families.
+# Defaults of the model families.  `xgboost` grows by depth with single rows in a leaf, `lightgbm`
+# keeps 20 rows in a leaf, which for small tables gives about its 31 leaves.
 FAMILIES = {
-    "xgboost": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
-    "lightgbm": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8"},
+    "xgboost": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxBins": 256},
+    "lightgbm": {
+        "maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "maxBins": 255,
+        "minInstancesPerNode": 20,
+    },
     "gradient_boosting": {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.8},
     "random_forest": {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2},
     # Consumption model: about 31 leaves per tree.
-    "consumption": {"maxIter": 1000, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9"},
+    "consumption": {
+        "maxIter": 1000, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.9", "minInstancesPerNode": 20,
+    },
 }
+# Rounds without a smaller error on the validation rows after which a price model stops.
+PATIENCE = 50
+# The consumption model stops on its own training rows, whose error falls with nearly every tree: it
+# stops when a tree lessens the squared error by a smaller share.
+STOP_BELOW = 0.005
+_VALIDATION = "__validation"
+
+
+def boosted(family: str) -> bool:
+    return family != "random_forest"
+
+
+def most_trees(family: str) -> int:
+    return FAMILIES[family]["maxIter" if boosted(family) else "numTrees"]
 
 
 def regressor(family: str, target: str, **params):
     if family not in FAMILIES:
         raise ValueError(f"Unknown model type: {family}")
     settings = {"seed": 42, **FAMILIES[family], **params}
-    build = RandomForestRegressor if family == "random_forest" else GBTRegressor
+    build = GBTRegressor if boosted(family) else RandomForestRegressor
     return build(featuresCol="features", labelCol=target, predictionCol="prediction", **settings)
 
 
-def fit(df: DataFrame, names: Sequence[str], target: str, family: str, **params) -> PipelineModel:
-    """Imputes missing features by their mean, assembles and fits.  Features without any
-    value are left out by the caller (`usable_features`)."""
+def best_round(errors: Sequence[float], patience: int) -> tuple[int, bool]:
+    """(rounds to keep, whether the search is over) of the errors after each round: over when the smallest
+    error so far is `patience` rounds old."""
+    best = 0
+    for i, error in enumerate(errors):
+        if error < errors[best]:
+            best = i
+        if i - best >= patience:
+            return best + 1, True
+    return best + 1, False
+
+
+def fit_patiently(family: str, target: str, train: DataFrame, validation: DataFrame, patience: int, **params):
+    """Boosting with `patience` rounds: as many rounds as it takes to see that the error on the validation
+    rows falls no more, then the trees up to the best round.
+
+    The rounds are doubled until the end is seen.  Trees depend on seed and round alone, so a model of
+    fewer rounds has the first trees of a longer one.
+    """
+    limit = params.get("maxIter", FAMILIES[family]["maxIter"])
+    rounds = min(limit, patience + 10)
+    while True:
+        model = regressor(family, target, **{**params, "maxIter": rounds}).fit(train)
+        keep, over = best_round(model.evaluateEachIteration(validation, "squared"), patience)
+        if over or rounds == limit:
+            return model if keep == rounds else regressor(family, target, **{**params, "maxIter": keep}).fit(train)
+        rounds = min(limit, 2 * rounds)
+
+
+def fit(
+    df: DataFrame, names: Sequence[str], target: str, family: str, validation: DataFrame | None = None,
+    patience: int | None = None, **params,
+) -> PipelineModel:
+    """Imputes missing features by their mean over `df`, assembles and fits.  Features without any
+    value are left out by the caller (`usable_features`).
+
+    With `validation` rows (at least one) a boosted family stops early: after `patience` rounds without
+    a smaller error on those rows, or, without patience, at the first tree that lessens it by a share
+    below STOP_BELOW (`validationTol`).  The trees up to the best round are kept.
+    """
+    def inputs(rows):
+        return as_doubles(rows, names).select(*names, F.col(target).cast("double").alias(target))
+
     filled = [f"{n}__filled" for n in names]
-    stages = [
-        Imputer(inputCols=list(names), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep"),
-        regressor(family, target, **params),
-    ]
-    return Pipeline(stages=stages).fit(as_doubles(df, names).select(*names, F.col(target).cast("double").alias(target)))
+    rows = inputs(df)
+    impute = Imputer(inputCols=list(names), outputCols=filled).fit(rows)
+    assemble = VectorAssembler(inputCols=filled, outputCol="features", handleInvalid="keep")
+    ready = lambda r: assemble.transform(impute.transform(r)).select("features", target)
+    # Every tree reads the rows again: they are assembled once.
+    train = cut(ready(rows))
+    held = None if validation is None or not boosted(family) else cut(ready(inputs(validation)))
+    if held is None or held.isEmpty():
+        fitted = regressor(family, target, **params).fit(train)
+    elif patience is not None:
+        fitted = fit_patiently(family, target, train, held, patience, **params)
+    else:
+        flagged = train.withColumn(_VALIDATION, F.lit(False)).unionByName(held.withColumn(_VALIDATION, F.lit(True)))
+        fitted = regressor(family, target, **{"validationIndicatorCol": _VALIDATION, "validationTol": STOP_BELOW, **params}).fit(flagged)
+    return PipelineModel(stages=[impute, assemble, fitted])
 
 
 def usable_features(df: DataFrame, names: Sequence[str]) -> list[str]:
@@ -103,6 +173,10 @@ class TrainedModel:
         self.pipeline, self.features, self.target = pipeline, features, target
         self.family, self.version, self.metrics = family, version, metrics
 
+    @property
+    def trees(self) -> int:
+        return self.pipeline.stages[-1].getNumTrees
+
     def score(self, df: DataFrame) -> DataFrame:
         require_features(df, self.features)
         scored = self.pipeline.transform(as_doubles(df, self.features))
@@ -174,35 +248,44 @@ def _version() -> str:
     return datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
 
 
+def value_columns(df: DataFrame, target: str, time: str = "timestamp") -> list[str]:
+    """The columns that can be features: numbers and booleans other than the target and the time."""
+    return [
+        f.name for f in df.schema.fields
+        if f.name not in (target, time) and isinstance(f.dataType, (NumericType, BooleanType))
+    ]
+
+
 def train_consumption(
     df: DataFrame, target: str = "consumption_mw", *, version: str | None = None, **params
 ) -> TrainedModel:
-    """Fits on all rows with a known target; metrics are those of the training rows."""
+    """Fits on all rows with a known target; stops early on, and has its metrics from, those same rows."""
     known = df.where(F.col(target).isNotNull())
-    names = [
-        f.name for f in known.schema.fields
-        if f.name not in (target, "timestamp") and isinstance(f.dataType, (NumericType, BooleanType))
-    ]
-    names = usable_features(known, names)
-    model = TrainedModel(fit(known, names, target, "consumption", **params), names, target, "consumption", version or _version(), {})
+    names = usable_features(known, value_columns(known, target))
+    pipeline = fit(known, names, target, "consumption", known, **params)
+    model = TrainedModel(pipeline, names, target, "consumption", version or _version(), {})
     scores = regression_metrics(model.score(known), target, "prediction").first()
-    model.metrics = {"train_rmse": scores.rmse, "train_mae": scores.mae, "train_mape": scores.mape, "train_samples": scores.samples}
+    model.metrics = {
+        "train_rmse": scores.rmse, "train_mae": scores.mae, "train_mape": scores.mape, "train_samples": scores.samples,
+        "trees": model.trees,
+    }
     return model
 
 
 def train_price(
     df: DataFrame, target: str = "price_eur_mwh", *, family: str = "xgboost", validation: float = 0.2,
-    time: str = "time", version: str | None = None, **params,
+    time: str = "time", version: str | None = None, patience: int | None = PATIENCE, **params,
 ) -> TrainedModel:
-    """Chronological split, fit on the first part, metrics on the last."""
+    """Chronological split, fit on the first part, early stop and metrics on the last."""
     aligned = align_names(df)
     train, held_out = chronological_split(aligned, validation, time)
     names = usable_features(train, price_features_of(aligned, target))
-    model = TrainedModel(fit(train, names, target, family, **params), names, target, family, version or _version(), {})
+    pipeline = fit(train, names, target, family, held_out, patience, **params)
+    model = TrainedModel(pipeline, names, target, family, version or _version(), {})
     scores = regression_metrics(model.score(held_out), target, "prediction").first()
     model.metrics = {
-        "val_samples": scores.samples, "val_mae": scores.mae, "val_rmse": scores.rmse,
-        "val_r2": scores.r2, "val_mape": scores.mape,
+        "train_samples": train.count(), "val_samples": scores.samples, "val_mae": scores.mae, "val_rmse": scores.rmse,
+        "val_r2": scores.r2, "val_mape": scores.mape, "trees": model.trees,
     }
     return model
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, time, timedelta
+
 from pyspark.sql import DataFrame, functions as F
 
 from seriesmill.functions.timecols import moment, shift_time
@@ -10,6 +12,7 @@ from seriesmill.operators.freshness import freshness, row_counts
 from seriesmill.operators.latest import latest_run_rows, status
 from seriesmill.plans.datasets import joined_training_data
 from seriesmill.functions.states import average, stddev, variance
+from seriesmill.sources.scans import time_range
 
 
 def zero_if_null(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -42,6 +45,20 @@ def daily_accuracy(daily: DataFrame, as_of: str, days: int = 30, model_type: str
     return zero_if_null(rows, measures).orderBy(F.desc("day"), "model_type")
 
 
+def recent_daily_accuracy(
+    predictions: DataFrame, actuals: DataFrame, as_of: str, days: int = 30, model_type: str | None = None
+) -> DataFrame:
+    """`daily_accuracy` from the predictions and actuals of the period alone: of the whole days after
+    as_of - days, no other day being read."""
+    since = datetime.fromisoformat(as_of) - timedelta(days=days)
+    first = (datetime.combine(since.date(), time.min) + timedelta(days=1)).isoformat(sep=" ")
+    rows = time_range(predictions, "timestamp", first, as_of)
+    if model_type is not None:
+        rows = rows.where(F.col("model_type") == model_type)
+    hourly = ev.accuracy_hourly(rows, time_range(actuals, "time", first, as_of), as_of)
+    return daily_accuracy(ev.accuracy_daily(hourly), as_of, days, model_type)
+
+
 def compare_models(predictions: DataFrame, actuals: DataFrame, as_of: str) -> DataFrame:
     """Best model first."""
     return ev.model_comparison(predictions, actuals, as_of).orderBy("mae_mw", "model_type")
@@ -128,6 +145,18 @@ def hourly_performance(hourly: DataFrame, as_of: str, hours_back: int = 168) ->
     return hourly.where(F.col("hour").between(shift_time(now, -hours_back), now)).orderBy(F.desc("hour"))
 
 
+def recent_hourly_performance(
+    predictions: DataFrame, forecasts: DataFrame, prices: DataFrame, as_of: str, hours_back: int = 168, **which: str
+) -> DataFrame:
+    """`hourly_performance` from the rows of the period alone."""
+    since = datetime.fromisoformat(as_of) - timedelta(hours=hours_back)
+    first = since.replace(minute=0, second=0, microsecond=0)
+    # An hour that began before the period is not part of it.
+    first += timedelta(hours=1) if first < since else timedelta()
+    rows = ev.price_comparison(predictions, forecasts, prices, as_of, since=first.isoformat(sep=" "), **which)
+    return hourly_performance(ev.performance_hourly(rows), as_of, hours_back)
+
+
 def model_predictions(predictions: DataFrame, model_type: str, limit: int = 24) -> DataFrame:
     return latest_forecast(predictions, limit, model_type)
 

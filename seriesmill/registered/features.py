@@ -186,6 +186,11 @@ for key, names in SUPPLY_NAMES.items():
 
 # --- lags and rolling windows ---------------------------------------------------------------
 
+# Fixed values of the SQL texts, written out here on their own.
+SQL_TARGET_LAGS = (1, 3, 6, 12, 24, 48, 168)
+SQL_PRICE_LAGS = (1, 2, 3, 24, 48, 168)
+SQL_WINDOWS = (6, 12, 24, 168)
+
 
 def lag_sql(source: str, prefix: str, lags, window: str) -> str:
     return ", ".join(f"lag({source}, {n}) OVER ({window}) AS {prefix}_lag_{n}h" for n in lags)
@@ -203,7 +208,7 @@ def rolling_sql(source: str, prefix: str, windows, window: str, full: bool) -> s
     return ", ".join(out)
 
 
-def rolling_names(prefix: str, windows=history.WINDOWS, kinds=("mean", "std", "min", "max")) -> list[str]:
+def rolling_names(prefix: str, windows=SQL_WINDOWS, kinds=("mean", "std", "min", "max")) -> list[str]:
     return [f"{prefix}_rolling_{k}_{n}h" for n in windows for k in kinds]
 
 
@@ -219,12 +224,12 @@ def _lags(t, keys, **options):
     )
 
 
-@query("w1_lags_keyed", f"SELECT time, user_id, value, {lag_sql('value', 'value', history.TARGET_LAGS, KEYED)} FROM points")
+@query("w1_lags_keyed", f"SELECT time, user_id, value, {lag_sql('value', 'value', SQL_TARGET_LAGS, KEYED)} FROM points")
 def _(t):
     return _lags(t, ["user_id"])
 
 
-@query("w1_lags_split", f"SELECT time, user_id, value, {lag_sql('value', 'value', history.TARGET_LAGS, GLOBAL)} FROM points")
+@query("w1_lags_split", f"SELECT time, user_id, value, {lag_sql('value', 'value', SQL_TARGET_LAGS, GLOBAL)} FROM points")
 def _(t):
     return _lags(t, [], max_rows=SPLIT_ROWS)
 
@@ -240,7 +245,7 @@ def _rolling(t, keys, full, **options):
 
 @query(
     "w2_rolling_keyed",
-    f"SELECT time, user_id, value, {rolling_sql('value', 'value', history.WINDOWS, KEYED, False)} FROM points",
+    f"SELECT time, user_id, value, {rolling_sql('value', 'value', SQL_WINDOWS, KEYED, False)} FROM points",
     rounded=" ".join(W2),
 )
 def _(t):
@@ -249,14 +254,14 @@ def _(t):
 
 @query(
     "w2_rolling_split",
-    f"SELECT time, user_id, value, {rolling_sql('value', 'value', history.WINDOWS, GLOBAL, False)} FROM points",
+    f"SELECT time, user_id, value, {rolling_sql('value', 'value', SQL_WINDOWS, GLOBAL, False)} FROM points",
     rounded=" ".join(W2),
 )
 def _(t):
     return _rolling(t, [], False, max_rows=SPLIT_ROWS)
 
 
-@query("w3_price_lags", f"SELECT time, area, price_eur_mwh, {lag_sql('price_eur_mwh', 'price', history.PRICE_LAGS, 'PARTITION BY area ORDER BY time')} FROM prices")
+@query("w3_price_lags", f"SELECT time, area, price_eur_mwh, {lag_sql('price_eur_mwh', 'price', SQL_PRICE_LAGS, 'PARTITION BY area ORDER BY time')} FROM prices")
 def _(t):
     rows = t.prices.select("time", "area", "price_eur_mwh")
     return history.with_frames(
@@ -266,7 +271,7 @@ def _(t):
 
 @query(
     "w4_price_rolling",
-    f"SELECT time, user_id, value, {rolling_sql('value', 'value', history.WINDOWS, KEYED, True)} FROM points",
+    f"SELECT time, user_id, value, {rolling_sql('value', 'value', SQL_WINDOWS, KEYED, True)} FROM points",
     rounded=" ".join(W2),
 )
 def _(t):
@@ -275,18 +280,18 @@ def _(t):
 
 @query(
     "w4_price_rolling_split",
-    f"SELECT time, user_id, value, {rolling_sql('value', 'value', history.WINDOWS, GLOBAL, True)} FROM points",
+    f"SELECT time, user_id, value, {rolling_sql('value', 'value', SQL_WINDOWS, GLOBAL, True)} FROM points",
     rounded=" ".join(W2),
 )
 def _(t):
     return _rolling(t, [], True, max_rows=SPLIT_ROWS)
 
 
-PRICE_FRAMES_SQL = lag_sql("price_eur_mwh", "price", history.PRICE_LAGS, GLOBAL) + ", " + rolling_sql(
-    "price_eur_mwh", "price", history.WINDOWS, GLOBAL, True
+PRICE_FRAMES_SQL = lag_sql("price_eur_mwh", "price", SQL_PRICE_LAGS, GLOBAL) + ", " + rolling_sql(
+    "price_eur_mwh", "price", SQL_WINDOWS, GLOBAL, True
 )
 DIFFS_SQL = "price_lag_1h - price_lag_2h AS price_diff_1h, price_lag_24h - price_lag_48h AS price_diff_24h"
-PRICE_DOUBLES = [f"price_lag_{n}h" for n in history.PRICE_LAGS] + rolling_names("price") + ["price_diff_1h", "price_diff_24h"]
+PRICE_DOUBLES = [f"price_lag_{n}h" for n in SQL_PRICE_LAGS] + rolling_names("price") + ["price_diff_1h", "price_diff_24h"]
 
 
 @query(
@@ -299,6 +304,18 @@ def _(t):
     return history.add_price_history(rows).select("time", "price_diff_1h", "price_diff_24h")
 
 
+@query(
+    "w5_price_differences_keyed",
+    f"SELECT time, area, price_type, {DIFFS_SQL} FROM (SELECT time, area, price_type, "
+    + PRICE_FRAMES_SQL.replace("ORDER BY time", "PARTITION BY area, price_type ORDER BY time") + " FROM outcomes)",
+    rounded="price_diff_1h price_diff_24h",
+)
+def _(t):
+    """Every area and price type is a series of its own."""
+    rows = t.outcomes.select("time", "area", "price_type", "price_eur_mwh")
+    return history.add_price_history(rows, keys=["area", "price_type"]).select("time", "area", "price_type", "price_diff_1h", "price_diff_24h")
+
+
 FUTURE_START, FUTURE_END = "2024-01-20 00:00:00", "2024-01-30 00:00:00"
 W8_SQL = f"""
     WITH h AS (SELECT time, max(price_eur_mwh) AS price_eur_mwh, false AS future FROM prices
@@ -312,16 +329,20 @@ W8_SQL = f"""
     w8 AS (SELECT time AS forecast_time, * EXCLUDE (time, price_eur_mwh, future), {DIFFS_SQL} FROM u WHERE future)"""
 
 
+def _stub_hours(t):
+    rows = t.weather_forecasts.where((F.col("station_id") == "s1")
+        & F.col("forecast_time").between(moment(t.weather_forecasts, "forecast_time", FUTURE_START),
+                                         moment(t.weather_forecasts, "forecast_time", FUTURE_END)))
+    return latest_per_key(rows, ["forecast_time", "station_id"], ["generated_at"]).select("forecast_time")
+
+
 @query(
     "w8_price_history_to_future",
     f"{W8_SQL}\n    MAIN SELECT * FROM w8",
     rounded=" ".join(PRICE_DOUBLES),
 )
 def _(t):
-    rows = t.weather_forecasts.where((F.col("station_id") == "s1")
-        & F.col("forecast_time").between(moment(t.weather_forecasts, "forecast_time", FUTURE_START),
-                                         moment(t.weather_forecasts, "forecast_time", FUTURE_END)))
-    stubs = latest_per_key(rows, ["forecast_time", "station_id"], ["generated_at"]).select("forecast_time")
+    stubs = _stub_hours(t)
     first = moment(t.prices, "time", FUTURE_START)
     known = t.prices.where((F.col("area") == "FI") & (F.col("time") < first) & (F.col("time") >= shift_time(first, -720)))
     return history.add_price_history_to_future(stubs, known, max_rows=SPLIT_ROWS)
@@ -423,11 +444,59 @@ def _prediction(t):
     )
 
 
-for key in ("f14_prediction_features", "f17_prediction_dataset"):
-    query(key, F17_SQL, rounded=F17_DOUBLES)(_prediction)
+query("f17_prediction_dataset", F17_SQL, rounded=F17_DOUBLES)(_prediction)
+
+F14_SQL = f"""
+    WITH h AS (SELECT time, max(price_eur_mwh) AS price_eur_mwh, false AS future FROM prices
+               WHERE area = 'SE' AND time < TIMESTAMP '{FUTURE_START}' GROUP BY time),
+    fut AS (SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS forecast_time, avg(value) - 40 AS temperature, avg(value) / 10 AS wind_speed,
+                   CAST(max(event_id % 9) AS DOUBLE) AS cloud_cover, CAST(980 + min(event_id % 60) AS DOUBLE) AS pressure,
+                   CASE WHEN max(event_id) % 3 = 0 THEN avg(value) / 9 END AS precipitation_mm, avg(value) * 90 AS consumption_forecast_mw,
+                   avg(value) * 80 AS production_forecast_mw, avg(value) * 20 AS wind_forecast_mw
+            FROM events WHERE ts >= TIMESTAMP '{FUTURE_START}' GROUP BY 1),
+    u AS (SELECT *, {PRICE_FRAMES_SQL.replace('ORDER BY time', 'ORDER BY time, future')} FROM (
+              SELECT time, price_eur_mwh, future FROM h UNION ALL SELECT forecast_time, NULL, true FROM fut)),
+    w8 AS (SELECT time AS forecast_time, * EXCLUDE (time, price_eur_mwh, future), {DIFFS_SQL} FROM u WHERE future),
+    {HOLIDAYS_SQL.strip()}
+    MAIN SELECT fut.*, w8.* EXCLUDE (forecast_time), {CLOCK_SQL.format('fut.forecast_time')}, {CYCLIC_SQL.format('fut.forecast_time')},
+        {holiday_flags('fut.forecast_time')}, {WEATHER_SQL.format(**FORECAST)},
+        {supply_sql('consumption_forecast_mw', 'production_forecast_mw', 'wind_forecast_mw')}
+    FROM fut LEFT JOIN w8 USING (forecast_time)"""
+
+
+@query("f14_prediction_features", F14_SQL, rounded=" ".join(
+    ["temperature wind_speed precipitation_mm consumption_forecast_mw production_forecast_mw wind_forecast_mw", *PRICE_DOUBLES, CYCLIC, WEATHER_DOUBLES, *SUPPLY_DOUBLES[:3]]))
+def _(t):
+    """Features of given forecast rows, the price history being all prices of another area."""
+    first = F.lit(FUTURE_START).cast("timestamp_ntz")
+    mean = F.avg("value")
+    rows = t.events.where(F.col("ts") >= first).groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("forecast_time")).agg(
+        (mean - 40).alias("temperature"), (mean / 10).alias("wind_speed"), F.max(F.col("event_id") % 9).cast("double").alias("cloud_cover"),
+        (980 + F.min(F.col("event_id") % 60)).cast("double").alias("pressure"),
+        F.when(F.max("event_id") % 3 == 0, mean / 9).alias("precipitation_mm"),
+        (mean * 90).alias("consumption_forecast_mw"), (mean * 80).alias("production_forecast_mw"), (mean * 20).alias("wind_forecast_mw"))
+    known = t.prices.where((F.col("area") == "SE") & (F.col("time") < first))
+    return datasets.prediction_features(rows, known)
+
+
+@query(
+    "j6_history_on_forecasts",
+    f"""{W8_SQL}
+    MAIN SELECT w.forecast_time, w.station_id, w.temperature_c, w8.* EXCLUDE (forecast_time, price_lag_168h)
+    FROM weather_forecasts w LEFT JOIN w8 USING (forecast_time)""",
+    rounded=" ".join(["temperature_c", *[c for c in PRICE_DOUBLES if c != "price_lag_168h"]]),
+)
+def _(t):
+    """Features of the hours of one station's forecasts, joined back to the forecast rows of all."""
+    hours = _stub_hours(t)
+    first = moment(t.prices, "time", FUTURE_START)
+    known = t.prices.where((F.col("area") == "FI") & (F.col("time") < first) & (F.col("time") >= shift_time(first, -720)))
+    features = history.add_price_history_to_future(hours, known).drop("price_lag_168h")
+    rows = t.weather_forecasts.select("forecast_time", "station_id", "temperature_c")
+    return history.join_history(rows, features, "forecast_time")
 
 
-TARGET_FRAMES = lag_sql(C, C, history.TARGET_LAGS, "ORDER BY timestamp") + ", " + rolling_sql(C, C, history.WINDOWS, "ORDER BY timestamp", False)
+TARGET_FRAMES = lag_sql(C, C, SQL_TARGET_LAGS, "ORDER BY timestamp") + ", " + rolling_sql(C, C, SQL_WINDOWS, "ORDER BY timestamp", False)
 _JOINED = POWER_MEASURES + ["temperature", "wind_speed", "wind_direction", "cloud_cover", "humidity", "pressure", "precipitation_mm"]
 F18_SQL = f"""
     WITH {HOLIDAYS_SQL}, q14 AS ({Q14_SQL}),
@@ -437,7 +506,7 @@ F18_SQL = f"""
            {CHILL.format(t='temperature', w='wind_speed')} AS wind_chill
     FROM fr WHERE consumption_mw IS NOT NULL AND temperature IS NOT NULL AND humidity IS NOT NULL AND wind_speed IS NOT NULL AND pressure IS NOT NULL"""
 F18_DOUBLES = " ".join([
-    *_JOINED, *[f"{C}_lag_{n}h" for n in history.TARGET_LAGS], *rolling_names(C),
+    *_JOINED, *[f"{C}_lag_{n}h" for n in SQL_TARGET_LAGS], *rolling_names(C),
     "heating_degree_days cooling_degree_days temperature_squared wind_chill",
 ])
 
@@ -451,7 +520,7 @@ def _(t):
     "f15_consumption_features",
     f"""WITH {HOLIDAYS_SQL}, h AS (SELECT time AS timestamp, consumption_mw FROM hourly), fr AS (SELECT *, {TARGET_FRAMES} FROM h)
     MAIN SELECT *, {F1_SQL.format('timestamp')}, {holiday_flags('timestamp')} FROM fr WHERE consumption_mw IS NOT NULL""",
-    rounded=" ".join([C, *[f"{C}_lag_{n}h" for n in history.TARGET_LAGS], *rolling_names(C)]),
+    rounded=" ".join([C, *[f"{C}_lag_{n}h" for n in SQL_TARGET_LAGS], *rolling_names(C)]),
 )
 def _(t):
     rows = t.hourly.select(F.col("time").alias("timestamp"), C)

@@ -162,6 +162,30 @@ def _(t):
     return naive(rows, "start_time", "end_time")
 
 
+def damaged(rows):
+    """Three in seven payloads are missing, cut off, or without content."""
+    p, k = F.col("payload"), F.col("event_id") % 7
+    return rows.withColumn("payload", F.when(k == 1, None).when(k == 2, F.substring(p, F.lit(1), F.length(p) - 5)).when(k == 3, "{}").otherwise(p))
+
+
+REJECTS = """
+    SELECT coalesce(reason, 'accepted') AS reason, count(*) AS payloads, CAST(sum(event_id) AS BIGINT) AS ids
+    FROM (SELECT event_id, CASE event_id % 7 WHEN 1 THEN 'missing' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'empty' {} END AS reason FROM {})
+    GROUP BY 1"""
+
+
+def _accounted(accepted, rejected):
+    """Payloads and ids by reason; the accepted ones come from the decoded rows."""
+    return accepted.select("event_id", F.lit("accepted").alias("reason")).unionByName(rejected.select("event_id", "reason")).groupBy(
+        "reason").agg(F.count(F.lit(1)).alias("payloads"), F.sum("event_id").alias("ids"))
+
+
+@query("s8_rejected_points", REJECTS.format("", "points"))
+def _(t):
+    rows = damaged(point_payloads(t))
+    return _accounted(payloads.decode_points(rows, "payload"), payloads.rejected_points(rows, "payload"))
+
+
 @query("s12_points_to_frame", "SELECT event_id, time AS timestamp, value AS wind_mw FROM points")
 def _(t):
     rows = payloads.decode_points(point_payloads(t), "payload")
@@ -228,6 +252,32 @@ def _(t):
     return naive(rows, "timestamp")
 
 
+def damaged_weather(t, forecast):
+    """Damaged as above; one in seven has no reading of its station."""
+    other = F.lit('{"Nowhere": {}}') if forecast else F.concat(F.lit('{"'), F.col("station_id"), F.lit('": {}}'))
+    rows = damaged(weather_payloads(t, forecast))
+    return rows.withColumn("payload", F.when(F.col("event_id") % 7 == 4, other).otherwise(F.col("payload")))
+
+
+WEATHER_REJECTS = """
+    SELECT event_id, station_id, CASE event_id % 7 WHEN 1 THEN 'missing' WHEN 2 THEN 'unreadable' WHEN 3 THEN 'empty'
+                                     ELSE 'no reading of the station' END AS reason
+    FROM weather WHERE event_id % 7 BETWEEN 1 AND 4"""
+
+for key, forecast in (("s9_rejected_observations", False), ("s10_rejected_forecasts", True)):
+    @query(key, WEATHER_REJECTS)
+    def _(t, forecast=forecast):
+        found = payloads.rejected_weather(damaged_weather(t, forecast), "payload", "station_id", "station_name", forecast=forecast)
+        return found.select("event_id", "station_id", "reason")
+
+for key, forecast in (("s9_decode_damaged", False), ("s10_decode_damaged", True)):
+    @query(key, DECODED.replace("FROM weather)", "FROM weather WHERE event_id % 7 NOT BETWEEN 1 AND 4)"))
+    def _(t, forecast=forecast):
+        rows = payloads.decode_weather(
+            damaged_weather(t, forecast), "payload", "station_id", "station_name", forecast=forecast, order="event_id")
+        return naive(rows, "timestamp")
+
+
 @query(
     "s11_station_coordinates",
     """SELECT event_id, 60 + value / 100 AS latitude, 24 + value / 50 AS longitude,

@@ -71,15 +71,22 @@ def _(t):
     return joins.forward_fill(rows, POWER_MEASURES, time="time", keys=["user_id"])
 
 
-BACKWARD_SQL = """
+# All weather rows seven minutes later: no row of the left side meets its own event.
+LATER_WEATHER = "(SELECT * REPLACE (time + INTERVAL 7 MINUTE AS time) FROM weather)"
+
+
+def later_weather(t):
+    return t.weather.withColumn("time", F.col("time") + F.expr("INTERVAL 7 MINUTES"))
+
+
+BACKWARD_SQL = f"""
     SELECT p.time, p.event_id, p.consumption_mw, w.time AS weather_time, w.temperature_c, w.wind_speed_ms
-    FROM power p ASOF LEFT JOIN (SELECT * FROM weather WHERE data_type = 'forecast') w ON p.time >= w.time"""
+    FROM power p ASOF LEFT JOIN {LATER_WEATHER} w ON p.time >= w.time"""
 
 
 def _backward(t, **options):
     return asof_backward(
-        t.power.select("time", "event_id", "consumption_mw"),
-        t.weather.where(F.col("data_type") == "forecast"),
+        t.power.select("time", "event_id", "consumption_mw"), later_weather(t),
         columns=["temperature_c", "wind_speed_ms"], matched_time="weather_time", **options,
     )
 
@@ -96,24 +103,19 @@ def _(t):
 
 @query(
     "j3_asof_backward_keyed",
-    """
+    f"""
     SELECT p.time, p.event_id, p.station_id, p.temperature_c AS observed_c, w.time AS weather_time, w.temperature_c
-    FROM (SELECT * FROM weather WHERE data_type = 'observation') p
-    ASOF LEFT JOIN (SELECT * FROM weather WHERE data_type = 'forecast') w
-      ON p.station_id = w.station_id AND p.time >= w.time""",
+    FROM weather p ASOF LEFT JOIN {LATER_WEATHER} w ON p.station_id = w.station_id AND p.time >= w.time""",
 )
 def _(t):
-    observed = t.weather.where(F.col("data_type") == "observation").select(
-        "time", "event_id", "station_id", F.col("temperature_c").alias("observed_c")
-    )
+    observed = t.weather.select("time", "event_id", "station_id", F.col("temperature_c").alias("observed_c"))
     return asof_backward(
-        observed, t.weather.where(F.col("data_type") == "forecast"),
-        keys=["station_id"], columns=["temperature_c"], matched_time="weather_time",
+        observed, later_weather(t), keys=["station_id"], columns=["temperature_c"], matched_time="weather_time",
     )
 
 
-NEAREST_SQL = """
-    WITH w AS (SELECT time AS wt, temperature_c, pressure_hpa FROM weather WHERE data_type = 'forecast'),
+NEAREST_SQL = f"""
+    WITH w AS (SELECT time AS wt, temperature_c, pressure_hpa FROM {LATER_WEATHER}),
     b AS (SELECT p.time, p.event_id, w.wt, w.temperature_c, w.pressure_hpa FROM power p ASOF LEFT JOIN w ON p.time >= w.wt),
     f AS (SELECT p.event_id, w.wt, w.temperature_c, w.pressure_hpa FROM power p ASOF LEFT JOIN w ON p.time <= w.wt)
     MAIN SELECT time, event_id, weather_time, temperature_c, pressure_hpa FROM (
@@ -128,8 +130,7 @@ NEAREST_SQL = """
 
 def _nearest(t, **options):
     return asof_nearest(
-        t.power.select("time", "event_id"),
-        t.weather.where(F.col("data_type") == "forecast"),
+        t.power.select("time", "event_id"), later_weather(t),
         columns=["temperature_c", "pressure_hpa"], required="temperature_c", matched_time="weather_time",
         **options,
     )
@@ -343,9 +344,15 @@ def _(t):
     return _keep_last(t)
 
 
-@query("u4_distinct_keep_last", P17_SQL)
+@query(
+    "u4_distinct_keep_last",
+    """SELECT time, station_id, data_type, temperature_c FROM (SELECT *, CAST(date_trunc('hour', time) AS TIMESTAMP) AS time_ FROM weather)
+       QUALIFY row_number() OVER (PARTITION BY time_, station_id, data_type ORDER BY event_id DESC) = 1""",
+)
 def _(t):
-    return _keep_last(t)
+    """The last row of each hour, station and kind, by arrival."""
+    rows = t.weather.select("time", "station_id", "data_type", "temperature_c", "event_id").withColumn("hour", F.date_trunc("hour", "time"))
+    return latest.latest_per_key(rows, ["hour", "station_id", "data_type"], ["event_id"]).drop("hour", "event_id")
 
 
 @query(

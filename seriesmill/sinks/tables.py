@@ -64,7 +64,7 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _write(df: DataFrame, path: str, mode: str, order: Sequence[str]) -> None:
+def write_days(df: DataFrame, path: str, mode: str, order: Sequence[str]) -> None:
     """One folder per day; rows of a file in key order, which helps Parquet's min/max pruning.
 
     Rebalancing gathers a day's rows in few tasks but splits a day that is too large for one.
@@ -94,7 +94,7 @@ def _accepted(batch: DataFrame, table: str) -> DataFrame:
 
 
 def append(df: DataFrame, path: str, table: str) -> None:
-    _write(_accepted(df, table), path, "append", KEYS[table])
+    write_days(_accepted(df, table), path, "append", KEYS[table])
 
 
 def _touched(target: DataFrame, dated_batch: DataFrame) -> DataFrame:
@@ -116,7 +116,7 @@ def upsert(batch: DataFrame, path: str, table: str, replaced: Sequence[str], ord
     newest = latest_per_key(dated, keys, ranked).drop(*extra).select(*stored_names)
     old = read_table(batch.sparkSession, path)
     if old is None:
-        _write(newest, path, "append", keys)
+        write_days(newest, path, "append", keys)
         return
     kept = [c for c in stored_names if c not in keys and c not in replaced]
     both = _touched(old.select(*stored_names), dated).withColumn("__new", F.lit(0)).unionByName(
@@ -127,7 +127,7 @@ def upsert(batch: DataFrame, path: str, table: str, replaced: Sequence[str], ord
         F.max_by(F.struct(*replaced), F.col("__new")).alias("__r"),
         F.min_by(F.struct(*kept), F.col("__new")).alias("__k"),
     ).select(*keys, "__r.*", "__k.*").select(*stored_names)
-    _write(merged, path, "overwrite", keys)
+    write_days(merged, path, "overwrite", keys)
 
 
 def insert_if_absent(batch: DataFrame, path: str, table: str, order: Sequence[str] = ()) -> tuple[int, int]:
@@ -141,7 +141,7 @@ def insert_if_absent(batch: DataFrame, path: str, table: str, order: Sequence[st
     old = read_table(batch.sparkSession, path)
     new = first if old is None else first.join(_touched(old, dated).select(*keys), keys, "left_anti")
     new = cut(new)
-    _write(new, path, "append", keys)
+    write_days(new, path, "append", keys)
     return dated.count(), new.count()
 
 
@@ -229,14 +229,7 @@ def snapshot(df: DataFrame, root: str, day: str) -> None:
     )
 
 
-def within_retention(df: DataFrame, table: str, as_of: str) -> DataFrame:
-    """Rows that are kept: whole days, so that storage folders are dropped or kept as a whole."""
-    time = PARTITION_TIME[table]
-    kept = F.col(DATE) if DATE in df.columns else F.to_date(time)
-    return df.where(kept >= F.date_sub(F.to_date(F.lit(as_of)), RETENTION_DAYS[table]))
-
-
-def _drop_folders(spark: SparkSession, path: str, column: str, expired: Callable[[str], bool]) -> None:
+def drop_folders(spark: SparkSession, path: str, column: str, expired: Callable[[str], bool]) -> None:
     """Removes `<column>=<value>` folders of a stored table whose value is expired."""
     root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -251,7 +244,7 @@ def apply_retention(spark: SparkSession, path: str, table: str, as_of: str) -> N
     if read_table(spark, path) is None:
         return
     oldest = date.fromisoformat(as_of[:10]) - timedelta(days=RETENTION_DAYS[table])
-    _drop_folders(spark, path, DATE, lambda day: day < oldest.isoformat())
+    drop_folders(spark, path, DATE, lambda day: day < oldest.isoformat())
 
 
 def refresh(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) -> DataFrame:
@@ -259,7 +252,7 @@ def refresh(spark: SparkSession, path: str, compute: Callable[[], DataFrame]) ->
     becomes visible when it is complete; readers of the version before are not disturbed."""
     last = max(map(int, folder_values(spark, path, "version")), default=0)
     compute().withColumn("version", F.lit(last + 1)).write.mode("append").partitionBy("version").parquet(path)
-    _drop_folders(spark, path, "version", lambda v: int(v) < last)
+    drop_folders(spark, path, "version", lambda v: int(v) < last)
     return current(spark, path)
 
 

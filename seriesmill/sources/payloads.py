@@ -1,4 +1,9 @@
-"""Decoding of JSON payload columns into rows."""
+"""Decoding of JSON payload columns into rows.
+
+A payload is parsed once.  Its body comes out of a generator, which the optimizer does not inline into
+the filters and columns above it.  What cannot be decoded is told with its reason by `rejected_*`:
+every payload is either decoded or rejected.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 POINTS_JSON = (
     "struct<data: array<struct<startTime: string, endTime: string, start_time: string, "
-    "end_time: string, value: double>>>"
+    "end_time: string, value: double>>, __raw: string>"
 )
 WEATHER_JSON = "map<string, map<string, map<string, struct<value: double, units: string>>>>"
 
@@ -44,6 +49,29 @@ def format_time(time: Column) -> Column:
     return F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
+# Reasons of a rejected payload.
+MISSING, UNREADABLE, EMPTY, OTHER_STATION = "missing", "unreadable", "empty", "no reading of the station"
+
+
+def _parsed_once(df: DataFrame, payload: str, kind: str, options: dict | None = None) -> DataFrame:
+    """Adds the parsed payload as `__body`."""
+    return df.withColumn("__body", F.explode(F.array(F.from_json(payload, kind, options or {}))))
+
+
+def _parsed_points(df: DataFrame, payload: str) -> DataFrame:
+    """Adds `__body` and `__reason` (NULL for a payload with points)."""
+    parsed = _parsed_once(df, payload, POINTS_JSON, {"columnNameOfCorruptRecord": "__raw"})
+    return parsed.withColumn(
+        "__reason",
+        F.when(F.col(payload).isNull(), MISSING)
+        .when(F.col("__body").isNull() | F.col("__body.__raw").isNotNull(), UNREADABLE)
+        .when(F.coalesce(F.size("__body.data"), F.lit(0)) < 1, EMPTY))
+
+
+def _rejected(parsed: DataFrame, df: DataFrame) -> DataFrame:
+    return parsed.where(F.col("__reason").isNotNull()).select(*df.columns, F.col("__reason").alias("reason"))
+
+
 def decode_points(df: DataFrame, payload: str) -> DataFrame:
     """One row per point of an electricity payload; other columns are kept.
 
@@ -51,7 +79,8 @@ def decode_points(df: DataFrame, payload: str) -> DataFrame:
     """
     rest = [c for c in df.columns if c != payload]
     return (
-        df.withColumn("__p", F.explode(F.from_json(payload, POINTS_JSON)["data"]))
+        _parsed_points(df, payload).where(F.col("__reason").isNull())
+        .withColumn("__p", F.explode("__body.data"))
         .select(
             *rest,
             parse_time(F.coalesce("__p.start_time", "__p.startTime")).alias("start_time"),
@@ -61,6 +90,11 @@ def decode_points(df: DataFrame, payload: str) -> DataFrame:
     )
 
 
+def rejected_points(df: DataFrame, payload: str) -> DataFrame:
+    """The electricity payloads that give no point, whole and with the reason."""
+    return _rejected(_parsed_points(df, payload), df)
+
+
 def points_to_frame(points: DataFrame, column: str = "consumption_mw", keys: tuple[str, ...] = ()) -> DataFrame:
     return points.select(*keys, F.col("start_time").cast("timestamp").alias("timestamp"), F.col("value").alias(column))
 
@@ -74,18 +108,9 @@ def weather_to_frame(rows: DataFrame) -> DataFrame:
     return rows.withColumnsRenamed({k: v for k, v in units.items() if k in rows.columns})
 
 
-def decode_weather(
-    df: DataFrame, payload: str, station: str, station_name: str, *, forecast: bool = False,
-    order: str | None = None,
-) -> DataFrame:
-    """Rows (station, timestamp, parameters...) from a nested weather payload.
-
-    Two shapes occur: station -> time -> parameter, and time -> station -> parameter.  An
-    observation payload has the first shape when it holds the station's key, a forecast
-    payload when none of its outer keys is a time.  In the second shape the station is chosen
-    by exact name, then the only one, then (observations) the name in any case, then the first.
-    Of several rows of one station and time the last payload (by `order`) wins.
-    """
+def _parsed_weather(df: DataFrame, payload: str, station: str, station_name: str, forecast: bool) -> DataFrame:
+    """Adds `__by_station` (its shape), `__readings` (time -> parameter -> reading of the station) and
+    `__reason` (NULL for a payload with readings)."""
     body, sid, name = F.col("__body"), F.col(station), F.col(station_name)
     first = F.lit(1)
 
@@ -98,11 +123,9 @@ def decode_weather(
     if forecast:
         by_station_shape = ~has_times(body)
         by_station = F.try_element_at(F.filter(F.map_values(body), has_times), first)
-        names_by_time, names_by_station = FORECAST_BY_TIME_PARAMETERS, FORECAST_BY_STATION_PARAMETERS
     else:
         by_station_shape = F.map_contains_key(body, sid)
         by_station = F.try_element_at(body, sid)
-        names_by_time = names_by_station = OBSERVATION_PARAMETERS
 
     def chosen(stations: Column) -> Column:
         names = F.map_keys(stations)
@@ -116,16 +139,33 @@ def decode_weather(
         return F.try_element_at(stations, key)
 
     by_time = F.transform_values(body, lambda _, stations: chosen(stations))
+    shape = F.coalesce(by_station_shape, F.lit(False))
+    found = F.struct(shape.alias("by_station"), F.when(shape, by_station).otherwise(by_time).alias("readings"))
+    # The readings, too, are worked out once, behind a generator.
+    parsed = _parsed_once(df, payload, WEATHER_JSON).withColumn("__found", F.explode(F.array(found)))
+    return parsed.select(
+        "*",
+        F.when(F.col(payload).isNull(), MISSING).when(body.isNull(), UNREADABLE).when(F.size(body) < 1, EMPTY)
+        .when(F.coalesce(F.size("__found.readings"), F.lit(0)) < 1, OTHER_STATION).alias("__reason"))
+
+
+def decode_weather(
+    df: DataFrame, payload: str, station: str, station_name: str, *, forecast: bool = False,
+    order: str | None = None,
+) -> DataFrame:
+    """Rows (station, timestamp, parameters...) from a nested weather payload.
+
+    Two shapes occur: station -> time -> parameter, and time -> station -> parameter.  An
+    observation payload has the first shape when it holds the station's key, a forecast
+    payload when none of its outer keys is a time.  In the second shape the station is chosen
+    by exact name, then the only one, then (observations) the name in any case, then the first.
+    Of several rows of one station and time the last payload (by `order`) wins.
+    """
+    names_by_time = FORECAST_BY_TIME_PARAMETERS if forecast else OBSERVATION_PARAMETERS
+    names_by_station = FORECAST_BY_STATION_PARAMETERS if forecast else OBSERVATION_PARAMETERS
     keep = [station, *([order] if order else [])]
-    rows = (
-        df.withColumn("__body", F.from_json(payload, WEATHER_JSON))
-        .where(F.size(body) > 0)
-        .withColumn("__shape", by_station_shape)
-        .select(
-            *keep, "__shape",
-            F.explode(F.when(F.col("__shape"), by_station).otherwise(by_time)).alias("__at", "__values"),
-        )
-    )
+    rows = _parsed_weather(df, payload, station, station_name, forecast).where(F.col("__reason").isNull()).select(
+        *keep, F.col("__found.by_station").alias("__shape"), F.explode("__found.readings").alias("__at", "__values"))
 
     def reading(parameter):
         return F.try_element_at("__values", F.lit(parameter))["value"]
@@ -139,6 +179,13 @@ def decode_weather(
     return decoded.groupBy(station, "timestamp").agg(newest.alias("__v")).select(station, "timestamp", "__v.*")
 
 
+def rejected_weather(
+    df: DataFrame, payload: str, station: str, station_name: str, *, forecast: bool = False
+) -> DataFrame:
+    """The weather payloads without a reading of their station, whole and with the reason."""
+    return _rejected(_parsed_weather(df, payload, station, station_name, forecast), df)
+
+
 def station_coordinates(metadata: DataFrame, station: str, body: str) -> DataFrame:
     """Coordinates and name of a station from one JSON metadata map per row.
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from seriesmill.functions.timecols import moment, shift_time
+from seriesmill.functions.timecols import moment
 from seriesmill.operators.latest import latest_per_key
 from seriesmill.schemas import FEATURE_NAMES, POWER_MEASURES, WEATHER_MEASURES
 from seriesmill.session import folder_values
@@ -79,8 +80,8 @@ def power_forecasts(
 
 
 def last_hours(df: DataFrame, time: str, hours: int, as_of: str) -> DataFrame:
-    now = moment(df, time, as_of)
-    return df.where((F.col(time) >= shift_time(now, -hours)) & (F.col(time) <= now))
+    since = datetime.fromisoformat(as_of) - timedelta(hours=hours)
+    return time_range(df, time, since.isoformat(sep=" "), as_of)
 
 
 def newest_snapshot(spark: SparkSession, root: str, column: str = "snapshot_date") -> DataFrame:

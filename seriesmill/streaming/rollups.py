@@ -8,13 +8,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from seriesmill.functions.sketches import BUCKET, COUNT, bucket
 from seriesmill.functions.states import stats_state
 from seriesmill.functions.timecols import moment, shift_time
 from seriesmill.operators.latest import latest_per_key
+from seriesmill.session import cut
+from seriesmill.sinks.tables import DATE, read_table, write_days
 
 # How far back a rollup is refreshed, and the part of the end that is left out.
 POWER_LATENESS, PRICE_LATENESS = "3 days", "7 days"
 END_OFFSET_HOURS = 1
+# Days of a micro-batch that are listed by name; more are joined.
+LISTED_DAYS = 1_000
 
 
 def read_stream(
@@ -57,11 +62,14 @@ def power_hourly_stream(df: DataFrame, lateness: str = POWER_LATENESS) -> DataFr
 
 
 def prices_daily_stream(df: DataFrame, lateness: str = PRICE_LATENESS) -> DataFrame:
+    """The long form of the daily rollup (`resample.prices_daily_counts`): one group per day, area and value
+    bucket.  `resample.prices_daily_state` turns the stored rows into the rollup with its sketch."""
     return (
         event_time(df, "time")
         .withWatermark("time", lateness)
-        .groupBy(F.window("time", "1 day").alias("w"), "area")
+        .groupBy(F.window("time", "1 day").alias("w"), "area", bucket(F.col("price_eur_mwh")).alias(BUCKET))
         .agg(
+            F.count("price_eur_mwh").alias(COUNT),
             stats_state(F.col("price_eur_mwh")).alias("price_stats"),
             F.max("price_eur_mwh").alias("max_price"),
             F.min("price_eur_mwh").alias("min_price"),
@@ -104,20 +112,36 @@ def append_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 VERSION = "batch"
 
 
-def update_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Changed rows of every micro-batch go to their own folder; a repeated batch replaces its
-    folder.  `newest_rows` gives the current table."""
-    def store(batch: DataFrame, batch_id: int) -> None:
-        (
-            batch.withColumn(VERSION, F.lit(batch_id)).write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic").partitionBy(VERSION).parquet(path)
-        )
-
+def merge_batch(batch: DataFrame, batch_id: int, path: str, keys: Sequence[str], time: str) -> None:
+    """Merges the rows of a micro-batch into the rollup stored at `path`, partitioned by the day of `time`.
+
+    Only the days of the batch are read and replaced.  The row of the highest batch number holds, of
+    equal ones the new row, so a batch that is repeated, in full or after half of its days were
+    written, changes nothing.  Rows without a time are not stored.
+    """
+    rows = cut(batch.where(F.col(time).isNotNull()).withColumns({VERSION: F.lit(batch_id).cast("long"), DATE: F.to_date(time)}))
+    days = [r[DATE] for r in rows.select(DATE).distinct().limit(LISTED_DAYS + 1).collect()]
+    if not days:
+        return
+    old = read_table(batch.sparkSession, path)
+    if old is not None:
+        touched = (
+            old.where(F.col(DATE).isin(days)) if len(days) <= LISTED_DAYS
+            else old.join(rows.select(DATE).distinct(), DATE, "left_semi"))
+        both = touched.select(*rows.columns).withColumn("__new", F.lit(0)).unionByName(rows.withColumn("__new", F.lit(1)))
+        rows = latest_per_key(both, [*keys, DATE], [VERSION, "__new"]).drop("__new")
+    write_days(rows, path, "append" if old is None else "overwrite", keys)
+
+
+def update_stream(df: DataFrame, path: str, checkpoint: str, keys: Sequence[str], time: str) -> StreamingQuery:
+    """The changed groups of every micro-batch are merged into the rollup at `path`."""
     return (
-        df.writeStream.outputMode("update").foreachBatch(store)
+        df.writeStream.outputMode("update")
+        .foreachBatch(lambda batch, batch_id: merge_batch(batch, batch_id, path, keys, time))
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
 
 
-def newest_rows(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    return latest_per_key(spark.read.parquet(path), list(keys), [VERSION]).drop(VERSION)
+def rollup(spark: SparkSession, path: str) -> DataFrame:
+    """The current rows of a rollup: one per key."""
+    return spark.read.parquet(path).drop(VERSION, DATE)
