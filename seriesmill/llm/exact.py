@@ -24,7 +24,9 @@ STATE_SETTINGS = {
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     # One bound for all state stores of an executor; beyond it RocksDB works from disk.
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    # Stores of a stream that has ended are closed soon, not after a minute.
+    "spark.sql.streaming.stateStore.maintenanceInterval": "5s",
     # Many small stores: no space is set aside ahead of use.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
