@@ -40,32 +40,34 @@ def _bracketed(rows: DataFrame, keys: list[str], wanted: dict[str, float]) -> Da
     brackets = cut(rows.groupBy(*keys).agg(
         F.count("__v").alias("__n"), F.percentile_approx("__v", around, F.lit(_ACCURACY)).alias("__b")))
 
-    # For each share a value is below the bracket, inside it, or of no interest.  Values below fold into
-    # one row per group and task; equal values inside do too.
+    # For each share a value is below the bracket, inside it or above.  The values on a side fold into one
+    # row per group and task, with the value next to the bracket; equal values inside do too.
     v, b = F.col("__v"), F.col("__b")
-    placed = F.array_compact(F.array(*[
-        F.when(v < b[2 * i], F.struct(F.lit(i).alias("i"), F.lit(-1).alias("side"), F.lit(None).cast("double").alias("v")))
-        .when(v <= b[2 * i + 1], F.struct(F.lit(i).alias("i"), F.lit(0).alias("side"), v.cast("double").alias("v")))
+    placed = F.array(*[
+        F.struct(F.lit(i).alias("i"), F.when(v < b[2 * i], -1).when(v > b[2 * i + 1], 1).otherwise(0).alias("side"))
         for i in range(len(shares))
-    ]))
+    ])
     known = join_null_safe(rows.where(v.isNotNull()), bounded_broadcast(brackets), keys)
-    counted = known.select(*keys, "__n", F.explode(placed).alias("__p")).groupBy(*keys, "__p.i", "__p.side", "__p.v").agg(
-        F.count(F.lit(1)).alias("c"), F.any_value("__n").alias("n"))
+    sided = known.select(*keys, "__n", "__v", F.explode(placed).alias("__p"))
+    counted = sided.groupBy(*keys, "__p.i", "__p.side", F.when(F.col("__p.side") == 0, v).alias("inside")).agg(
+        F.count(F.lit(1)).alias("c"), F.max("__v").alias("most"), F.min("__v").alias("least"), F.any_value("__n").alias("n")
+    ).withColumn("v", F.when(F.col("side") < 0, F.col("most")).otherwise(F.col("least")))
 
     order = Window.partitionBy(*keys, "i").orderBy("side", "v")
     share = F.element_at(F.array(*[F.lit(float(q)) for q in shares]), F.col("i") + 1)
     ranked = counted.withColumn("upto", F.sum("c").over(order)).withColumn("place", (F.col("n") - 1) * share)
 
     def at(rank: Column) -> Column:
-        here = (F.col("side") == 0) & (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
-        return F.max(F.when(here, F.col("v")))
+        first = F.col("upto") - F.col("c")
+        here = (F.col("upto") > rank) & (first <= rank)
+        near = (F.col("side") == 0) | ((F.col("side") < 0) & (rank == F.col("upto") - 1)) | ((F.col("side") > 0) & (rank == first))
+        missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
+        return F.max(F.when(here & near, F.col("v")).when(here, missed))
 
-    ends = ranked.groupBy(*keys, "i").agg(
+    found = ranked.groupBy(*keys, "i").agg(
         at(F.floor("place")).alias("low"), at(F.ceil("place")).alias("high"), F.any_value("place").alias("place"))
     part = F.col("place") - F.floor("place")
-    missed = F.raise_error(F.lit("quantile outside its bracket")).cast("double")
-    found = ends.withColumn("q", F.when(
-        F.col("low").isNull() | F.col("high").isNull(), missed).otherwise(F.col("low") + (F.col("high") - F.col("low")) * part))
+    found = found.withColumn("q", F.col("low") + (F.col("high") - F.col("low")) * part)
     wide = found.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("q"))).alias(n) for i, n in enumerate(wanted)])
     # Groups without a value are there too.
     return join_null_safe(brackets.select(*keys), wide, keys, "left")
