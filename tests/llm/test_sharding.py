@@ -40,3 +40,26 @@ def test_one_group_of_a_third(spark):
 
 def test_empty(spark):
     assert sharding.shard_by_size(documents(spark, []), 3).count() == 0
+
+
+def plain_schedule(sizes, shards):
+    """Largest first to the least-loaded shard, by looking at all shards every time."""
+    loads = [0] * shards
+    for size in sorted(sizes, reverse=True):
+        loads[min(range(shards), key=lambda s: (loads[s], s))] += size
+    return sorted(loads)
+
+
+def test_loads_against_a_plain_scheduler(spark):
+    """Groups that are all scheduled one by one give the loads of the plain schedule."""
+    draw = random.Random(8)
+    texts = ["x" * draw.randint(0, 3000) + str(k) for k in range(400)]
+    rows = [(i, draw.choice(texts)) for i in range(900)]
+    got = sharding.shard_by_size(documents(spark, rows), 5).collect()
+    sizes, loads = {}, [0] * 5
+    for _, t in rows:
+        sizes[t] = sizes.get(t, 0) + len(t) + 8
+    for r in got:
+        loads[r.shard] += r.size
+    assert min(sizes.values()) * 5 * sharding.FINE > sum(sizes.values())  # none is bundled
+    assert sorted(loads) == plain_schedule(sizes.values(), 5)

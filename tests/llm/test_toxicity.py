@@ -131,3 +131,55 @@ def test_one_class_and_empty(spark):
     assert toxicity.fit(docs, labels) is None
     assert {r.score for r in toxicity.score(docs, None).collect()} == {0.0}
     assert toxicity.score(documents(spark, []), toxicity.Network.new()).count() == 0
+
+
+def plain_logit(network, words):
+    """One window of one text, word by word."""
+    w, h = network.weights, toxicity.HIDDEN
+    if not words:
+        return -20.0
+    x = [np.concatenate([w["word"][rows], w["gram"][grams].mean(axis=0, keepdims=True)], axis=1)[0].astype(np.float64)
+         for rows, grams, _ in (toxicity.features([word]) for word in words)]
+    states = np.zeros((len(words), 2 * h))
+    for side, (name, order) in enumerate((("forward", range(len(words))), ("backward", range(len(words) - 1, -1, -1)))):
+        state = np.zeros(h)
+        for t in order:
+            gate = x[t] @ w["input"][:, side * 3 * h:(side + 1) * 3 * h] + w["bias"][side * 3 * h:(side + 1) * 3 * h]
+            u = state @ w[name]
+            z, r = (1 / (1 + np.exp(-(gate[k * h:(k + 1) * h] + u[k * h:(k + 1) * h]))) for k in (0, 1))
+            new = np.tanh(gate[2 * h:] + r * u[2 * h:])
+            state = (1 - z) * new + z * state
+            states[t, side * h:(side + 1) * h] = state
+    score = states @ w["attention"]
+    share = np.exp(score - score.max())
+    return float(share / share.sum() @ states @ w["out"] + w["out_bias"][0])
+
+
+def test_scores_against_a_plain_loop_over_windows(taught):
+    network, texts, _, text = taught
+    some = [*texts[:12], " ".join(text(k % 2) for k in range(4)), "", "one", " ".join(texts[:2])]
+    for got, t in zip(toxicity.Scorer(network).logits(some), some, strict=True):
+        words, tops = toxicity.words_of(t), []
+        for start in range(0, max(1, len(words)), toxicity.STEP):
+            tops.append(plain_logit(network, words[start:start + toxicity.WINDOW]))
+            if start + toxicity.WINDOW >= len(words):
+                break
+        assert abs(got - max(tops)) < 2e-3
+
+
+def test_passages_across_window_edges(taught):
+    """Passages of 10 to 32 words with five telling ones, at every offset to the windows of a long clean text."""
+    network, _, _, text = taught
+    draw, scorer = random.Random(4), toxicity.Scorer(network)
+    clean = [t for t in (text(0) for _ in range(200)) if scorer.scores([t])[0] < 0.5]
+    words = " ".join(clean).split()[:400]
+    assert scorer.scores([" ".join(words)])[0] < 0.5
+    found = []
+    for size in (10, 16, 24, 32):
+        for offset in range(toxicity.STEP):
+            passage = words[:size]
+            for place in draw.sample(range(size), 5):
+                passage[place] = draw.choice(["zumk", "quib"]) + draw.choice(["er", "th", "ing", "sta", "re"])
+            at = 4 * toxicity.STEP + offset
+            found.append(scorer.scores([" ".join(words[:at] + passage + words[at:])])[0] >= 0.5)
+    assert np.mean(found) > 0.9
