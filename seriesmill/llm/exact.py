@@ -142,7 +142,8 @@ def exact_groups(
 
 
 def _groups(
-    keyed: DataFrame, text: str, doc_id: str, digest: Callable[[Column], Column], bytes_per_batch: int | None
+    keyed: DataFrame, text: str, doc_id: str, digest: Callable[[Column], Column], bytes_per_batch: int | None,
+    batches: int = BATCHES,
 ) -> DataFrame:
     spark = keyed.sparkSession
     rows = arrivals(keyed, text, doc_id, digest)
@@ -156,7 +157,7 @@ def _groups(
         empty = seen.withColumn("keeper", mine).withColumn("group_size", F.lit(0).cast("long"))
         return empty.select(*columns)
     compared = Comparison(rows)
-    limit = bytes_per_batch or max(1, -(-bytes_of(spark, folder) // BATCHES))
+    limit = bytes_per_batch or max(1, -(-bytes_of(spark, folder) // batches))
     state = stored(keepers(seen, folder, limit, compared.batch), "keepers")
     shared = compared.different()
 
@@ -170,10 +171,14 @@ def _groups(
     )
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """The rows of `docs` that stay, with the columns of `docs`."""
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", batches: int = 1) -> DataFrame:
+    """The rows of `docs` that stay, with the columns of `docs`.
+
+    As a stage among others it streams its table in one micro-batch: the native memory of the state
+    stores of several stays with the executors for the stages that follow.
+    """
     inner, (text, doc_id) = set_aside(docs, text, doc_id)
     keyed = with_row_keys(inner)
-    groups = _groups(keyed, text, doc_id, sha256, None)
+    groups = _groups(keyed, text, doc_id, sha256, None, batches)
     dropped = bounded_broadcast(groups.where(~F.col("kept")).select(FILE, ROW))
     return restored(keyed.join(dropped, [FILE, ROW], "left_anti"), docs)
