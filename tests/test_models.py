@@ -59,3 +59,25 @@ def test_families_differ(spark, prices):
         model = models.fit(prices, ["a", "b"], "price_eur_mwh", family, maxIter=1)
         leaves[family] = model.stages[-1].trees[0].numNodes
     assert leaves["lightgbm"] < leaves["xgboost"]
+
+
+def test_stopped_model_is_cut_from_the_longer_one(spark, prices, monkeypatch, tmp_path):
+    """No round is boosted again for the trees that stay, and the cut model is a whole model: it scores like
+    one fitted with as many rounds, lists all features and can be saved."""
+    asked, build = [], models.regressor
+    monkeypatch.setattr(models, "regressor", lambda *a, **b: (asked.append(b["maxIter"]), build(*a, **b))[1])
+    options = {"patience": 3, "maxDepth": 1, "stepSize": 0.5}
+    rows = prices.withColumn("unused", F.lit(1.0)).select("time", "a", "b", "unused", "price_eur_mwh")
+    stopped = models.train_price(rows, family="gradient_boosting", version="v", **options)
+    assert 1 < stopped.trees < asked[-1] and asked == [13 * 2**k for k in range(len(asked))]
+    train, held_out = models.chronological_split(rows)
+    short = models.fit(train, stopped.features, "price_eur_mwh", "gradient_boosting", maxIter=stopped.trees, maxDepth=1, stepSize=0.5)
+    want = [r.prediction for r in short.transform(models.as_doubles(held_out, stopped.features)).orderBy("time").collect()]
+    assert [r.prediction for r in stopped.score(held_out).orderBy("time").collect()] == want
+    listed = {r.feature: r.importance for r in stopped.importance(spark).collect()}
+    assert listed == pytest.approx(dict(zip(stopped.features, short.stages[-1].featureImportances.toArray())))
+    assert stopped.features == ["a", "b", "unused"] and listed["unused"] == 0
+    stopped.save(spark, str(tmp_path / "model"))
+    saved = models.TrainedModel.load(spark, str(tmp_path / "model"))
+    assert saved.trees == stopped.trees and [r.prediction for r in saved.score(held_out).orderBy("time").collect()] == want
+    assert saved.pipeline.stages[-1].getMaxIter() == saved.trees and saved.pipeline.stages[-1].getSeed() == 42
