@@ -34,7 +34,7 @@ TRAIN_ROWS, TRAIN_CHARS = (4000, 2000), 3000
 # Small samples are read more often, in smaller batches, so that the steps suffice.
 LEAST_TEXTS = 3
 EPOCHS, STEPS, BATCH, LEAST_BATCH, RATE = 4, 300, 48, 8, 0.01
-SLICE_BYTES, SCORED_AT_ONCE, ENTRIES = 2 << 20, 2048, 250_000
+SLICE_BYTES, SCORED_AT_ONCE, ENTRIES, HASHED_AT_ONCE = 2 << 20, 2048, 250_000, 16_384
 _EDGE = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»“”„‘’…–—¿¡"
 
 
@@ -71,7 +71,14 @@ def features(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owners = np.concatenate(owners)
     order = np.argsort(owners, kind="stable")
     counts = np.bincount(owners, minlength=len(words))
-    return word.astype(np.int64), np.concatenate(grams)[order].astype(np.int64), counts
+    return word.astype(np.int32), np.concatenate(grams)[order].astype(np.int32), counts.astype(np.int32)
+
+
+def features_of(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """`features` of any number of words: they are hashed in slices, as the steps of that take many times their room."""
+    parts = [features(words[i:i + HASHED_AT_ONCE]) for i in range(0, len(words), HASHED_AT_ONCE)]
+    word, grams, counts = (np.concatenate(p) for p in zip(*parts, strict=True))
+    return word, grams, counts.astype(np.int64)
 
 
 def gram_means(table: np.ndarray, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -193,14 +200,20 @@ def window_rows(begin: np.ndarray, size: np.ndarray, words: np.ndarray) -> np.nd
 
 
 def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
-    """Adam on the dense weights, AdaGrad on the embedding rows; the final scale and shift are a
-    logistic fit of the training texts' largest window logits."""
+    """`learnt`, with scale and shift from a logistic fit of the training texts' largest window logits."""
+    network = learnt(texts, toxic, seed)
+    return calibrated(network, Scorer(network).logits(texts), np.array(toxic, np.float32))
+
+
+def learnt(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
+    """Adam on the dense weights, AdaGrad on the embedding rows; scale and shift are left as they are."""
     network, random = Network.new(seed), np.random.default_rng(seed)
     w = network.weights
     vocabulary: dict[str, int] = {}
     common: dict[str, np.ndarray] = {}
-    coded = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in words_of(t)], np.int64) for t in texts]
-    word, grams, counts = features(list(vocabulary) or [""])
+    coded = [np.array([vocabulary.setdefault(x, len(vocabulary)) for x in words_of(t)], np.int32) for t in texts]
+    word, grams, counts = features_of(list(vocabulary) or [""])
+    del vocabulary
     first = np.cumsum(counts) - counts
     # Rows of the tables that few texts use could only learn those texts by heart: they stay zero.
     for table, rows in (("word", lambda i: word[i]), ("gram", lambda i: grams[spans(first[i], counts[i])])):
@@ -251,7 +264,7 @@ def train(texts: list[str], toxic: list[int], seed: int = 7) -> Network:
                 names, sums = names[common[k][names]], sums[common[k][names]]
                 squares[k][names] += sums * sums
                 w[k][names] -= 0.1 * sums / np.sqrt(squares[k][names])
-    return calibrated(network, Scorer(network).logits(texts), target)
+    return network
 
 
 def calibrated(network: Network, top: np.ndarray, target: np.ndarray) -> Network:
@@ -286,7 +299,8 @@ class Scorer:
         size = len(self.known)
         while size + len(fresh) > len(self.table[0]):
             self.table = [np.concatenate([t, np.zeros_like(t)]) for t in self.table]
-        for table, gates in zip(self.table, self.network.gates(self.network.inputs(*features(fresh))), strict=True):
+        inputs = [self.network.inputs(*features(fresh[i:i + HASHED_AT_ONCE])) for i in range(0, len(fresh), HASHED_AT_ONCE)]
+        for table, gates in zip(self.table, self.network.gates(np.concatenate(inputs)), strict=True):
             table[size:size + len(fresh)] = gates
         self.known.update(zip(fresh, range(size, size + len(fresh)), strict=True))
 
@@ -367,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, **columns: str) -> Network | None:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(*given.value))], pa.binary())], names=["network"])
+                yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(learnt(*given.value))], pa.binary())], names=["network"])
 
     network = pickle.loads(spark.range(1, numPartitions=1).mapInArrow(run, "network binary").first()[0])
     model = spark.sparkContext.broadcast(network)

@@ -183,3 +183,21 @@ def test_passages_across_window_edges(taught):
             at = 4 * toxicity.STEP + offset
             found.append(scorer.scores([" ".join(words[:at] + passage + words[at:])])[0] >= 0.5)
     assert np.mean(found) > 0.9
+
+
+def test_hashing_many_words_takes_little_room():
+    """Words are hashed in slices: the same rows, without the steps of all words at a time."""
+    import tracemalloc
+
+    draw = random.Random(4)
+    words = ["".join(draw.choices("abcdeé", k=draw.randint(1, 14))) for _ in range(60_000)]
+    room = {}
+    for f in (toxicity.features, toxicity.features_of):
+        tracemalloc.start()
+        found = f(words)
+        room[f.__name__] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        if f is toxicity.features:
+            want = found
+    assert all(np.array_equal(a, b) for a, b in zip(found, want, strict=True))
+    assert room["features_of"] < 0.7 * room["features"]
